@@ -13,17 +13,18 @@ from tidemark.functions.columns import finite, log_ratio
 from tidemark.operators.asof import sample_anchor
 from tidemark.operators.technical import feature_names, technical_features
 
-_w = Window.partitionBy("ticker").orderBy("date")
+def own_rows() -> Window:
+    return Window.partitionBy("ticker").orderBy("date")
 RAW_COLUMNS = ["open", "high", "low", "close", "adj_close", "volume"]
 
 
 def with_row_number(prices: DataFrame) -> DataFrame:
-    return prices.withColumn("rn", F.row_number().over(_w))
+    return prices.withColumn("rn", F.row_number().over(own_rows()))
 
 
 def forward_return(price: str, horizon: int):
     """ln(p[t+h] / p[t]) over own rows; null without a positive finite price at both ends."""
-    now, then = F.col(price), F.lead(price, horizon).over(_w)
+    now, then = F.col(price), F.lead(price, horizon).over(own_rows())
     return F.when(finite(now) & finite(then), log_ratio(then, now))
 
 
@@ -31,7 +32,7 @@ def forward_volatility(price: str, horizon: int):
     """Population deviation of the daily log returns in (t, t+h]; null when one is unknown or
     fewer than two exist. One-row returns are looked up per offset, which keeps one window."""
     ahead = [
-        log_ratio(F.lead(price, k).over(_w), F.lead(price, k - 1).over(_w) if k > 1 else F.col(price))
+        log_ratio(F.lead(price, k).over(own_rows()), F.lead(price, k - 1).over(own_rows()) if k > 1 else F.col(price))
         for k in range(1, horizon + 1)
     ]
     if horizon < 2:
@@ -45,7 +46,7 @@ def forward_volatility(price: str, horizon: int):
 def targets(prices: DataFrame, horizon: int, price: str = "adj_close") -> DataFrame:
     """(ticker, date, rn, target, vol_target)."""
     return prices.select(
-        "ticker", "date", F.row_number().over(_w).alias("rn"),
+        "ticker", "date", F.row_number().over(own_rows()).alias("rn"),
         forward_return(price, horizon).alias("target"),
         F.coalesce(forward_volatility(price, horizon), F.lit(0.0)).alias("vol_target"),
     )
