@@ -141,7 +141,7 @@ class Inputs:
                 total("l_extendedprice").alias("p"), total("l_quantity").alias("q"),
                 (total("l_discount") / n).alias("d"), (total("l_tax") / n).alias("t"))
             wide = sums.select(
-                "ticker", "date", F.expr("p * (1 - d)").alias("total_revenue"), F.expr("p * (t - 0.035D)").alias("net_income"),
+                "ticker", "date", F.expr("p * (1 - d)").alias("total_revenue"), F.expr("p * (t - 0.0347D)").alias("net_income"),
                 F.expr("p * t").alias("total_debt"), F.expr("p * 0.4D").alias("stockholders_equity"),
                 F.expr("q * 10").alias("shares_outstanding"), F.expr("p * 0.2D").alias("operating_cashflow"),
                 F.expr("case when d >= 0.03D then p * d end").alias("capex"), F.expr("p * -0.01D").alias("dividends_paid"))
@@ -272,7 +272,7 @@ CTES: dict[str, str] = {
          sum(l_discount::DECIMAL(15,2))::DOUBLE / count(*) AS d, sum(l_tax::DECIMAL(15,2))::DOUBLE / count(*) AS t
   FROM lineitem GROUP BY 1, 2""",
     "fund_wide": """
-  SELECT ticker, date, p * (1 - d) AS total_revenue, p * (t - 0.035::DOUBLE) AS net_income, p * t AS total_debt,
+  SELECT ticker, date, p * (1 - d) AS total_revenue, p * (t - 0.0347::DOUBLE) AS net_income, p * t AS total_debt,
          p * 0.4::DOUBLE AS stockholders_equity, q * 10 AS shares_outstanding, p * 0.2::DOUBLE AS operating_cashflow,
          CASE WHEN d >= 0.03::DOUBLE THEN p * d END AS capex, p * -0.01::DOUBLE AS dividends_paid FROM fund_sums""",
     "sentiment": f"""
