@@ -198,14 +198,17 @@ def edge_density(
     """Edges per (pred_date, lookback, setting) for all settings from one pass over the pairs."""
     vectors = return_windows(returns, dates, list(lookbacks))
     keys = ["pred_date", "lookback"]
-    out = similarity_edges(vectors, keys, threshold=min(thresholds), block=block)
-    counted = out.groupBy(*keys).agg(
-        *[F.count_if(F.col("weight") > t).alias(f"tau_{t}") for t in thresholds])
-    result = counted.unpivot(keys, [f"tau_{t}" for t in thresholds], "setting", "n_edges")
+    kept = similarity_edges(vectors, keys, threshold=min(thresholds), block=block)
+
+    def settings(counts: dict) -> F.Column:
+        return F.inline(F.array(*[F.struct(F.lit(n).alias("setting"), F.col(c).alias("n_edges")) for n, c in counts.items()]))
+
+    taus = {f"tau_{t}": f"_t{n}" for n, t in enumerate(thresholds)}
+    result = kept.groupBy(*keys).agg(
+        *[F.count_if(F.col("weight") > t).alias(f"_t{n}") for n, t in enumerate(thresholds)]).select(*keys, settings(taus))
     if top_ks:
         strongest = similarity_edges(vectors, keys, threshold=None, top_k=max(top_ks), block=block)
         per_source = strongest.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("_n"))
-        by_k = per_source.groupBy(*keys).agg(
-            *[F.sum(F.least(F.col("_n"), F.lit(int(k)))).alias(f"top_{k}") for k in top_ks])
-        result = result.unionByName(by_k.unpivot(keys, [f"top_{k}" for k in top_ks], "setting", "n_edges"))
+        by_k = per_source.groupBy(*keys).agg(*[F.sum(F.least(F.col("_n"), F.lit(int(k)))).alias(f"_k{k}") for k in top_ks])
+        result = result.unionByName(by_k.select(*keys, settings({f"top_{k}": f"_k{k}" for k in top_ks})))
     return result

@@ -40,14 +40,6 @@ def work_folder(spark: SparkSession) -> str:
     return _fallback[app]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(os.path.join(work_folder(df.sparkSession), "checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(work_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
@@ -61,3 +53,12 @@ def store(df: DataFrame, path: str) -> DataFrame:
     """
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from there.
+
+    Like a reliable checkpoint it survives the loss of executors; unlike one it is computed
+    once and stays columnar.
+    """
+    return store(df, new_path(df.sparkSession, "step"))
