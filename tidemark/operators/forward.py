@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tidemark.functions.columns import finite, log_ratio
 from tidemark.operators.calendar import trading_calendar
 from tidemark.operators.ranking import daily_metrics
+from tidemark.session import cut_lineage
 
 LOG_SCHEMA = T.StructType([
     T.StructField("pred_date", T.DateType()), T.StructField("ticker", T.StringType()),
@@ -51,12 +52,13 @@ class PredictionLog:
         """Add dates that are not logged yet; rows of logged dates are ignored."""
         known = self.predictions().select("pred_date").distinct()
         new = predictions.select([F.col(f.name).cast(f.dataType) for f in LOG_SCHEMA]).join(known, "pred_date", "left_anti")
-        new.write.mode("append").partitionBy("pred_date").parquet(self.predictions_path)
+        # the hint gathers a date's rows into few files and splits a date too large for one
+        new.hint("rebalance", "pred_date").write.mode("append").partitionBy("pred_date").parquet(self.predictions_path)
 
     def upsert_results(self, results: DataFrame) -> None:
         """Write results, replacing whole dates that exist already."""
         rows = results.select([F.col(f.name).cast(f.dataType) for f in RESULT_SCHEMA])
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pred_date").parquet(self.results_path)
+        rows.hint("rebalance", "pred_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pred_date").parquet(self.results_path)
 
     def predictions_on(self, date: str) -> DataFrame:
         return self.predictions().where(F.col("pred_date") == F.to_date(F.lit(date)))
@@ -118,7 +120,8 @@ def back_score(
     """Metrics of matured dates without a result, given at least ``least`` valid names."""
     if results is not None:
         log = log.join(results.select("pred_date"), "pred_date", "left_anti")
-    rows = matured(log, prices, calendar).where(finite("target") & finite("score"))
+    # ranks, legs and counts all read these rows, so they are joined once and kept
+    rows = cut_lineage(matured(log, prices, calendar).where(finite("target") & finite("score")))
     return daily_metrics(rows, ["pred_date", "horizon"], top_n).where(F.col("n_valid") >= least).select(
         "pred_date", "ic", "hit_rate", "spread", F.col("n_valid").cast("bigint").alias("n_valid"), "horizon")
 

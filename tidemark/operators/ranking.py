@@ -1,8 +1,8 @@
 """Cross-sectional ranking metrics per date.
 
 Inputs are (pred_date, ticker, score, target [, valid]). Extra leading keys (``variant``) may
-be named in ``by``. Ranks and quantiles use range-cut running totals and legs use partial
-top-n, so one date may hold any share of the rows.
+be named in ``by``. Ranks and quantiles switch to range-cut running totals for large dates and
+legs use partial top-n, so one date may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import finite, pearson
-from tidemark.operators.spread import average_rank, exact_quantiles, top_rows
+from tidemark.operators.spread import average_ranks, exact_quantiles, top_rows
 
 BY = ("pred_date",)
 
@@ -32,12 +32,12 @@ def correlation_of(x: Column, y: Column) -> Column:
     return pearson(n, F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))
 
 
-def rank_ic(df: DataFrame, by: Sequence[str] = BY, least: int = 2, spread: bool = True) -> DataFrame:
+def rank_ic(df: DataFrame, by: Sequence[str] = BY, least: int = 2, spread: bool | None = None) -> DataFrame:
     """(by, ic, n): Spearman correlation of score and target, null below ``least`` rows or for
     a constant side."""
     by = list(by)
     rows = valid_rows(df).select(*by, "ticker", "score", "target")
-    ranked = average_rank(average_rank(rows, by, "score", "_rs", spread), by, "target", "_rt", spread)
+    ranked = average_ranks(rows, by, {"score": "_rs", "target": "_rt"}, spread)
     n = F.count(F.lit(1))
     return ranked.groupBy(*by).agg(
         F.when(n >= least, correlation_of(F.col("_rs"), F.col("_rt"))).alias("ic"), n.alias("n"))
@@ -72,7 +72,7 @@ def leg_spread(df: DataFrame, by: Sequence[str] = BY, top_n: int = 50) -> DataFr
         F.when(top > bottom, 1.0).otherwise(0.0).alias("hit_rate"), (top - bottom).alias("spread"))
 
 
-def daily_metrics(df: DataFrame, by: Sequence[str] = BY, top_n: int = 50, spread: bool = True) -> DataFrame:
+def daily_metrics(df: DataFrame, by: Sequence[str] = BY, top_n: int = 50, spread: bool | None = None) -> DataFrame:
     """(by, ic, hit_rate, spread, n_valid) for every date, null metrics below two valid rows."""
     by = list(by)
     dates = df.select(*by).distinct()

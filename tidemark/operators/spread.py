@@ -1,11 +1,11 @@
-"""Exact order statistics of groups too large for one task.
-
-A window over a whole group puts the group into one task. Here the keys of a group are
-first collapsed to distinct values with counts, then cut into ranges at split points taken
-from a bounded sample of the keys. Each range is accumulated on its own and the totals of
-the lower ranges are added, so results are exact whatever the sample holds. The sample is
-chosen by hash, hence the same after any recomputation. Groups below about a thousand
-distinct keys have no split points and behave like a plain window.
+"""Exact order statistics of groups of any size.
+
+A window puts a whole group into one task. That is the best plan while groups are moderate,
+so the largest group is counted first (a partial aggregate over the key columns). Beyond
+``LARGEST_GROUP`` rows the keys are collapsed to distinct values with counts, written once,
+and cut into ranges at split points taken from a bounded sample; each range is accumulated on
+its own and the totals of the lower ranges are added. Results are exact whatever the sample
+holds. The sample is chosen by hash, hence the same after any recomputation.
 """
 
 from __future__ import annotations
@@ -15,11 +15,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
+LARGEST_GROUP = 1_000_000   # rows of one group that may meet in one task
 KEEP_ONE_IN = 1024      # sampling rate of distinct keys
 SAMPLE_BOUND = 4096     # most sampled keys per group
 MOST_SPLITS = 256       # most ranges per group
 
 
+def has_large_group(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
+    """Whether any group holds more rows than one task should sort."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    top = sizes.agg(F.max("_n")).first()[0]
+    return (top or 0) > (LARGEST_GROUP if limit is None else limit)
+
+
 def _split_points(cells: DataFrame, by: Sequence[str], order: str, keep_one_in: int) -> DataFrame:
     h = F.xxhash64(*by, order)
     w = Window.partitionBy(*by).orderBy("_h", order)
@@ -42,101 +52,96 @@ def running_totals(
     order: str,
     values: Sequence[str],
     descending: bool = False,
+    spread: bool | None = None,
     keep_one_in: int = KEEP_ONE_IN,
 ) -> DataFrame:
     """Per distinct (by, order): the sum of each value and the sum over all earlier keys.
 
     Output columns: by, order, each value, and ``<value>_before`` (strictly earlier keys).
+    ``spread`` forces or forbids the range-cut plan; by default the group sizes decide.
     """
     by = list(by)
-    cells = df.groupBy(*by, order).agg(*[F.sum(v).alias(v) for v in values])
-    splits = _split_points(cells, by, order, keep_one_in)
-    cells = (
-        cells.join(splits, by, "left")
-        .withColumn(
-            "_range",
-            F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
-                F.size(F.filter("_splits", lambda s: s <= F.col(order)))
-            ),
-        )
-        .drop("_splits")
-    )
 
     def direction(c: str):
         return F.col(c).desc() if descending else F.col(c).asc()
 
-    earlier_ranges = (
-        Window.partitionBy(*by).orderBy(direction("_range"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    in_range = (
-        Window.partitionBy(*by, "_range").orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        cells.groupBy(*by, "_range").agg(*[F.sum(v).alias(v) for v in values])
-        .select(
-            *by, "_range",
-            *[F.coalesce(F.sum(v).over(earlier_ranges), F.lit(0)).alias(f"_offset_{v}") for v in values],
-        )
-    )
-    local = cells.select(
-        "*", *[F.coalesce(F.sum(v).over(in_range), F.lit(0)).alias(f"_local_{v}") for v in values]
-    )
+    def before(v: str, w):
+        return F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if spread is None:
+        spread = has_large_group(df, by)
+    cells = df.groupBy(*by, order).agg(*[F.sum(v).alias(v) for v in values])
+    if not spread:
+        w = Window.partitionBy(*by).orderBy(direction(order))
+        return cells.select(*by, order, *values, *[before(v, w).alias(f"{v}_before") for v in values])
+
+    cells = cut_lineage(cells)
+    splits = _split_points(cells, by, order, keep_one_in)
+    below = F.size(F.filter("_splits", lambda s: s <= F.col(order)))
+    cells = cells.join(splits, by, "left").withColumn(
+        "_range", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(below)).drop("_splits")
+    lower = Window.partitionBy(*by).orderBy(direction("_range"))
+    inside = Window.partitionBy(*by, "_range").orderBy(direction(order))
+    offsets = cells.groupBy(*by, "_range").agg(*[F.sum(v).alias(v) for v in values]).select(
+        *by, "_range", *[before(v, lower).alias(f"_offset_{v}") for v in values])
+    local = cells.select("*", *[before(v, inside).alias(f"_local_{v}") for v in values])
     return local.join(offsets, [*by, "_range"]).select(
         *by, order, *values,
         *[(F.col(f"_local_{v}") + F.col(f"_offset_{v}")).alias(f"{v}_before") for v in values],
     )
 
 
-def average_rank(
-    df: DataFrame, by: Sequence[str], key: str, out: str, spread: bool = True,
+def average_ranks(
+    df: DataFrame, by: Sequence[str], keys: dict[str, str], spread: bool | None = None,
     keep_one_in: int = KEEP_ONE_IN,
 ) -> DataFrame:
-    """Rank from 1 within ``by``; equal keys share the mean of their ranks. Keys must be non-null.
-
-    ``spread=False`` is a plain window, for groups known to be small.
-    """
+    """Add ranks from 1 within ``by`` as ``{key column: rank column}``; equal keys share the mean
+    of their ranks. Keys must be non-null."""
     by = list(by)
-    if not spread:
-        w = Window.partitionBy(*by)
-        return df.withColumn(
-            out,
-            F.rank().over(w.orderBy(key))
-            + (F.count(F.lit(1)).over(Window.partitionBy(*by, key)) - 1) / F.lit(2.0),
-        )
-    cells = running_totals(
-        df.select(*by, key, F.lit(1).cast("bigint").alias("_n")), by, key, ["_n"],
-        keep_one_in=keep_one_in,
-    )
-    ranks = cells.select(*by, key, (F.col("_n_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(out))
-    return df.join(ranks, [*by, key])
+    if spread is None:
+        spread = has_large_group(df, by)
+    for key, out in keys.items():
+        if not spread:
+            tied = F.count(F.lit(1)).over(Window.partitionBy(*by, key)) - 1
+            df = df.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(key)) + tied / F.lit(2.0))
+            continue
+        counted = df.select(*by, key, F.lit(1).cast("bigint").alias("_n"))
+        cells = running_totals(counted, by, key, ["_n"], spread=True, keep_one_in=keep_one_in)
+        ranks = cells.select(*by, key, (F.col("_n_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(out))
+        df = df.join(ranks, [*by, key])
+    return df
 
 
 def row_position(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, descending: bool = False,
+    df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, spread: bool | None = None,
     keep_one_in: int = KEEP_ONE_IN,
 ) -> DataFrame:
     """Position from 1 within ``by`` by a unique ordering of columns."""
     by = list(by)
-    keyed = df.withColumn("_key", F.struct(*order))
-    cells = running_totals(
-        keyed.select(*by, "_key", F.lit(1).cast("bigint").alias("_n")), by, "_key", ["_n"],
-        descending=descending, keep_one_in=keep_one_in,
-    )
+    if spread is None:
+        spread = has_large_group(df, by)
+    if not spread:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    keyed = df.select(*by, F.struct(*order).alias("_key"), F.lit(1).cast("bigint").alias("_n"))
+    cells = running_totals(keyed, by, "_key", ["_n"], spread=True, keep_one_in=keep_one_in)
     place = cells.select(*by, *[F.col(f"_key.{c}").alias(c) for c in order],
-                         (F.col("_n_before") + 1).alias(out))
+                         (F.col("_n_before") + 1).cast("int").alias(out))
     return df.join(place, [*by, *order])
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float],
+    df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], spread: bool | None = None,
     keep_one_in: int = KEEP_ONE_IN,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, as columns named by the keys of ``quantiles``."""
     by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, value, F.lit(1).cast("bigint").alias("_n"))
-    cells = running_totals(rows, by, value, ["_n"], keep_one_in=keep_one_in)
+    if spread is None:
+        spread = has_large_group(df, by)
+    rows = df.where(F.col(value).isNotNull())
+    if not spread:
+        return rows.groupBy(*by).agg(*[F.percentile(value, F.lit(float(q))).alias(n) for n, q in quantiles.items()])
+    rows = rows.select(*by, value, F.lit(1).cast("bigint").alias("_n"))
+    cells = running_totals(rows, by, value, ["_n"], spread=True, keep_one_in=keep_one_in)
     sizes = rows.groupBy(*by).agg(F.sum("_n").alias("_size"))
     cells = cells.join(sizes, by)
 

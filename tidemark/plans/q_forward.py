@@ -120,7 +120,7 @@ def _events(i: Inputs):
     schema = i.table("events").schema
     raw = i.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(i.folder)
     return raw.select(
-        "event_id", "ts", F.to_date("ts").alias("date"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("date"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"),
         _mapped("event_type", SOURCES, F.col("event_type")).alias("source"), ((F.col("value") - 50) / (F.col("value") + 50)).alias("score"), "value")
 
 

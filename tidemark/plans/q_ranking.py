@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.pvalues import normal_pvalue, student_pvalue
 from tidemark.operators import losses, ranking, significance
-from tidemark.operators.spread import average_rank
+from tidemark.operators.spread import average_ranks
 from tidemark.plans.base import Inputs
 from tidemark.plans.registry import g, grid, gridded, gs, query
 
@@ -41,7 +41,7 @@ def daily(i: Inputs):
 @query("met1_average_rank", f"WITH rounded AS (SELECT pred_date, ticker, {g('score', 1)} AS s FROM valid_predictions) SELECT pred_date, ticker, (rank() OVER (PARTITION BY pred_date ORDER BY s) + (count(*) OVER (PARTITION BY pred_date, s) - 1) / 2)::DOUBLE AS rank FROM rounded")
 def _(i: Inputs):
     rows = ranking.valid_rows(i.predictions).select("pred_date", "ticker", grid("score", 1).alias("s"))
-    return average_rank(rows, ["pred_date"], "s", "rank", keep_one_in=8).select("pred_date", "ticker", "rank")
+    return average_ranks(rows, ["pred_date"], {"s": "rank"}).select("pred_date", "ticker", "rank")
 
 
 @query("met2_rank_ic", f"WITH {DAILY} SELECT pred_date, {gs('ic')}, n_valid AS n FROM ics")
