@@ -74,10 +74,10 @@ def _(i: Inputs):
 
 @query("fwd2_array_records", f"WITH {LOG} SELECT pred_date, ticker, {gs('score')}, horizon FROM log")
 def _(i: Inputs):
-    # records hold up to 20 tickers each, so that no array grows with the table
-    part = F.pmod(F.xxhash64("ticker"), F.lit(16))
+    # records hold up to 200 tickers each, so that no array grows with the table
+    part = F.floor(F.substring(F.col("ticker"), 2, 20).cast("bigint") / F.lit(200))
     item = F.struct("ticker", "score")
-    records = log_rows(i).groupBy("pred_date", "horizon", part.alias("part"), F.substring("ticker", -1, 1).alias("p2")).agg(F.collect_list(item).alias("_r")).select(
+    records = log_rows(i).groupBy("pred_date", "horizon", part.alias("part")).agg(F.collect_list(item).alias("_r")).select(
         F.date_format("pred_date", "yyyy-MM-dd").alias("date"), F.col("_r.ticker").alias("tickers"), F.col("_r.score").alias("scores"), "horizon")
     return gridded(forward.explode_records(records), "pred_date ticker horizon", "score")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.words import parse_date
@@ -15,9 +14,13 @@ from tidemark.session import new_path
 from tidemark.sources import readers, sinks
 
 
+def _part(size: int = 200):
+    """Cuts lists of tickers into parts of bounded length, whatever their number."""
+    return F.floor(F.substring(F.col("ticker"), 2, 20).cast("bigint") / F.lit(size))
+
+
 def _roster_rows(i: Inputs):
-    """Roster lines of at most a few hundred symbols: snapshots cut by hash into 16 parts."""
-    part = F.pmod(F.xxhash64("ticker"), F.lit(16))
+    part = _part()
     return i.roster.groupBy("snapshot_date", part.alias("part")).agg(
         F.concat_ws(",", F.collect_list(F.concat(F.lit(" "), F.lower("ticker")))).alias("tickers")).select(
         F.col("snapshot_date").cast("string").alias("Date"), F.concat(F.col("tickers"), F.lit(",")).alias("Tickers"))
@@ -51,7 +54,7 @@ def _(i: Inputs):
     name = F.concat(F.lit("<b>"), "ticker", F.lit("</b>"))
     row = F.concat(F.lit("<tr><td>"), day, F.lit("</td><td>"), F.when(F.col("action") == "added", name).otherwise(""), F.lit("</td><td>name</td><td>"),
                    F.when(F.col("action") == "removed", name).otherwise(""), F.lit("</td><td>name</td><td>reason</td></tr>"))
-    part = F.pmod(F.xxhash64("ticker"), F.lit(16))
+    part = _part()
     pages = asof.roster_changes(i.roster).groupBy("snapshot_date", part.alias("part")).agg(F.concat_ws("", F.collect_list(row)).alias("html"))
     return readers.changes_from_html(pages)
 
@@ -86,8 +89,8 @@ SELECT ticker, date, 'stocktwits' AS source, {g('coalesce(avg(tag), 0)')} AS sco
 def _(i: Inputs):
     tag = F.when(F.col("event_type") == "purchase", "Bullish").when(F.col("event_type") == "error", "Bearish")
     message = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), tag.alias("sentiment"))
-    # one payload per user and hour
-    payload = i.table("events").groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(
+    # a payload holds at most 100 messages
+    payload = i.table("events").groupBy("user_id", F.floor(F.col("event_id") / 100).alias("part")).agg(
         F.to_json(F.struct(F.collect_list(message).alias("messages"))).alias("json")).select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), "json")
     return readers.messages_to_daily(payload).select("ticker", "date", "source", grid("score").alias("score"), "volume")
 
@@ -98,7 +101,7 @@ def _(i: Inputs):
     day = F.date_add(F.lit("2024-01-05").cast("date"), F.pmod("conv_id", F.lit(300)).cast("int") + F.floor(F.col("turn") / 3).cast("int"))
     stamp = F.when(F.col("turn") % 3 == 0, F.concat(F.date_format(day, "MMM-dd-yy"), F.lit(" 09:30AM"))).otherwise(F.lit("10:15AM"))
     rows = i.table("conversations").select(
-        F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("ticker"), F.lit(0).alias("page"), F.col("turn").alias("pos"), stamp.alias("stamp"), F.col("text").alias("headline"))
+        F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("ticker"), F.floor(F.col("turn") / 30).alias("page"), F.col("turn").alias("pos"), stamp.alias("stamp"), F.col("text").alias("headline"))
     out = readers.headlines_to_daily(rows, positive=GOOD, negative=BAD)
     return out.select("ticker", "date", "source", grid("score").alias("score"), "volume")
 
@@ -113,8 +116,8 @@ def _submissions(i: Inputs):
         F.col("o_orderkey").cast("string").alias("a"), F.when(F.col("o_orderstatus") == "F", "10-K").when(F.col("o_orderstatus") == "O", "10-Q").otherwise("8-K").alias("f"), filed.alias("d"),
         F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.date_format(F.date_sub("o_orderdate", 30), "yyyy-MM-dd")).alias("r"),
         F.concat(F.lit("doc"), F.col("o_orderkey").cast("string"), F.lit(".htm")).alias("p"))
-    # one page per company and year, like the archive's older pages
-    pages = i.table("orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.collect_list(f).alias("x"))
+    # pages of at most 500 filings, like the archive's older pages
+    pages = i.table("orders").groupBy("o_custkey", F.floor(F.col("o_orderkey") / 500).alias("part")).agg(F.collect_list(f).alias("x"))
     arrays = F.struct(F.col("x.a").alias("accessionNumber"), F.col("x.f").alias("form"), F.col("x.d").alias("filingDate"), F.col("x.r").alias("reportDate"), F.col("x.p").alias("primaryDocument"))
     return pages.select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), F.to_json(arrays).alias("json"))
 
@@ -153,16 +156,15 @@ def _(i: Inputs):
 
 
 # Run logs: a user is a job, its events are epochs.
-EPOCHS = """runs AS (SELECT user_id, substr('ABCDEFGHI', (user_id % 9 + 1)::INT, 1) AS variant, 8690000 - 75 + user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS epoch,
+EPOCHS = """runs AS (SELECT user_id, substr('ABCDEFGHI', (user_id % 9 + 1)::INT, 1) AS variant, 8690000 - 75 + user_id AS job, event_id::INT AS epoch,
   round_even(value, 2) AS val_ic, TIMESTAMP '2024-02-01 00:00:00' + to_hours(user_id::INT) AS modified FROM events)"""
 
 
 def _logs(i: Inputs):
-    w = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = i.table("events").select("user_id", w.alias("epoch"), F.format_string("%.2f", "value").alias("v"))
+    rows = i.table("events").select("user_id", F.col("event_id").alias("epoch"), F.format_string("%.2f", "value").alias("v"))
     line = F.concat(F.lit("10:00 INFO epoch "), F.col("epoch").cast("string"), F.lit(" | train_loss=1.25 | val_ic="), "v", F.lit(" | val_ic_ir=-0.10 | hit@50=0.55 | spread@50=+0.001"))
-    # a log file holds the epochs of one job; long jobs continue in further files
-    files = rows.groupBy("user_id", F.floor(F.col("epoch") / 40).alias("part")).agg(F.concat_ws("\n", F.collect_list(line)).alias("body"))
+    # a log file holds epochs of one job; long jobs continue in further files
+    files = rows.groupBy("user_id", F.floor(F.col("epoch") / 4000).alias("part")).agg(F.concat_ws("\n", F.collect_list(line)).alias("body"))
     variant = F.substring(F.lit("ABCDEFGHI"), (F.col("user_id") % 9 + 1).cast("int"), F.lit(1))
     return files.select(
         F.concat(F.lit("run_"), (8690000 - 75 + F.col("user_id")).cast("string"), F.lit(".err")).alias("path"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -166,13 +165,13 @@ def tidy_macro(rows: DataFrame, order: str) -> DataFrame:
 
 # -- messages and headlines -----------------------------------------------------------------
 
-MESSAGES = "messages array<struct<created_at: string, sentiment: string>>"
+MESSAGES = "struct<messages: array<struct<created_at: string, sentiment: string>>>"
 
 
 def messages_to_daily(payload: DataFrame, column: str = "json", source: str = "stocktwits") -> DataFrame:
     """(ticker, json) message streams to daily (score, volume): bullish +1, bearish -1, untagged
     messages count in the volume only; a day without tags scores 0."""
-    rows = payload.select("ticker", F.explode(F.from_json(F.col(column), f"struct<{MESSAGES.replace(' array', ': array', 1)}>")["messages"]).alias("_m"))
+    rows = payload.select("ticker", F.explode(F.from_json(F.col(column), MESSAGES)["messages"]).alias("_m"))
     tag = F.when(F.col("_m.sentiment") == "Bullish", 1.0).when(F.col("_m.sentiment") == "Bearish", -1.0)
     return rows.groupBy("ticker", F.to_date(F.left("_m.created_at", F.lit(10))).alias("date")).agg(
         F.coalesce(F.avg(tag), F.lit(0.0)).alias("score"), F.count(F.lit(1)).alias("volume")
@@ -242,7 +241,7 @@ def read_raw_filings(spark: SparkSession, manifest_csv: str, folder: str, patter
     manifest = spark.read.option("header", True).csv(manifest_csv)
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True).select(
         F.col("_metadata.file_path").alias("_path"), F.col("value").alias("text"))
-    root = os.path.abspath(folder).rstrip("/") + "/"
+    root = folder.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
     texts = texts.withColumn("file", F.substring_index("_path", root, -1)).drop("_path")
     return manifest.join(texts, "file")
 

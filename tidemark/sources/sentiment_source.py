@@ -7,11 +7,10 @@ is one partition; a vendor adapter overrides ``SentimentReader.rows``.
 from __future__ import annotations
 
 import datetime as dt
-import glob
 import json
-import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -19,6 +18,11 @@ from pyspark.sql.types import StructType
 SCHEMA = "ticker string, date date, source string, score double, volume bigint"
 
 
+def open_folder(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and folder of a local path or a URI."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 class FilePartition(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -29,13 +33,19 @@ class SentimentReader(DataSourceReader):
         self.path, self.sources = path, sources
 
     def partitions(self) -> list[InputPartition]:
-        files = sorted(glob.glob(os.path.join(self.path, "*.json")))
-        return [FilePartition(f) for f in files]
+        system, folder = open_folder(self.path)
+        files = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".json")]
+        return [FilePartition(f) for f in sorted(files)]
 
     def rows(self, path: str) -> Iterator[dict]:
-        with open(path) as lines:
-            for line in lines:
-                yield json.loads(line)
+        system, _ = open_folder(self.path)
+        with system.open_input_stream(path) as stream:
+            rest = b""
+            while chunk := stream.read(1 << 20):
+                *lines, rest = (rest + chunk).split(b"\n")
+                yield from (json.loads(line) for line in lines if line)
+            if rest:
+                yield json.loads(rest)
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         for r in self.rows(partition.path):

@@ -33,9 +33,12 @@ def append_summary(row: DataFrame, path: str) -> None:
     row.write.mode("append").option("header", True).csv(path)
 
 
-def roster_to_json(roster: DataFrame) -> DataFrame:
-    """One JSON map per snapshot with sorted tickers; a snapshot's list is one index's members."""
-    return roster.groupBy("snapshot_date").agg(F.sort_array(F.collect_set("ticker")).alias("_t")).select(
+def roster_to_json(roster: DataFrame, longest: int = 10_000) -> DataFrame:
+    """JSON maps of a snapshot date to sorted tickers, one per row. A snapshot of more than about
+    ``longest`` members continues in further rows; reading merges them."""
+    sizes = roster.groupBy("snapshot_date").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(longest))).alias("_parts"))
+    cut = roster.join(sizes, "snapshot_date").withColumn("part", F.pmod(F.xxhash64("ticker"), F.col("_parts")))
+    return cut.groupBy("snapshot_date", "part").agg(F.sort_array(F.collect_set("ticker")).alias("_t")).select(
         "snapshot_date", F.to_json(F.create_map(F.col("snapshot_date").cast("string"), F.col("_t"))).alias("json"))
 
 
