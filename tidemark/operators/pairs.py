@@ -71,6 +71,8 @@ def similarity_edges(
         a, b = int(pdf["_a"].iat[0]), int(pdf["_b"].iat[0])
         pdf = pdf.sort_values("ticker")
         left, right = pdf[pdf["_own"] == a], pdf[pdf["_own"] == b]
+        if left.empty or right.empty:       # the other block holds nobody on this date
+            return pdf.iloc[:0][keys].assign(src=pd.Series(dtype=object), dst=pd.Series(dtype=object), weight=pd.Series(dtype=float))
         x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
         sim = _similarity(x, y, kind, window_list) * np.outer(left["scale"], right["scale"])
         if use_absolute:
@@ -89,25 +91,15 @@ def similarity_edges(
             src, dst, w = (np.concatenate(p) for p in zip(*parts, strict=True))
         out = pd.DataFrame({"src": src, "dst": dst, "weight": w})
         for n, k in enumerate(keys):
-            out.insert(n, k, pdf[k].iat[0])
+            out.insert(n, k, pd.Series([pdf[k].iat[0]] * len(out), dtype=pdf[k].dtype))
         return out
 
-    # a pair of blocks of which one is empty has no pairs to offer
-    both = pairs.groupBy(*keys, "_a", "_b").applyInPandas(lambda pdf: run(pdf) if _has_both(pdf) else _no_rows(schema), schema)
+    both = pairs.groupBy(*keys, "_a", "_b").applyInPandas(run, schema)
     if top_k is None:
         return both
     return top_rows(both, [*keys, "src"], [F.desc("weight"), F.asc("dst")], top_k).drop("position")
 
 
-def _has_both(pdf: pd.DataFrame) -> bool:
-    own = pdf["_own"]
-    return bool((own == pdf["_a"].iat[0]).any() and (own == pdf["_b"].iat[0]).any())
-
-
-def _no_rows(schema: T.StructType) -> pd.DataFrame:
-    return pd.DataFrame({f.name: [] for f in schema.fields})
-
-
 def _strongest(sim: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int):
     """Per row the k largest entries of a block; more may tie, the final cut settles that."""
     filled = np.nan_to_num(sim, nan=-np.inf)
