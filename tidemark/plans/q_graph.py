@@ -37,7 +37,7 @@ EDGES = f"{CORR}, edges AS (SELECT pred_date, src, dst, abs(rho) AS weight FROM
 
 
 def edges(i: Inputs):
-    return i._keep("edges", lambda: pairs.correlation_edges(i.returns, i.month_starts, W, 0.6, block=64))
+    return i._keep("edges", lambda: pairs.correlation_edges(i.returns, i.month_starts, W, 0.6))
 
 
 def nodes(i: Inputs):
@@ -61,7 +61,7 @@ def _(i: Inputs):
 
 @query("grf2_correlation_edges", f"WITH {EDGES} SELECT pred_date, src, dst, {gs('weight')} FROM edges")
 def _(i: Inputs):
-    return gridded(pairs.correlation_edges(i.returns, i.month_starts, W, 0.6, block=32), "pred_date src dst", "weight")
+    return gridded(pairs.correlation_edges(i.returns, i.month_starts, W, 0.6), "pred_date src dst", "weight")
 
 
 MULTI = f"""{MONTHS}, {_complete(W)}, rhos AS (SELECT a.pred_date, a.ticker AS src, b.ticker AS dst, {_rho(6)} AS r6, {_rho(9)} AS r9, {_rho(W)} AS r12
@@ -91,7 +91,7 @@ def _(i: Inputs):
 @query("grf6_top_k_edges", f"""WITH {CORR} SELECT pred_date, src, dst, {g('abs(rho)')} AS weight FROM rhos WHERE rho IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY pred_date, src ORDER BY abs(rho) DESC, dst) <= 3""")
 def _(i: Inputs):
-    return gridded(pairs.correlation_edges(i.returns, i.month_starts, W, None, top_k=3, block=32), "pred_date src dst", "weight")
+    return gridded(pairs.correlation_edges(i.returns, i.month_starts, W, None, top_k=3), "pred_date src dst", "weight")
 
 
 @query("grf7_self_loops", f"WITH {EDGES}, {NODES}, looped AS (SELECT pred_date, src, dst FROM edges UNION ALL SELECT pred_date, ticker, ticker FROM nodes) SELECT pred_date, count(*) AS n_edges, count_if(src = dst) AS n_loops FROM looped GROUP BY 1")
@@ -143,7 +143,7 @@ def _(i: Inputs):
 
 @query("grf10_fundamental_top_k", f"""WITH {COSINE[5:]} SELECT pred_date, src, dst, {g('sim')} AS weight FROM sims QUALIFY row_number() OVER (PARTITION BY pred_date, src ORDER BY sim DESC, dst) <= 2""")
 def _(i: Inputs):
-    return gridded(pairs.cosine_edges(_vectors(i), COSINE_COLUMNS, None, top_k=2, block=32), "pred_date src dst", "weight")
+    return gridded(pairs.cosine_edges(_vectors(i), COSINE_COLUMNS, None, top_k=2), "pred_date src dst", "weight")
 
 
 REGION_LIST = ", ".join(f"('{r}')" for r in REGIONS)
