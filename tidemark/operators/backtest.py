@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import finite, log_ratio
 from tidemark.operators.portfolio import Constructor
+from tidemark.session import cut_lineage
 
 YEAR = 252
 
@@ -39,7 +40,7 @@ def rebalance_days(calendar: DataFrame, frequency: str = "W", by: tuple[str, ...
 
 @dataclass
 class Backtest:
-    """Lazy result tables of a run."""
+    """Result tables of a run; schedule, weights and holdings are written once, the rest is lazy."""
 
     daily: DataFrame        # strategy, date, ret, turnover, cost
     positions: DataFrame    # strategy, date, ticker, weight
@@ -75,9 +76,9 @@ def run_backtest(
     flagged = rebalance_days(days, frequency).join(dated, "date", "left").withColumn(
         "rebalance", F.col("scheduled") & F.col("_has").isNotNull())
     upto = one.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    schedule = flagged.select(
+    schedule = cut_lineage(flagged.select(
         "date", "day", "rebalance",
-        F.last(F.when(F.col("rebalance"), F.col("day")), ignorenulls=True).over(upto).alias("held_from"))
+        F.last(F.when(F.col("rebalance"), F.col("day")), ignorenulls=True).over(upto).alias("held_from")))
 
     universe = predictions.withColumn("date", F.col("pred_date")).join(
         schedule.where("rebalance").select("date"), "date", "left_semi")
@@ -87,6 +88,7 @@ def run_backtest(
     targets = construct(universe.drop("date")).select(
         F.col("pred_date").alias("date"), "ticker", F.col("weight").alias("w0"))
     targets = targets.join(schedule.where("rebalance").select("date", F.col("day").alias("held_from")), "date").drop("date")
+    targets = cut_lineage(targets)      # read for holdings, turnover and positions
 
     priced = valid_prices.join(schedule.select("date", "day"), "date").select("ticker", "day", F.col("adj_close").alias("px"))
     start = targets.join(priced.withColumnRenamed("day", "held_from").withColumnRenamed("px", "p0"), ["ticker", "held_from"])
@@ -98,10 +100,10 @@ def run_backtest(
     missing_so_far = F.count_if(F.col("px").isNull()).over(w.rowsBetween(Window.unboundedPreceding, 0))
     held = held.withColumn("_missing", missing_so_far).withColumn("_prev", F.coalesce(F.lag("px").over(w), F.col("p0")))
     alive = held.where((F.col("_missing") == 0) | ((F.col("_missing") == 1) & F.col("px").isNull()))
-    moved = alive.select(
+    moved = cut_lineage(alive.select(        # read for gains, turnover and positions
         "held_from", "day", "ticker",
         (F.col("w0") * F.coalesce("px", "_prev") / F.col("p0")).alias("weight"),
-        F.coalesce(F.col("w0") * (F.col("px") - F.col("_prev")) / F.col("p0"), F.lit(0.0)).alias("gain"))
+        F.coalesce(F.col("w0") * (F.col("px") - F.col("_prev")) / F.col("p0"), F.lit(0.0)).alias("gain")))
 
     earned = moved.groupBy("day").agg(F.sum("gain").alias("gain"))
     new = targets.select(F.col("held_from").alias("day"), "ticker", "w0")

@@ -36,7 +36,9 @@ def bars(lineitem: DataFrame, day) -> DataFrame:
     """One bar per (supplier, day): a partial aggregate, so a supplier with very many line items
     is combined before the shuffle."""
     px = 100 + F.col("l_extendedprice") / 10000 + 100 * F.col("l_discount")
-    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    # one whole number, so that the aggregate stays a hash aggregate
+    cents = F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5))
+    key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + cents % 1_000_000
     money = F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("double")
     discount = F.sum(F.col("l_discount").cast("decimal(15,2)")).cast("double")
     n = F.count(F.lit(1))
@@ -210,7 +212,7 @@ class Inputs:
 
 
 def _bars_sql(day: str) -> str:
-    key = "row(l_orderkey, l_linenumber, l_partkey, l_extendedprice)"
+    key = "((l_orderkey * 8 + l_linenumber) * 1000000 + floor(l_extendedprice * 100 + 0.5)::BIGINT % 1000000)"
     px = "(100 + l_extendedprice / 10000 + 100 * l_discount)"
     return f"""
   SELECT {TICKER} AS ticker, {day} AS date, arg_min({px}, {key}) AS open, max({px}) AS high, min({px}) AS low,

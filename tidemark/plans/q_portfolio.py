@@ -75,6 +75,8 @@ def scored(i: Inputs):
 
 
 def run(i: Inputs, name: str):
+    if f"positions_{name}" in i._stored:
+        return i._stored[f"daily_{name}"], i._stored[f"positions_{name}"]
     build = {"equal": portfolio.constructor("equal", top_n=N), "sector": portfolio.constructor("sector", i.sectors),
              "risk": portfolio.constructor("risk", top_n=N)}[name]
     rows = scored(i)
