@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lines, mixing
+from tidemark.llm import bpe, lines, mixing
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: The tokenizer file of op5 and op9.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -69,3 +74,16 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = lines.apply_bitmaps(documents, lines.keep_bitmaps(documents))
     return done.select("doc_id", F.col("_ln_lines").alias("n_lines"), F.col("_ln_dropped").alias("n_dropped"),
                        F.sha2("_ln_kept", 256).alias("kept_sha256"))
+
+
+@query("op5_bpe")
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded_documents(table(spark, folder, "documents"))
+
+
+def encoded_documents(documents: DataFrame) -> DataFrame:
+    """Number and digest of the ids of each document, and digest of the text decoded from them."""
+    ids = bpe.encode(documents, TOKENIZER)
+    ids = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    texts = bpe.decode(ids, TOKENIZER, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
