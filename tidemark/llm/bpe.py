@@ -34,6 +34,7 @@ from tidemark.llm.common import slices
 #: Entries of the table of known pieces, and bytes of text that are cut into pieces at once.
 KNOWN, SPAN = 300_000, 1 << 20
 NEVER = np.iinfo(np.int64).max
+NO_MERGE = (NEVER,)
 
 
 def byte_characters() -> list[str]:
@@ -93,6 +94,14 @@ class Bpe:
     def merged(self, ids: list[int]) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
         n, merge = len(ids), self.merge
+        if n <= 24:  # of few symbols the best pair is found sooner by looking at all
+            while len(ids) > 1:
+                pairs = [merge.get(p, NO_MERGE) for p in zip(ids, ids[1:])]
+                if (best := min(pairs)) is NO_MERGE:
+                    break
+                i = pairs.index(best)
+                ids[i:i + 2] = best[1:]
+            return ids
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(*merge[p], i) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in merge]
         heap = [(r, i, z) for r, z, i in heap]
@@ -214,8 +223,8 @@ class Bpe:
         known, older = self.known, self.older
         parts = [list(self.cut(text)) for text in texts]
         new = set().union(*(pieces for own in parts for pieces in own if isinstance(pieces, list))).difference(known)
-        known.update({p: older[p] for p in new.intersection(older)})
-        missing = list(new.difference(known))
+        known.update({p: older[p] for p in new if p in older})
+        missing = [p for p in new if p not in known]
         if missing:
             known.update(self.learn(missing))
         get = known.__getitem__

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lines, mixing
+from tidemark.llm import bpe, lines, mixing, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,11 @@ def encoded_documents(documents: DataFrame) -> DataFrame:
     ids = ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
     texts = bpe.decode(ids, TOKENIZER, keep=("doc_id", "n_tokens", "ids_sha256"))
     return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op7_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(documents, table(spark, folder, "labels"))
+    done = toxicity.score(documents, model)
+    return done.select("doc_id", F.col("_tox_severity").alias("severity"), F.col("_tox_grade").alias("grade"), (F.col("_tox_grade") > 0).alias("toxic"))
