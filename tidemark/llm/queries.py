@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lines, mixing, toxicity
+from tidemark.llm import bpe, lines, mixing, shingles, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,21 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit_toxicity(documents, table(spark, folder, "labels"))
     done = toxicity.score(documents, model)
     return done.select("doc_id", F.col("_tox_severity").alias("severity"), F.col("_tox_grade").alias("grade"), (F.col("_tox_grade") > 0).alias("toxic"))
+
+
+@query("op10_ngram_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 4], ' ')) AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, CASE WHEN len(words) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM w)),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN s p ON p.doc_id = x JOIN s q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM documents d LEFT JOIN s USING (doc_id) JOIN m USING (doc_id)""")
+def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingles.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
