@@ -33,8 +33,7 @@ from tidemark.llm.common import slices
 
 #: Entries of the table of known pieces, and bytes of text that are cut into pieces at once.
 KNOWN, SPAN = 300_000, 1 << 20
-NEVER = np.iinfo(np.int64).max
-NO_MERGE = (NEVER,)
+NEVER = int(np.iinfo(np.int64).max)
 
 
 def byte_characters() -> list[str]:
@@ -80,11 +79,18 @@ class Bpe:
                 raise ValueError("a token has two merges, or a merge comes before its parts")
             self.merge[x, y] = r, z
             self.rank[z], self.left[z], self.right[z] = r, x, y
+        self.pair_rank = {p: r for p, (r, _) in self.merge.items()}
+        self.made = [z for _, z in self.merge.values()]  # by rank
+        # how far a token can reach that does not end a word, by its first characters
+        self.reach: dict[str, int] = {}
+        for token in self.vocab:
+            if not token.endswith(self.suffix):
+                self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
         keys = np.array([x << 32 | y for x, y in self.merge], dtype=np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int64)
         self.whole = np.zeros(size, dtype=np.int8)  # 0 unknown, 1 merges to itself, -1 does not
-        self.known, self.older = {}, {}
+        self.known, self.older, self.known_words = {}, {}, {}
 
     # -- exact ------------------------------------------------------------------------------
 
@@ -95,12 +101,16 @@ class Bpe:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
         n, merge = len(ids), self.merge
         if n <= 24:  # of few symbols the best pair is found sooner by looking at all
-            while len(ids) > 1:
-                pairs = [merge.get(p, NO_MERGE) for p in zip(ids, ids[1:])]
-                if (best := min(pairs)) is NO_MERGE:
-                    break
-                i = pairs.index(best)
-                ids[i:i + 2] = best[1:]
+            get, made = self.pair_rank.get, self.made
+            ranks = [get(p, NEVER) for p in zip(ids, ids[1:])]
+            while ranks and (best := min(ranks)) != NEVER:
+                i = ranks.index(best)
+                ids[i:i + 2] = [z := made[best]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((ids[i - 1], z), NEVER)
+                if i < len(ranks):
+                    ranks[i] = get((z, ids[i + 1]), NEVER)
             return ids
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(*merge[p], i) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in merge]
@@ -125,12 +135,12 @@ class Bpe:
 
     def proposal(self, characters: str) -> list[int]:
         """Greedy longest match."""
-        vocab, n, out, i = self.vocab, len(characters), [], 0
+        vocab, reach, n, out, i = self.vocab, self.reach, len(characters), [], 0
         while i < n:
             if n - i < self.longest and (token := vocab.get(characters[i:] + self.suffix)) is not None:
                 out.append(token)
                 break
-            for j in range(min(n - 1, i + self.longest), i, -1):
+            for j in range(min(n - 1, i + reach.get(characters[i:i + 3], 2)), i, -1):
                 if (token := vocab.get(characters[i:j])) is not None:
                     out.append(token)
                     i = j
@@ -201,8 +211,12 @@ class Bpe:
     def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Packed ids of pieces that are free of special tokens."""
         words = [self.words(p) for p in pieces]
-        distinct = list({w: None for ws in words for w in ws})
-        ids = {w: i.tobytes() for w, i in zip(distinct, self.encode_words(distinct), strict=True)} if distinct else {}
+        ids = self.known_words
+        new = list(set().union(*words).difference(ids))
+        if len(ids) + len(new) > KNOWN:
+            self.known_words = ids = {w: ids[w] for w in set().union(*words).intersection(ids)}
+        if new:
+            ids.update(zip(new, map(np.ndarray.tobytes, self.encode_words(new)), strict=True))
         return {p: b"".join([ids[w] for w in ws]) for p, ws in zip(pieces, words, strict=True)}
 
     def cut(self, text: bytes) -> Iterator[list[bytes] | bytes]:

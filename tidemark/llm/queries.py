@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lines, mixing, shingles, toxicity
+from tidemark.llm import bpe, lines, mixing, shingles, toxicity, vectors
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,16 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.component_id
 FROM documents d LEFT JOIN s USING (doc_id) JOIN m USING (doc_id)""")
 def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingles.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op3_embedding_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.vec_id WHERE r.c < l.y),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON n.x = m.vec_id""")
+def embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
