@@ -7,13 +7,14 @@ each shingle. Pairs that meet pass a length, a positional and a suffix filter an
 once, on their whole sets.
 
 The result is a class per document, so a pair is skipped, without loss, where both are known to be
-in one class: documents with equal sets are one node from the start; of the documents that meet at
-a shingle each is first compared with one pivot, and what is left to compare are pairs from
-different classes. A group of copies of any size thus costs a multiple of its members.
+in one class: a node is a distinct set, named by its 64-bit digest; of the sets that meet at a
+shingle each is first compared with one pivot, and what is left to compare are pairs from different
+classes. A group of copies of any size thus costs a multiple of its members. (Digests are checked to
+be distinct for distinct sets; if two were equal, another digest would be taken.)
 
 Rules for odd rows: texts without words have empty sets and are linked with nothing; a text of fewer
-words than the shingle is one shingle; rows that share an id are one document and are linked when
-any of their texts is; rows without an id are returned with their set's size and no class.
+words than the shingle is one shingle; rows that repeat an id are compared like other rows; rows
+without an id are compared too, and their class is the smallest id in it, or null if it has none.
 Input columns other than the id and the text are not looked at.
 """
 
@@ -90,33 +91,44 @@ def similar(common: int, n: int, m: int) -> bool:
 # -- first pass: sizes, digests and counts ----------------------------------------------------
 
 
-def digests(documents: DataFrame) -> DataFrame:
-    """Per row ``id, n, fa, fb`` (digest of its set) and, per task, parts of the sketch of counts."""
+def digest(s: np.ndarray, turn: int) -> tuple[int, int]:
+    d = blake2b(s.tobytes(), digest_size=16, salt=bytes([turn])).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def rows_of(documents: DataFrame) -> DataFrame:
+    """``id, row, text``; id and ``row``, a hash of the text, name a row's text."""
+    return documents.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("binary").alias("text"))
+
+
+def digests(documents: DataFrame, turn: int = 0) -> DataFrame:
+    """Per row ``id, row, n, node, check`` (digest of its set) and, per task, parts of the sketch of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
         for b in slices(batches):
-            sizes, fa, fb = [], [], []
-            for text in b.column(1).to_pylist():
+            sizes, nodes, checks = [], [], []
+            for text in b.column(2).to_pylist():
                 s = shingle_set(text, hashes)
-                d = blake2b(s.tobytes(), digest_size=16).digest()
+                node, check = digest(s, turn)
                 sizes.append(len(s))
-                fa.append(int.from_bytes(d[:8], "little", signed=True))
-                fb.append(int.from_bytes(d[8:], "little", signed=True))
+                nodes.append(node)
+                checks.append(check)
                 at = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 counts[at] += (counts[at] < 65535).astype(np.uint16)
             none = pa.nulls(b.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(fa), pa.array(fb), none, none, pa.nulls(b.num_rows, pa.binary())], names=names)
+            made = [pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), none, none, pa.nulls(b.num_rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=names)
         task, parts = TaskContext.get().partitionId(), counts.reshape(-1, 1 << PART_BITS)
         for k, part in enumerate(parts):
             if part.any():
-                row = [[None], [None], [None], [None], [k], [task], [zlib.compress(part.astype("<u4").tobytes(), 1)]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=names)
+                row = [None, None, None, None, None, k, task, zlib.compress(part.astype("<u4").tobytes(), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
-    names = ["id", "n", "fa", "fb", "part", "task", "counts"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary"))
-    return cut_lineage(rows.mapInArrow(run, "id long, n int, fa long, fb long, part int, task int, counts binary"))
+    names = ["id", "row", "n", "node", "check", "part", "task", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return cut_lineage(rows_of(documents).mapInArrow(
+        run, "id long, row long, n int, node long, check long, part int, task int, counts binary"))
 
 
 def rarity(parts: DataFrame, fan: int = 64) -> np.ndarray:
@@ -148,29 +160,36 @@ def rarity(parts: DataFrame, fan: int = 64) -> np.ndarray:
 # -- second pass: prefixes --------------------------------------------------------------------
 
 
-def prefixes(documents: DataFrame, table) -> DataFrame:
-    """A row per prefix shingle and document: ``gram, salt, id, n, pos``; ``pos`` counts from 0."""
+def prefixes(documents: DataFrame, table, turn: int) -> DataFrame:
+    """A row per prefix shingle and set: ``gram, salt, id, n, pos``; ``id`` is the set's node, ``pos`` counts from 0.
+
+    A task passes on a set once, as far as a bounded memory of digests reaches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rare = WordHashes(), table.value
+        hashes, rare, seen = WordHashes(), table.value, set()
         for b in slices(batches):
             grams, salts, ids, ns, ps = [], [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text in b.column(2).to_pylist():
                 s = shingle_set(text, hashes)
-                if not len(s):
+                node, _ = digest(s, turn)
+                if not len(s) or node in seen:
                     continue
+                if len(seen) >= KNOWN:
+                    seen.clear()
+                seen.add(node)
                 level = rare[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((s, level))[:prefix_length(len(s))]
                 grams.append(s[order].view(np.int64))
-                salts.append(np.where(level[order] >= HOT, 1 + i % SALTS, 0))
-                ids.append(np.full(len(order), i))
+                salts.append(np.where(level[order] >= HOT, 1 + node % SALTS, 0))
+                ids.append(np.full(len(order), node))
                 ns.append(np.full(len(order), len(s)))
                 ps.append(np.arange(len(order)))
             if ids:
                 made = [pa.array(np.concatenate(v).astype(t)) for v, t in zip((grams, salts, ids, ns, ps), (np.int64, np.int32, np.int64, np.int32, np.int32), strict=True)]
                 yield pa.RecordBatch.from_arrays(made, names=["gram", "salt", "id", "n", "pos"])
 
-    return documents.mapInArrow(run, "gram long, salt int, id long, n int, pos int")
+    return rows_of(documents).mapInArrow(run, "gram long, salt int, id long, n int, pos int")
 
 
 def may_link(a: str, b: str):
@@ -188,9 +207,9 @@ def meetings(posts: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("gram", "salt").orderBy("n", "id")
     first = {c: F.first(c).over(w).alias(f"p_{c}") for c in ("id", "n", "pos")}
-    rows = posts.select("gram", "salt", "id", "n", "pos", *first.values(), F.lead("id").over(w).isNotNull().alias("more"))
+    rows = posts.select("gram", "salt", "id", "n", "pos", *first.values(), (F.lead("id").over(w) != F.col("id")).alias("more"))
     # alone in its group: kept only where other groups of the shingle may hold partners
-    rows = cut_lineage(rows.where("id <> p_id or more or salt > 0").drop("more"))
+    rows = cut_lineage(rows.where("id <> p_id or coalesce(more, false) or salt > 0").drop("more").distinct())
     w = Window.partitionBy("gram").orderBy("n", "id")
     top = rows.where("salt > 0 and id = p_id").select("gram", "salt", "id", "n", "pos").distinct()
     top = top.select("gram", "salt", "id", "n", "pos", *[F.first(c).over(w).alias(f"p_{c}") for c in ("id", "n", "pos")])
@@ -254,13 +273,16 @@ def pass_suffix_filter(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def links(documents: DataFrame, table) -> DataFrame:
-    """Links ``(a, b)`` that connect all similar documents of ``documents(id, text)``, sets being distinct."""
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(table)
-    met = cut_lineage(meetings(prefixes(documents, shared)))
-    texts = documents.join(met.select("id").unionByName(met.select(F.col("p_id").alias("id"))).distinct(), "id", "left_semi")
-    texts = cut_lineage(texts.select("id", "text"))
+def links(documents: DataFrame, rows: DataFrame, table, turn: int) -> DataFrame:
+    """Links ``(a, b)`` that connect all similar sets; ``rows`` names a row for each of them."""
+    shared = documents.sparkSession.sparkContext.broadcast(table)
+    met = cut_lineage(meetings(prefixes(documents, shared, turn)))
+    # one text of each set that meets another; merged, so that no plan depends on how many there are
+    ends = met.select("id").unionByName(met.select(F.col("p_id").alias("id"))).distinct().withColumnRenamed("id", "node")
+    ends = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "row")).alias("at")).select("node", "at.id", "at.row")
+    wanted = cut_lineage(ends.withColumnsRenamed({"id": "w_id", "row": "w_row"})).hint("merge")
+    texts = rows_of(documents).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row")))
+    texts = cut_lineage(texts.select(F.col("node").alias("id"), "text"))
 
     # 1. each document with the pivot with which it shares most shingles
     pivots = met.where(may_link("", "p_") & (F.col("id") != F.col("p_id"))).groupBy(F.col("p_id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("k"))
@@ -306,19 +328,24 @@ def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``documents(doc_id, text)``."""
-    first = digests(documents)
-    rows = first.where("part is null").select("id", "n", "fa", "fb")
-    # one node per set: the smallest id; only sets that repeat are looked up
-    repeated = rows.where("n > 0 and id is not null").groupBy("fa", "fb").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1")
-    repeated = cut_lineage(repeated.select("fa", "fb", "least"))
-    copies = cut_lineage(rows.where("n > 0").join(repeated, ["fa", "fb"]).where("id is not null").select("id", "least").distinct())
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).where("id is not null")
-    texts = texts.join(copies.where("id <> least").select("id"), "id", "left_anti")
-    found = links(texts, rarity(first.where("part is not null").select("part", "task", "counts")))
-    edges = found.unionByName(copies.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    group = _classes(edges)
-    rows = rows.join(group.withColumnRenamed("node", "id"), "id", "left")
-    return rows.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    turn = 0
+    while True:
+        first = digests(documents, turn)
+        rows = first.where("part is null").select("id", "row", "n", "node", "check")
+        if rows.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").isEmpty():
+            break
+        turn += 1
+    filled = rows.where("n > 0")
+    found = links(documents, filled, rarity(first.where("part is not null").select("part", "task", "counts")), turn)
+    # the class of a set that is linked or repeats is looked up; others are their own
+    group = _classes(found)
+    sets = filled.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("k")).join(group, "node", "left").where("k > 1 or component is not null")
+    sets = cut_lineage(sets.select("node", F.coalesce("component", "node").alias("component"), "least"))
+    least = sets.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut_lineage(sets.join(least, "component").select("node", "component_id", F.lit(True).alias("named")))
+    rows = rows.join(named, "node", "left")
+    component = F.when(F.col("named") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("id"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
