@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lines, mixing, shingles, toxicity, vectors
+from tidemark.llm import bpe, lines, mixing, search, shingles, toxicity, vectors
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,20 @@ n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
 SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON n.x = m.vec_id""")
 def embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op1_hamming_top_k", """
+WITH c AS (
+  SELECT vec_id AS id, list_sum([CASE WHEN embedding[b]::DOUBLE + embedding[b + 32]::DOUBLE >= 0 THEN (1::BIGINT << (b - 1)) ELSE 0 END FOR b IN range(1, 33)])::BIGINT AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+d AS (
+  SELECT q.id AS query_id, c.id, bit_count(xor(q.code, c.code))::BIGINT AS distance,
+    row_number() OVER (PARTITION BY q.id ORDER BY bit_count(xor(q.code, c.code)), c.id)::INTEGER AS rank
+  FROM c q JOIN c ON q.id % 50 = 0 AND c.id <> q.id)
+SELECT query_id, rank, id AS vec_id, distance FROM d WHERE rank <= 10""")
+def hamming_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vecs = table(spark, folder, "embeddings")
+    codes = vecs.select(F.col("vec_id").alias("id"), search.sign_codes(F.col("embedding"), 32).alias("code"))
+    # the stated query set: every id divisible by 50
+    found = search.top_k(codes, codes.where("id % 50 = 0"), k=10, bits=32)
+    return found.withColumnRenamed("id", "vec_id")
