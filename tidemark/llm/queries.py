@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lines, mixing, search, shingles, toxicity, vectors
+from tidemark.llm import bpe, lines, mixing, search, shingles, toxicity, vectors, warc
 from tidemark.llm.common import table
+from tidemark.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +144,17 @@ def hamming_top_k(spark: SparkSession, folder: str) -> DataFrame:
     # the stated query set: every id divisible by 50
     found = search.top_k(codes, codes.where("id % 50 = 0"), k=10, bits=32)
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op4_warc", """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""")
+def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
