@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lines, mixing, search, shingles, toxicity, vectors, warc
-from tidemark.llm.common import table
+from tidemark.llm import bpe, lines, mixing, search, shingles, token_counts, token_records, toxicity, vectors, warc
+from tidemark.llm.common import WORD, table
 from tidemark.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,39 @@ def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, folder, "pages"), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+LETTERS = r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]"
+REVISED = r"[^\x20\x09-\x0D]*[A-Za-z0-9][^\x20\x09-\x0D]*"
+
+
+@query("op6_token_counts", rf"""
+WITH d AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
+c AS (
+  SELECT source, lang, 'letters' AS version, coalesce(len(regexp_extract_all(text, '{LETTERS}')), 0) AS n FROM d
+  UNION ALL SELECT source, lang, 'words', coalesce(len(regexp_extract_all(text, '{REVISED}')), 0) FROM d)
+SELECT source, lang, version, count(*) AS docs, sum(n)::BIGINT AS tokens FROM c GROUP BY source, lang, version""")
+def token_counts_after_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents come in two tokenizer versions, one of which is counted anew; toxic ones go; every batch comes twice."""
+    documents = table(spark, folder, "documents")
+
+    def counted(op: str, *versions: tuple[str, str]) -> DataFrame:
+        counts = F.array(*[F.struct(F.lit(v).alias("version"), F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long").alias("tokens")) for v, p in versions])
+        return documents.select(F.lit(op).alias("op"), F.lit(0).alias("seq"), "doc_id", "source", "lang", F.inline(counts))
+
+    gone = table(spark, folder, "labels").where("toxic = 1 and doc_id is not null").select("doc_id").distinct().select(
+        F.lit("delete").alias("op"), F.lit(0).alias("seq"), "doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"),
+        F.explode(F.array(F.lit("words"), F.lit("letters"))).alias("version"), F.lit(0).cast("long").alias("tokens"))
+    rollup = token_counts.Rollup(spark, new_path(spark, "rollup"))
+    batches = {"load": counted("insert", ("words", WORD), ("letters", LETTERS)), "recount": counted("revise", ("words", REVISED)), "remove": gone}
+    for _ in range(2):
+        for name, changes in batches.items():
+            rollup.apply(name, changes)
+    return rollup.totals()
+
+
+@query("op9_token_records")
+def token_record_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "records")
+    token_records.write_records(table(spark, folder, "documents"), path, TOKENIZER)
+    return token_records.read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
