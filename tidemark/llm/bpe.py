@@ -69,7 +69,8 @@ class Bpe:
             self.tokens[i] = token if isinstance(token, bytes) else token.encode()
         self.token_list = self.tokens.tolist()
 
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pair_rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # by rank
         self.rank = np.full(size, -1, dtype=np.int64)
         self.left, self.right = np.full(size, -1, dtype=np.int64), np.full(size, -1, dtype=np.int64)
         for r, pair in enumerate(model["merges"]):
@@ -77,16 +78,15 @@ class Bpe:
             x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
             if self.rank[z] >= 0 or max(self.rank[x], self.rank[y]) >= r:
                 raise ValueError("a token has two merges, or a merge comes before its parts")
-            self.merge[x, y] = r, z
+            self.pair_rank[x, y] = r
+            self.made.append(z)
             self.rank[z], self.left[z], self.right[z] = r, x, y
-        self.pair_rank = {p: r for p, (r, _) in self.merge.items()}
-        self.made = [z for _, z in self.merge.values()]  # by rank
         # how far a token can reach that does not end a word, by its first characters
         self.reach: dict[str, int] = {}
         for token in self.vocab:
             if not token.endswith(self.suffix):
                 self.reach[token[:3]] = max(len(token), self.reach.get(token[:3], 0))
-        keys = np.array([x << 32 | y for x, y in self.merge], dtype=np.int64)
+        keys = np.array([x << 32 | y for x, y in self.pair_rank], dtype=np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int64)
         self.whole = np.zeros(size, dtype=np.int8)  # 0 unknown, 1 merges to itself, -1 does not
@@ -99,36 +99,38 @@ class Bpe:
 
     def merged(self, ids: list[int]) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until none is left."""
-        n, merge = len(ids), self.merge
-        if n <= 24:  # of few symbols the best pair is found sooner by looking at all
-            get, made = self.pair_rank.get, self.made
-            ranks = [get(p, NEVER) for p in zip(ids, ids[1:])]
-            while ranks and (best := min(ranks)) != NEVER:
-                i = ranks.index(best)
-                ids[i:i + 2] = [z := made[best]]
-                del ranks[i]
-                if i:
-                    ranks[i - 1] = get((ids[i - 1], z), NEVER)
-                if i < len(ranks):
-                    ranks[i] = get((z, ids[i + 1]), NEVER)
-            return ids
+        if len(ids) > 24:
+            return self.merged_by_heap(ids)
+        # of few symbols the best pair is found sooner by looking at all
+        get, made = self.pair_rank.get, self.made
+        ranks = [get(p, NEVER) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            i = ranks.index(best)
+            ids[i:i + 2] = [z := made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], z), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((z, ids[i + 1]), NEVER)
+        return ids
+
+    def merged_by_heap(self, ids: list[int]) -> list[int]:
+        n, get, made = len(ids), self.pair_rank.get, self.made
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(*merge[p], i) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in merge]
-        heap = [(r, i, z) for r, z, i in heap]
+        heap = [(r, i) for i, p in enumerate(zip(ids, ids[1:])) if (r := get(p)) is not None]
         heapq.heapify(heap)
         while heap:
-            r, i, z = heapq.heappop(heap)
+            r, i = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else n
-            if j >= n or merge.get((ids[i], ids[j]), (-1, -1))[0] != r:
-                continue
-            ids[i], ids[j] = z, -1
+            if j >= n or get((ids[i], ids[j])) != r:
+                continue  # one of the two was merged meanwhile
+            ids[i], ids[j] = made[r], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (p := (z, ids[k])) in merge:
-                    heapq.heappush(heap, (merge[p][0], i, merge[p][1]))
-            if (h := before[i]) >= 0 and (p := (ids[h], z)) in merge:
-                heapq.heappush(heap, (merge[p][0], h, merge[p][1]))
+            for h, j in ((before[i], i), (i, k)):
+                if h >= 0 and j < n and (r := get((ids[h], ids[j]))) is not None:
+                    heapq.heappush(heap, (r, h))
         return [x for x in ids if x >= 0]
 
     # -- speculative ------------------------------------------------------------------------
