@@ -30,8 +30,8 @@ def world(spark):
 
 def test_rank_metrics(world):
     _, df, _, pdf = world
-    for spread in (True, False):
-        out = ranking.daily_metrics(df, top_n=3, spread=spread).toPandas().set_index("pred_date")
+    for per_range in (7, 1_000_000):
+        out = ranking.daily_metrics(df, top_n=3, per_range=per_range).toPandas().set_index("pred_date")
         for d, g in pdf.groupby("pred_date"):
             g = g.sort_values(["score", "ticker"])
             assert out.ic[d] == pytest.approx(g.score.rank().corr(g.target.rank()))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from tidemark.operators import losses
-from tidemark.operators.spread import average_ranks, exact_quantiles, has_large_group, row_position, running_totals
+from tidemark.operators.spread import average_ranks, exact_quantiles, row_position, running_totals
 
 
 @pytest.fixture(scope="module")
@@ -18,11 +18,11 @@ def skewed(spark):
     return spark.createDataFrame(pdf), pdf
 
 
-@pytest.mark.parametrize("spread", [True, False])
+@pytest.mark.parametrize("per_range", [7, 1_000_000])
 @pytest.mark.parametrize("descending", [True, False])
-def test_running_totals(skewed, spread, descending):
+def test_running_totals(skewed, per_range, descending):
     df, pdf = skewed
-    out = running_totals(df, ["g"], "x", ["n", "id"], descending, spread, keep_one_in=3).toPandas()
+    out = running_totals(df, ["g"], "x", ["n", "id"], descending, per_range).toPandas()
     assert len(out) == pdf.groupby(["g", "x"]).ngroups
     for r in out.itertuples():
         group = pdf[pdf.g == r.g]
@@ -30,28 +30,34 @@ def test_running_totals(skewed, spread, descending):
         assert (r.n_before, r.id_before) == (len(earlier), earlier.id.sum())
 
 
-@pytest.mark.parametrize("spread", [True, False])
-def test_average_ranks(skewed, spread):
+@pytest.mark.parametrize("per_range", [7, 1_000_000])
+def test_average_ranks(skewed, per_range):
     df, pdf = skewed
-    out = average_ranks(df, ["g"], {"x": "r"}, spread, keep_one_in=3).toPandas().sort_values("id")
+    out = average_ranks(df, ["g"], {"x": "r"}, per_range).toPandas().sort_values("id")
     assert np.array_equal(out.r, pdf.groupby("g").x.rank())
 
 
-@pytest.mark.parametrize("spread", [True, False])
-def test_quantiles_and_positions(skewed, spread):
+@pytest.mark.parametrize("per_range", [7, 1_000_000])
+def test_quantiles_and_positions(skewed, per_range):
     df, pdf = skewed
-    out = exact_quantiles(df, ["g"], "x", {"a": 0.1, "m": 0.5, "b": 0.97}, spread, keep_one_in=3).toPandas().set_index("g")
+    out = exact_quantiles(df, ["g"], "x", {"a": 0.1, "m": 0.5, "b": 0.97}, per_range).toPandas().set_index("g")
     for name, q in (("a", 0.1), ("m", 0.5), ("b", 0.97)):
         for g in ("hot", "cold"):
             assert out.loc[g, name] == pytest.approx(np.quantile(pdf[pdf.g == g].x, q))
-    placed = row_position(df, ["g"], ["x", "id"], "p", spread, keep_one_in=3).toPandas()
+    placed = row_position(df, ["g"], ["x", "id"], "p", per_range).toPandas()
     placed = placed.sort_values(["g", "x", "id"])
     assert list(placed.p) == list(placed.groupby("g").cumcount() + 1)
 
 
-def test_group_size_check(skewed):
-    df, _ = skewed
-    assert has_large_group(df, ["g"], 599) and not has_large_group(df, ["g"], 600)
+@pytest.mark.parametrize("per_range", [1, 1_000_000])
+def test_null_groups_are_kept(spark, per_range):
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 4.0), ("a", 3, 1.0), ("a", 4, 3.0)], "g string, id int, x double")
+    ranks = average_ranks(df, ["g"], {"x": "r"}, per_range).collect()
+    assert {r.id: r.r for r in ranks} == {1: 1.0, 2: 2.0, 3: 1.0, 4: 2.0}
+    assert {r.id: r.p for r in row_position(df, ["g"], ["x", "id"], "p", per_range).collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
+    assert {r.g: r.m for r in exact_quantiles(df, ["g"], "x", {"m": 0.5}, per_range).collect()} == {None: 3.0, "a": 2.0}
+    totals = running_totals(df, ["g"], "x", ["id"], per_range=per_range).collect()
+    assert {r.x: r.id_before for r in totals} == {2.0: 0, 4.0: 1, 1.0: 0, 3.0: 3}
 
 
 def _hinge(pdf, margin):
@@ -65,23 +71,23 @@ def _hinge(pdf, margin):
     return total / pairs, pairs
 
 
-@pytest.mark.parametrize("spread", [True, False])
+@pytest.mark.parametrize("per_range", [7, 1_000_000])
 @pytest.mark.parametrize("margin", [0.0, 0.3])
-def test_pairwise_hinge_counts_every_pair_once(spark, spread, margin):
+def test_pairwise_hinge_counts_every_pair_once(spark, per_range, margin):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({
         "pred_date": np.repeat(["a", "b", "c"], [40, 17, 1]), "ticker": [f"T{k}" for k in range(58)],
         "score": np.round(rng.normal(size=58), 1), "target": np.round(rng.normal(size=58), 1)})
-    row = losses.pairwise_hinge_loss(spark.createDataFrame(pdf), margin, spread=spread, keep_one_in=2).first()
+    row = losses.pairwise_hinge_loss(spark.createDataFrame(pdf), margin, per_range=per_range).first()
     loss, pairs = _hinge(pdf, margin)
     assert row.n_pairs == pairs and row.loss == pytest.approx(loss)
 
 
-@pytest.mark.parametrize("spread", [True, False])
-def test_listmle(spark, spread):
+@pytest.mark.parametrize("per_range", [7, 1_000_000])
+def test_listmle(spark, per_range):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"pred_date": "a", "ticker": [f"T{k}" for k in range(30)], "score": rng.normal(size=30), "target": rng.normal(size=30)})
-    row = losses.listmle_loss(spark.createDataFrame(pdf), spread=spread).first()
+    row = losses.listmle_loss(spark.createDataFrame(pdf), per_range=per_range).first()
     s = pdf.sort_values("target", ascending=False).score.to_numpy()
     expected = np.mean([np.log(np.exp(s[k:]).sum()) - s[k] for k in range(30)])
     assert row.loss == pytest.approx(expected)

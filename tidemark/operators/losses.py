@@ -1,7 +1,7 @@
 """Ranking and regression losses of a score as plain metrics.
 
 Pairwise sums never list pairs: they follow from running totals, so a date of any size costs
-n log n rows. ``spread`` is that of ``running_totals``.
+n log n rows. ``per_range`` is that of ``running_totals``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import valid_rows
-from tidemark.operators.spread import has_large_group, running_totals
+from tidemark.operators.spread import PER_RANGE, running_totals
 
 
 def pearson_ic_loss(df: DataFrame, least: int = 3, eps: float = 1e-8) -> DataFrame:
@@ -26,7 +26,7 @@ def pearson_ic_loss(df: DataFrame, least: int = 3, eps: float = 1e-8) -> DataFra
     return per_date.where(F.col("n") >= least).agg((-F.avg(ic)).alias("loss"), F.count(F.lit(1)).alias("n_dates"))
 
 
-def listmle_loss(df: DataFrame, spread: bool | None = None) -> DataFrame:
+def listmle_loss(df: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     """One row: mean over dates of the mean of logsumexp(scores from this rank on) - score, ranks
     by target descending. Rows of equal target share their tail sums in name order."""
     rows = valid_rows(df)
@@ -35,34 +35,32 @@ def listmle_loss(df: DataFrame, spread: bool | None = None) -> DataFrame:
     rows = rows.join(peak, "pred_date").select(
         "pred_date", F.struct(F.col("target"), F.col("ticker")).alias("_key"),
         F.exp(F.col("score") - F.col("_max")).alias("_e"), (F.col("score") - F.col("_max")).alias("_s"))
-    cells = running_totals(rows, ["pred_date"], "_key", ["_e", "_s"], spread=spread)
+    cells = running_totals(rows, ["pred_date"], "_key", ["_e", "_s"], per_range=per_range)
     term = F.ln(F.col("_e_before") + F.col("_e")) - F.col("_s")
     return cells.groupBy("pred_date").agg(F.avg(term).alias("_l")).agg(
         F.avg("_l").alias("loss"), F.count(F.lit(1)).alias("n_dates"))
 
 
 def pairwise_hinge_loss(
-    df: DataFrame, margin: float = 0.0, bits: int = 31, spread: bool | None = None, keep_one_in: int = 1024,
+    df: DataFrame, margin: float = 0.0, per_range: int = PER_RANGE,
 ) -> DataFrame:
     """One row: mean of max(0, margin - (s_i - s_j)) over all pairs with y_i > y_j of one date,
     pooled over dates, and the number of pairs.
 
     Two different dense ranks differ first at exactly one bit; there the greater one has the
     bit set. So per (date, level, prefix) the pairs are 'set' rows against 'unset' rows, and a
-    running total over scores sums the hinge of all of them. ``bits`` bounds the distinct
-    targets per date at 2^bits; levels above a date's highest rank are dropped up front.
+    running total over scores sums the hinge of all of them. A date has as many levels as its
+    highest rank has bits.
     """
     rows = valid_rows(df).select("pred_date", "score", "target")
-    if spread is None:
-        spread = has_large_group(rows, ["pred_date"])
     distinct = rows.select("pred_date", "target", F.lit(1).cast("bigint").alias("_n")).distinct()
-    places = running_totals(distinct, ["pred_date"], "target", ["_n"], spread=spread, keep_one_in=keep_one_in).select(
+    places = running_totals(distinct, ["pred_date"], "target", ["_n"], per_range=per_range).select(
         "pred_date", "target", F.col("_n_before").cast("bigint").alias("_rank"))
     # a row meets at most one other group per bit of its date's highest rank
     tallest = places.groupBy("pred_date").agg(F.max("_rank").alias("_top"))
     ranked = rows.join(places, ["pred_date", "target"]).join(tallest, "pred_date")
     levels = F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.pow(F.lit(2.0), i) <= F.col("_top")))
+        F.sequence(F.lit(0), F.lit(62)), lambda i: F.pow(F.lit(2.0), i) <= F.col("_top")))
     leveled = ranked.select("pred_date", "score", "_rank", levels.alias("level")).select(
         "pred_date", "level", F.expr("shiftright(_rank, level + 1)").alias("prefix"),
         F.expr("shiftright(_rank, level) & 1").alias("bit"), "score")
@@ -75,7 +73,7 @@ def pairwise_hinge_loss(
         F.when(high, 0.0).otherwise(1.0).alias("lower"),
         F.when(high, 0.0).otherwise(F.col("score")).alias("lower_sum"))
     by = ["pred_date", "level", "prefix"]
-    cells = running_totals(events, by, "_key", ["upper", "lower", "lower_sum"], descending=True, spread=spread, keep_one_in=keep_one_in)
+    cells = running_totals(events, by, "_key", ["upper", "lower", "lower_sum"], descending=True, per_range=per_range)
     # rows with the very same key contribute zero, so strictly greater keys suffice
     hinge = F.sum(F.col("upper") * (F.col("lower_sum_before") - F.col("_key") * F.col("lower_before")))
     pairs = leveled.groupBy(*by).agg(F.sum(F.col("bit")).alias("_u"), F.sum(1 - F.col("bit")).alias("_l")).agg(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import finite, pearson
-from tidemark.operators.spread import average_ranks, exact_quantiles, top_rows
+from tidemark.operators.spread import PER_RANGE, average_ranks, exact_quantiles, top_rows
 
 BY = ("pred_date",)
 
@@ -32,12 +32,12 @@ def correlation_of(x: Column, y: Column) -> Column:
     return pearson(n, F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))
 
 
-def rank_ic(df: DataFrame, by: Sequence[str] = BY, least: int = 2, spread: bool | None = None) -> DataFrame:
+def rank_ic(df: DataFrame, by: Sequence[str] = BY, least: int = 2, per_range: int = PER_RANGE) -> DataFrame:
     """(by, ic, n): Spearman correlation of score and target, null below ``least`` rows or for
     a constant side."""
     by = list(by)
     rows = valid_rows(df).select(*by, "ticker", "score", "target")
-    ranked = average_ranks(rows, by, {"score": "_rs", "target": "_rt"}, spread)
+    ranked = average_ranks(rows, by, {"score": "_rs", "target": "_rt"}, per_range)
     n = F.count(F.lit(1))
     return ranked.groupBy(*by).agg(
         F.when(n >= least, correlation_of(F.col("_rs"), F.col("_rt"))).alias("ic"), n.alias("n"))
@@ -72,11 +72,11 @@ def leg_spread(df: DataFrame, by: Sequence[str] = BY, top_n: int = 50) -> DataFr
         F.when(top > bottom, 1.0).otherwise(0.0).alias("hit_rate"), (top - bottom).alias("spread"))
 
 
-def daily_metrics(df: DataFrame, by: Sequence[str] = BY, top_n: int = 50, spread: bool | None = None) -> DataFrame:
+def daily_metrics(df: DataFrame, by: Sequence[str] = BY, top_n: int = 50, per_range: int = PER_RANGE) -> DataFrame:
     """(by, ic, hit_rate, spread, n_valid) for every date, null metrics below two valid rows."""
     by = list(by)
     dates = df.select(*by).distinct()
-    ic = rank_ic(df, by, spread=spread)
+    ic = rank_ic(df, by, per_range=per_range)
     return dates.join(ic, by, "left").join(leg_spread(df, by, top_n), by, "left").select(
         *by, "ic", "hit_rate", "spread", F.coalesce("n", F.lit(0)).alias("n_valid"))
 

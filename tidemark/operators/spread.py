@@ -1,11 +1,10 @@
 """Exact order statistics of groups of any size.
 
-A window puts a whole group into one task. That is the best plan while groups are moderate,
-so the largest group is counted first (a partial aggregate over the key columns). Beyond
-``LARGEST_GROUP`` rows the keys are collapsed to distinct values with counts, written once,
-and cut into ranges at split points taken from a bounded sample; each range is accumulated on
-its own and the totals of the lower ranges are added. Results are exact whatever the sample
-holds. The sample is chosen by hash, hence the same after any recomputation.
+One plan for all sizes: the keys of a group are collapsed to distinct values with counts, written
+once, and cut into ranges of about ``per_range`` keys; each range is accumulated on its own and the
+totals of the lower ranges are added. A group of fewer keys is one range. Split points come from a
+sample of the keys, chosen by hash (hence the same after any recomputation) and in proportion to the
+group's counted size; results are exact whatever the sample holds. Null group keys are groups too.
 """
 
 from __future__ import annotations
@@ -17,33 +16,26 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-LARGEST_GROUP = 1_000_000   # rows of one group that may meet in one task
-KEEP_ONE_IN = 1024      # sampling rate of distinct keys
-SAMPLE_BOUND = 4096     # most sampled keys per group
-MOST_SPLITS = 256       # most ranges per group
+PER_RANGE = 1_000_000   # distinct keys of one group that meet in one task, about
+PER_SPLIT = 64          # sampled keys for each split point
 
 
-def has_large_group(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
-    """Whether any group holds more rows than one task should sort."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    top = sizes.agg(F.max("_n")).first()[0]
-    return (top or 0) > (LARGEST_GROUP if limit is None else limit)
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the key columns are those of ``left``."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & left[k].eqNullSafe(other[f"_same_{k}"])
+    return left.join(other, match, how).drop(*[f"_same_{k}" for k in keys])
 
 
-def _split_points(cells: DataFrame, by: Sequence[str], order: str, keep_one_in: int) -> DataFrame:
-    h = F.xxhash64(*by, order)
-    w = Window.partitionBy(*by).orderBy("_h", order)
-    sample = (
-        cells.select(*by, order, h.alias("_h"))
-        .where(F.pmod(F.col("_h"), F.lit(keep_one_in)) == 0)
-        .withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= SAMPLE_BOUND)
-    )
-    keys = sample.groupBy(*by).agg(F.sort_array(F.collect_list(order)).alias("_keys"))
-    step = F.greatest(F.lit(1), F.ceil(F.size("_keys") / F.lit(float(MOST_SPLITS))).cast("int"))
-    return keys.select(
-        *by, F.filter("_keys", lambda _, i: (i % step) == 0).alias("_splits")
-    )
+def _split_points(cells: DataFrame, by: Sequence[str], order: str, per_range: int) -> DataFrame:
+    large = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_range).drop("_n")
+    rate = max(1, per_range // PER_SPLIT)
+    sample = cells.where(F.col(order).isNotNull() & (F.pmod(F.xxhash64(*by, order), F.lit(rate)) == 0)).select(*by, order)
+    keys = same_keys(sample, large, by).groupBy(*by).agg(F.sort_array(F.collect_list(order)).alias("_keys"))
+    step = max(1, per_range // rate)
+    return keys.select(*by, F.filter("_keys", lambda _, i: (i % step) == 0).alias("_splits"))
 
 
 def running_totals(
@@ -52,13 +44,11 @@ def running_totals(
     order: str,
     values: Sequence[str],
     descending: bool = False,
-    spread: bool | None = None,
-    keep_one_in: int = KEEP_ONE_IN,
+    per_range: int = PER_RANGE,
 ) -> DataFrame:
     """Per distinct (by, order): the sum of each value and the sum over all earlier keys.
 
     Output columns: by, order, each value, and ``<value>_before`` (strictly earlier keys).
-    ``spread`` forces or forbids the range-cut plan; by default the group sizes decide.
     """
     by = list(by)
 
@@ -68,82 +58,52 @@ def running_totals(
     def before(v: str, w):
         return F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    if spread is None:
-        spread = has_large_group(df, by)
-    cells = df.groupBy(*by, order).agg(*[F.sum(v).alias(v) for v in values])
-    if not spread:
-        w = Window.partitionBy(*by).orderBy(direction(order))
-        return cells.select(*by, order, *values, *[before(v, w).alias(f"{v}_before") for v in values])
-
-    cells = cut_lineage(cells)
-    splits = _split_points(cells, by, order, keep_one_in)
+    cells = cut_lineage(df.groupBy(*by, order).agg(*[F.sum(v).alias(v) for v in values]))
     below = F.size(F.filter("_splits", lambda s: s <= F.col(order)))
-    cells = cells.join(splits, by, "left").withColumn(
+    cells = same_keys(cells, _split_points(cells, by, order, per_range), by, "left").withColumn(
         "_range", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(below)).drop("_splits")
     lower = Window.partitionBy(*by).orderBy(direction("_range"))
     inside = Window.partitionBy(*by, "_range").orderBy(direction(order))
     offsets = cells.groupBy(*by, "_range").agg(*[F.sum(v).alias(v) for v in values]).select(
         *by, "_range", *[before(v, lower).alias(f"_offset_{v}") for v in values])
     local = cells.select("*", *[before(v, inside).alias(f"_local_{v}") for v in values])
-    return local.join(offsets, [*by, "_range"]).select(
+    return same_keys(local, offsets, [*by, "_range"]).select(
         *by, order, *values,
         *[(F.col(f"_local_{v}") + F.col(f"_offset_{v}")).alias(f"{v}_before") for v in values],
     )
 
 
-def average_ranks(
-    df: DataFrame, by: Sequence[str], keys: dict[str, str], spread: bool | None = None,
-    keep_one_in: int = KEEP_ONE_IN,
-) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], keys: dict[str, str], per_range: int = PER_RANGE) -> DataFrame:
     """Add ranks from 1 within ``by`` as ``{key column: rank column}``; equal keys share the mean
     of their ranks. Keys must be non-null."""
     by = list(by)
-    if spread is None:
-        spread = has_large_group(df, by)
     for key, out in keys.items():
-        if not spread:
-            tied = F.count(F.lit(1)).over(Window.partitionBy(*by, key)) - 1
-            df = df.withColumn(out, F.rank().over(Window.partitionBy(*by).orderBy(key)) + tied / F.lit(2.0))
-            continue
         counted = df.select(*by, key, F.lit(1).cast("bigint").alias("_n"))
-        cells = running_totals(counted, by, key, ["_n"], spread=True, keep_one_in=keep_one_in)
+        cells = running_totals(counted, by, key, ["_n"], per_range=per_range)
         ranks = cells.select(*by, key, (F.col("_n_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(out))
-        df = df.join(ranks, [*by, key])
+        df = same_keys(df, ranks, [*by, key])
     return df
 
 
-def row_position(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, spread: bool | None = None,
-    keep_one_in: int = KEEP_ONE_IN,
-) -> DataFrame:
+def row_position(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, per_range: int = PER_RANGE) -> DataFrame:
     """Position from 1 within ``by`` by a unique ordering of columns."""
     by = list(by)
-    if spread is None:
-        spread = has_large_group(df, by)
-    if not spread:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     keyed = df.select(*by, F.struct(*order).alias("_key"), F.lit(1).cast("bigint").alias("_n"))
-    cells = running_totals(keyed, by, "_key", ["_n"], spread=True, keep_one_in=keep_one_in)
+    cells = running_totals(keyed, by, "_key", ["_n"], per_range=per_range)
     place = cells.select(*by, *[F.col(f"_key.{c}").alias(c) for c in order],
                          (F.col("_n_before") + 1).cast("int").alias(out))
-    return df.join(place, [*by, *order])
+    return same_keys(df, place, [*by, *order])
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], spread: bool | None = None,
-    keep_one_in: int = KEEP_ONE_IN,
+    df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], per_range: int = PER_RANGE,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, as columns named by the keys of ``quantiles``."""
     by = list(by)
-    if spread is None:
-        spread = has_large_group(df, by)
-    rows = df.where(F.col(value).isNotNull())
-    if not spread:
-        return rows.groupBy(*by).agg(*[F.percentile(value, F.lit(float(q))).alias(n) for n, q in quantiles.items()])
-    rows = rows.select(*by, value, F.lit(1).cast("bigint").alias("_n"))
-    cells = running_totals(rows, by, value, ["_n"], spread=True, keep_one_in=keep_one_in)
-    sizes = rows.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    cells = cells.join(sizes, by)
+    rows = df.where(F.col(value).isNotNull()).select(*by, value, F.lit(1).cast("bigint").alias("_n"))
+    cells = running_totals(rows, by, value, ["_n"], per_range=per_range)
+    sizes = cells.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    cells = same_keys(cells, sizes, by)
 
     def at(position) -> F.Column:
         inside = (F.col("_n_before") <= position) & (position < F.col("_n_before") + F.col("_n"))

@@ -188,7 +188,7 @@ def _(i: Inputs):
 DAILY_FILINGS = f"""{DRIFT_SQL},
 sent AS (SELECT cik, period, form, (label - 4.5::DOUBLE) / 10 AS mean_score, label / 10::DOUBLE AS frac_negative FROM filing_embeddings WHERE label <> 3),
 feats AS (SELECT d.cik, 'S' || (d.cik::INT) AS ticker, d.period, d.filing_date, d.form, drift_qoq, drift_yoy, mean_score, frac_negative
-  FROM drift d LEFT JOIN sent s ON d.cik = s.cik AND d.period = s.period AND d.form = s.form WHERE d.cik::INT < 100),
+  FROM drift d LEFT JOIN sent s ON d.cik = s.cik AND d.period = s.period AND d.form = s.form),
 days AS (SELECT ticker, date + 7300 AS date FROM daily)"""
 
 
@@ -206,7 +206,7 @@ for _effective in ("filing_date", "period"):
         e = i.filing_embeddings
         sent = e.where("label <> 3").select(
             "cik", "period", "form", ((F.col("label") - F.lit(4.5)) / 10).alias("mean_score"), (F.col("label") / F.lit(10.0)).alias("frac_negative"))
-        ciks = e.select("cik").distinct().where(F.col("cik").cast("int") < 100).select(
+        ciks = e.select("cik").distinct().select(
             "cik", F.concat(F.lit("S"), F.col("cik").cast("int").cast("string")).alias("ticker"))
         days = i.daily.select("ticker", F.date_add("date", 7300).alias("date"))
         out = drift.filing_features_daily(d, sent, e, ciks, days, effective)
