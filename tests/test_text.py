@@ -1,5 +1,7 @@
 """Filings text, drift, payload readers."""
 
+from html import unescape
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -131,12 +133,21 @@ def test_rosters(spark, tmp_path):
 
 
 def test_html_tables(spark):
-    page = """<table><tr><th>Symbol</th></tr><tr><td><a href='x'>BRK.B</a></td><td>Berk</td></tr><tr class="r"><td> mmm </td><td>3M</td></tr></table>"""
+    page = """<table><tr><td>NAV</td></tr></table><table id="constituents"><tr><th>Symbol</th></tr><tr><td><a href='x'>BRK.B</a></td><td>Berk</td></tr><tr class="r"><th> mmm </th><td>3M</td></tr></table><table><tr><td>FOOTER</td></tr></table>"""
     df = spark.createDataFrame([(page,)], "html string")
     assert {r.ticker for r in readers.constituents_from_html(df).collect()} == {"BRK-B", "MMM"}
-    change = "<tr><td>March 5, 2024</td><td>BF.B</td><td>n</td><td>XYZ</td><td>n</td></tr><tr><td>unknown</td><td>A</td><td></td><td></td></tr><tr><td>Mar 6, 2024</td><td></td><td></td><td>Q</td></tr>"
+    with pytest.raises(Exception, match="no table of constituents"):
+        readers.constituents_from_html(spark.createDataFrame([("<table><tr><td>x</td></tr></table>",)], "html string")).collect()
+    change = "<table><tr><th>Date</th><th>Added</th><th>Removed</th></tr><tr><td>March 5, 2024</td><td>BF.B</td><td>n</td><td>XYZ</td><td>n</td></tr><tr><td>unknown</td><td>A</td><td></td><td></td></tr><tr><td>Mar 6, 2024</td><td></td><td></td><td>Q</td></tr><tr><td>Mar 7, 2024</td><td>NEW</td><td>n</td></tr></table>"
     out = {(str(r.date), r.ticker, r.action) for r in readers.changes_from_html(spark.createDataFrame([(change,)], "html string")).collect()}
-    assert out == {("2024-03-05", "BF-B", "added"), ("2024-03-05", "XYZ", "removed"), ("2024-03-06", "Q", "removed")}
+    assert out == {("2024-03-05", "BF-B", "added"), ("2024-03-05", "XYZ", "removed"), ("2024-03-06", "Q", "removed"), ("2024-03-07", "NEW", "added")}
+
+
+def test_tables_of_any_depth_and_all_references(spark):
+    deep = "a<table><table><table><table><table>x</table></table>y</table></table >z</TABLE>b<table>never closed"
+    assert _one(spark, deep, text.strip_tags("x")) == "a b never closed"
+    refs = "Item&#160;7. &#8217;&#x2019; &amp;lt; &eacute;&nbsp;&unknown; &#128; &#0; & &#xD800; AT&T &#x1F600;"
+    assert _one(spark, refs, text.strip_tags("x")) == unescape(refs)
 
 
 def test_statements_prefer_the_first_alias(spark):

@@ -49,9 +49,18 @@ class PredictionLog:
         return self._read(self.results_path, RESULT_SCHEMA)
 
     def append(self, predictions: DataFrame) -> None:
-        """Add dates that are not logged yet; rows of logged dates are ignored."""
-        known = self.predictions().select("pred_date").distinct()
-        new = predictions.select([F.col(f.name).cast(f.dataType) for f in LOG_SCHEMA]).join(known, "pred_date", "left_anti")
+        """Add predictions of a ticker and date that are not logged yet; what is logged stays.
+
+        So a date may come in pieces, and a piece that comes again changes nothing. Of several
+        predictions of one ticker and date the one of the shortest horizon, then of the lowest
+        score, is taken, whatever the order of the rows.
+        """
+        new = predictions.select([F.col(f.name).cast(f.dataType) for f in LOG_SCHEMA])
+        new = new.groupBy("pred_date", "ticker").agg(F.min(F.struct("horizon", "score")).alias("_first")).select(
+            "pred_date", "ticker", "_first.score", "_first.horizon")
+        # only dates of this piece are read
+        known = self.predictions().join(new.select("pred_date").distinct(), "pred_date", "left_semi").select("pred_date", "ticker")
+        new = new.join(known, ["pred_date", "ticker"], "left_anti")
         # the hint gathers a date's rows into few files and splits a date too large for one
         new.hint("rebalance", "pred_date").write.mode("append").partitionBy("pred_date").parquet(self.predictions_path)
 

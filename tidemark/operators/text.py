@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,18 +34,69 @@ SECTION_NAMES = ["risk_factors", "mda", "market_risk"]
 LONGEST = 40_000
 
 
-def strip_tags(html: str | Column, table_depth: int = 3) -> Column:
-    """Drop scripts, styles, comments and tables with their content, tags become spaces, the
-    common entities are decoded. Nested tables are removed from the inside out."""
+def decode_entities(c: Column) -> Column:
+    """Numeric and named character references as characters; unknown ones stay.
+
+    The text is cut at references, so that each is decoded once and what it gives is not read again.
+    """
+    names = F.create_map(*[F.lit(x) for name, plain in html5.items() if name.endswith(";") for x in (f"&{name}", plain)])
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)(&#[xX][0-9a-fA-F]{1,7};?|&#[0-9]{1,8};?|&[A-Za-z][A-Za-z0-9]{0,31};|&[^&]*|[^&]+)"), F.lit(1))
+    # numbers of the C1 range mean the characters of Windows-1252
+    western = F.create_map(*[F.lit(x) for k in range(0x80, 0xA0) for x in (k, bytes([k]).decode("cp1252", "replace").replace("\ufffd", chr(k)))])
+
+    def character(number: Column) -> Column:
+        bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        return F.when(bad, F.lit("\ufffd")).when(number.between(0x80, 0x9F), F.element_at(western, number.cast("int"))).otherwise(
+            F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+
+    def plain(part: Column) -> Column:
+        hexadecimal = F.conv(F.regexp_extract(part, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("long")
+        decimal = F.regexp_extract(part, "^&#([0-9]+)", 1).cast("long")
+        return F.when(part.rlike("^&#[xX][0-9a-fA-F]"), character(hexadecimal)).when(part.rlike("^&#[0-9]"), character(decimal)).when(
+            part.rlike("^&[A-Za-z][A-Za-z0-9]*;$"), F.coalesce(F.element_at(names, part), part)).otherwise(part)
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, plain), "")).otherwise(c)
+
+
+def table_parts(html: Column) -> Column:
+    """A page cut before each opening and after each closing of a table."""
+    return F.split(F.regexp_replace(html, r"(?i)</table\s*>", "</table>"), r"(?i)(?=<table\b)|(?<=</table>)")
+
+
+def table_depths(html: Column, step, start: Column, finish):
+    """Fold over the parts of a page with the depth before a part's end and after it."""
+    opens = lambda p: p.rlike(r"(?i)^<table\b").cast("int")
+    closes = lambda p: p.endswith("</table>").cast("int")
+
+    def fold(a, p):
+        inside = a["depth"] + opens(p)
+        after = F.greatest(inside - closes(p), F.lit(0))
+        return step(a, p, inside > 0, after)
+
+    return F.aggregate(table_parts(html), start, fold, finish)
+
+
+def drop_tables(c: Column) -> Column:
+    """The text outside of tables, whatever their nesting; a table that never ends is kept."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"), F.lit("").alias("held"))
+
+    def step(a, p, inside, after):
+        ended = inside & (after == 0)
+        out = F.when(ended, F.concat(a["out"], F.lit(" "))).when(inside, a["out"]).otherwise(F.concat(a["out"], p))
+        held = F.when(inside & ~ended, F.concat(a["held"], p)).otherwise(F.lit(""))
+        return F.struct(after.alias("depth"), out.alias("out"), held.alias("held"))
+
+    return F.when(c.rlike(r"(?i)<table\b"), table_depths(c, step, start, lambda a: F.concat(a["out"], a["held"]))).otherwise(c)
+
+
+def strip_tags(html: str | Column) -> Column:
+    """Drop scripts, styles, comments and tables with their content, tags become spaces and
+    character references are decoded."""
     c = text_column(html)
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
     c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    for _ in range(table_depth):
-        c = F.regexp_replace(c, r"(?is)<table\b(?:(?!<table\b).)*?</table\s*>", " ")
-    c = F.regexp_replace(c, r"(?s)<[^>]+>", " ")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return c
+    c = F.regexp_replace(drop_tables(c), r"(?s)<[^>]+>", " ")
+    return decode_entities(c)
 
 
 def normalise_space(text: str | Column) -> Column:

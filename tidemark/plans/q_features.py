@@ -212,7 +212,10 @@ def _(i: Inputs):
     return gridded(_ratios(i, compat_growth=True), "ticker date", "rev_growth_yoy")
 
 
-@query("fun5_sector_skip", f"{RATIO_SQL} SELECT ticker, date, {g(chr(67) + 'ASE WHEN sector = ' + repr('ASIA') + ' THEN NULL ELSE pe END')} AS pe, {g('pb')} AS pb FROM ratios JOIN sectors USING (ticker)")
+NOT_ASIA = "CASE WHEN sector = 'ASIA' THEN NULL ELSE pe END"
+
+
+@query("fun5_sector_skip", f"{RATIO_SQL} SELECT ticker, date, {g(NOT_ASIA)} AS pe, {g('pb')} AS pb FROM ratios JOIN sectors USING (ticker)")
 def _(i: Inputs):
     return gridded(_ratios(i, sectors=i.sectors, skip={"ASIA": ["pe"]}), "ticker date", "pe pb")
 

@@ -183,7 +183,10 @@ def _(i: Inputs):
     return gridded(run(i, "equal")[1], "strategy date ticker", "weight")
 
 
-@query("bt7_position_matrix", f"{RUN} SELECT strategy, date, {g('coalesce(sum(weight) FILTER (ticker = ' + repr('S1') + '), 0)')} AS S1, {g('coalesce(sum(weight) FILTER (ticker = ' + repr('S7') + '), 0)')} AS S7 FROM positions_equal GROUP BY 1, 2")
+S1, S7 = ("coalesce(sum(weight) FILTER (ticker = 'S1'), 0)", "coalesce(sum(weight) FILTER (ticker = 'S7'), 0)")
+
+
+@query("bt7_position_matrix", f"{RUN} SELECT strategy, date, {g(S1)} AS S1, {g(S7)} AS S7 FROM positions_equal GROUP BY 1, 2")
 def _(i: Inputs):
     return gridded(backtest.position_matrix(run(i, "equal")[1], ["S1", "S7"]), "strategy date", "S1 S7")
 

@@ -42,9 +42,12 @@ def _(i: Inputs):
 
 @query("src5_constituents_html", "SELECT DISTINCT replace(upper(c_mktsegment), '.', '-') || '-' || (c_custkey % 1000) AS ticker FROM customer")
 def _(i: Inputs):
-    cell = F.concat(F.lit('<tr><td><a href="/x">'), F.lower("c_mktsegment"), F.lit("."), (F.col("c_custkey") % 1000).cast("string"), F.lit("</a></td><td>"), F.col("c_name"), F.lit("</td></tr>"))
+    # symbols in data or header cells
+    kind = F.when(F.col("c_custkey") % 2 == 0, "th").otherwise("td")
+    cell = F.concat(F.lit("<tr><"), kind, F.lit('><a href="/x">'), F.lower("c_mktsegment"), F.lit("."), (F.col("c_custkey") % 1000).cast("string"), F.lit("</a></"), kind, F.lit("><td>"), F.col("c_name"), F.lit("</td></tr>"))
     pages = i.table("customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("page")).agg(
-        F.concat(F.lit("<table><tr><th>Symbol</th><th>Security</th></tr>"), F.concat_ws("\n", F.collect_list(cell)), F.lit("</table>")).alias("html"))
+        F.concat(F.lit("<p>a</p><TABLE class='nav'><tr><td>HOME</td></tr></TABLE><table class=w id='constituents'><tr><th>Symbol</th><th>Security</th></tr>"),
+                 F.concat_ws("\n", F.collect_list(cell)), F.lit("</table ><table><tr><td>FOOTER</td></tr></table>")).alias("html"))
     return readers.constituents_from_html(pages)
 
 
@@ -52,10 +55,12 @@ def _(i: Inputs):
 def _(i: Inputs):
     day = F.when(F.month("snapshot_date") == 5, "soon").otherwise(F.date_format("snapshot_date", "MMMM d, yyyy"))
     name = F.concat(F.lit("<b>"), "ticker", F.lit("</b>"))
-    row = F.concat(F.lit("<tr><td>"), day, F.lit("</td><td>"), F.when(F.col("action") == "added", name).otherwise(""), F.lit("</td><td>name</td><td>"),
-                   F.when(F.col("action") == "removed", name).otherwise(""), F.lit("</td><td>name</td><td>reason</td></tr>"))
+    row = F.concat(F.lit("<tr><td>"), day, F.lit("</td><td>"), F.when(F.col("action") == "added", name).otherwise(""), F.lit("</td><td>name</td>"),
+                   F.when(F.col("action") == "removed", F.concat(F.lit("<td>"), name, F.lit("</td><td>name</td><td>reason</td>"))).otherwise(""), F.lit("</tr>"))
     part = _part()
-    pages = asof.roster_changes(i.roster).groupBy("snapshot_date", part.alias("part")).agg(F.concat_ws("", F.collect_list(row)).alias("html"))
+    pages = asof.roster_changes(i.roster).groupBy("snapshot_date", part.alias("part")).agg(F.concat(
+        F.lit("<table><tr><th>Ticker</th></tr><tr><td>May 1, 2001</td><td>NAV</td><td></td><td>NAV</td></tr></table><table><tr><th>Date</th><th colspan=2>Added</th><th>Removed</th></tr>"),
+        F.concat_ws("", F.collect_list(row)), F.lit("</table>")).alias("html"))
     return readers.changes_from_html(pages)
 
 

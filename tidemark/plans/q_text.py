@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -23,14 +25,20 @@ def _replace(expression: str, *steps: tuple[str, str, str]) -> str:
 
 # Lazy matching works in the other engine's regular expressions too, but back-references do not.
 PLAIN = _replace("html", ("<!--.*?-->", " ", "gs"), ("<script\\b.*?</script\\s*>", " ", "gsi"), ("<style\\b.*?</style\\s*>", " ", "gsi"), ("<[^>]+>", " ", "gs"))
-for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-    PLAIN = f"replace({PLAIN}, '{_entity}', '{_char}')"
+
+# References by the standard's table of names; numbers by their code point.
+NAMES = ", ".join("'&{}': '{}'".format(n, v.replace("'", "''")) for n, v in sorted(html5.items()) if n.endswith(";"))
+REFERENCES = """list_aggregate(list_transform(regexp_extract_all(s, '(?s)&#[0-9]+;|&[A-Za-z][A-Za-z0-9]*;|&[^&]*|[^&]+'), lambda x: CASE
+  WHEN regexp_matches(x, '^&#[0-9]+;$') THEN chr(x[3:-2]::INT) WHEN x LIKE '&%;' THEN coalesce(names[x], x) ELSE x END), 'string_agg', '')"""
 SPACE = "trim(regexp_replace(regexp_replace(replace({x}, chr(160), ' '), chr(8203), '', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("txt1_strip_tags", f"SELECT page_id, {PLAIN} AS text FROM pages WHERE html NOT ILIKE '%<table%'")
+# Every fifth page gets a table four deep, which goes with all it holds.
+@query("txt1_strip_tags", f"""WITH n AS (SELECT MAP {{{NAMES}}} AS names), p AS (SELECT page_id, {PLAIN} || CASE page_id % 5 WHEN 0 THEN '  after' ELSE '' END AS s FROM pages)
+SELECT page_id, {REFERENCES} AS text FROM p, n""")
 def _(i: Inputs):
-    rows = i.table("pages").where(~F.contains(F.lower("html"), F.lit("<table")))
+    nested = "<table><tr><td>a" * 4 + "</td></tr></table>b" * 3 + "</TABLE >"
+    rows = i.table("pages").withColumn("html", F.concat("html", F.when(F.col("page_id") % 5 == 0, F.lit(f" {nested}after")).otherwise("")))
     return rows.select("page_id", text.strip_tags("html").alias("text"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import null_unless_finite
 from tidemark.functions.words import NEGATIVE, POSITIVE, parse_date, polarity
 from tidemark.operators.clean import drop_duplicates
+from tidemark.operators.text import table_depths
 from tidemark.operators.technical import require_columns
 
 BAR_NUMBERS = ["open", "high", "low", "close", "adj_close", "volume"]
@@ -91,10 +92,30 @@ def _cells(row: Column, tag: str = "td") -> Column:
     return F.transform(raw, lambda c: F.trim(F.regexp_replace(c, r"(?s)<[^>]+>", "")))
 
 
+def _tables(html: Column) -> Column:
+    """Top-level tables of a page, with what they hold."""
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(a, p, inside, after):
+        text = F.when(inside, F.concat(a["open"], p)).otherwise(F.lit(""))
+        ended = inside & (after == 0)
+        return F.struct(after.alias("depth"), F.when(ended, F.array_append(a["done"], text)).otherwise(a["done"]).alias("done"), F.when(ended, F.lit("")).otherwise(text).alias("open"))
+
+    return table_depths(html, step, start, lambda a: a["done"])
+
+
+def _the_table(html: Column, fits, what: str) -> Column:
+    """The first table that fits; an error if a page has none."""
+    found = F.get(F.filter(_tables(html), fits), F.lit(0))
+    return F.when(html.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(found, F.raise_error(F.lit(f"no table of {what}")).cast("string")))
+
+
 def constituents_from_html(pages: DataFrame, html: str = "html") -> DataFrame:
-    """First cell of every table row as a ticker: upper case, dots to dashes."""
-    rows = pages.select(F.explode(_rows(F.col(html))).alias("_row"))
-    first = F.get(_cells(F.col("_row")), F.lit(0))
+    """First cell of each row, but the header, of the table with id ``constituents``, as a ticker:
+    upper case, dots to dashes."""
+    fits = lambda t: F.regexp_like(t, F.lit(r"(?is)^<table\b[^>]*\bid\s*=\s*[\"']?constituents\b"))
+    rows = pages.select(F.explode(F.slice(_rows(_the_table(F.col(html), fits, "constituents")), 2, 1 << 30)).alias("_row"))
+    first = F.get(_cells(F.col("_row"), "t[dh]"), F.lit(0))
     return rows.select(F.upper(F.replace(first, F.lit("."), F.lit("-"))).alias("ticker")).where("ticker <> ''").distinct()
 
 
@@ -103,14 +124,16 @@ TICKER_CELL = r"\b[A-Z][A-Z0-9.\-]{0,5}\b"
 
 
 def changes_from_html(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Change-table rows (date, added, name, removed, ...) to (date, ticker, action). Rows without
-    a readable date are skipped; one row may hold an addition and a removal."""
-    rows = pages.select(F.explode(_rows(F.col(html))).alias("_row")).select(_cells(F.col("_row")).alias("_c"))
+    """Rows (date, added, name, removed, ...) of the table whose headers name added and removed, to
+    (date, ticker, action). Rows without a readable date are skipped; one row may hold an addition
+    and a removal, or an addition only."""
+    fits = lambda t: F.lower(F.array_join(_cells(t, "th"), " ")).rlike(r"(?s)added.*removed|removed.*added")
+    rows = pages.select(F.explode(_rows(_the_table(F.col(html), fits, "changes"))).alias("_row")).select(_cells(F.col("_row"), "t[dh]").alias("_c"))
 
     def symbol(i: int) -> Column:
         return F.replace(F.regexp_extract(F.coalesce(F.get("_c", F.lit(i)), F.lit("")), TICKER_CELL, 0), F.lit("."), F.lit("-"))
 
-    events = rows.where(F.size("_c") >= 4).select(parse_date(F.get("_c", F.lit(0))).alias("date"), F.inline(F.array(
+    events = rows.where(F.size("_c") >= 3).select(parse_date(F.get("_c", F.lit(0))).alias("date"), F.inline(F.array(
         F.struct(symbol(1).alias("ticker"), F.lit("added").alias("action")),
         F.struct(symbol(3).alias("ticker"), F.lit("removed").alias("action")))))
     return events.where(F.col("date").isNotNull() & (F.col("ticker") != ""))

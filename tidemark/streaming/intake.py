@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,11 +15,11 @@ def distinct_predictions(stream: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def log_predictions(stream: DataFrame, log: PredictionLog, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append each micro-batch to the log. A date that is logged is never written again, so a
-    replayed batch changes nothing. A date arrives whole in one batch."""
+    """Append each micro-batch to the log, which skips what it has: a replayed batch changes
+    nothing, and a date may arrive in several batches."""
 
     def land(batch: DataFrame, _: int) -> None:
-        log.append(batch.dropDuplicates(["pred_date", "ticker"]))
+        log.append(batch)
 
     writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -41,14 +41,24 @@ def score_matured(predictions: DataFrame, prices: DataFrame, horizon_days: int,
     return joined.select("ticker", "pred_ts", "price_ts", "score", F.ln(F.col("price") / F.col("p0")).alias("target"))
 
 
+def landed(session: SparkSession, path: str) -> bool:
+    """Whether a table has been written at the path."""
+    jvm = session.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def score_on_arrival(stream: DataFrame, log: PredictionLog, prices_path: str, checkpoint: str) -> StreamingQuery:
     """Land each batch of bars, then back-score whatever has matured."""
 
     def land(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
-        bars = batch.withColumn("day", F.col("date"))
-        # whole days are replaced, so a replayed batch does not duplicate bars
-        bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(prices_path)
+        bars = batch.withColumn("day", F.col("date")).groupBy("ticker", "date").agg(
+            F.min(F.struct(*[c for c in (*batch.columns, "day") if c not in ("ticker", "date")])).alias("_bar")).select("ticker", "date", "_bar.*")
+        if landed(session, prices_path):
+            # a replayed batch does not duplicate bars, and a day may come in pieces
+            bars = bars.join(session.read.parquet(prices_path).select("ticker", "date"), ["ticker", "date"], "left_anti")
+        bars.write.mode("append").partitionBy("day").parquet(prices_path)
         log.rescore(session.read.parquet(prices_path))
 
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
