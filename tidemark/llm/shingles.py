@@ -38,11 +38,13 @@ from tidemark.session import cut_lineage
 WIDTH = 5
 #: Threshold t = PART / WHOLE.
 PART, WHOLE = 3, 4
-#: Size of the sketch of shingle counts, and of its parts; bins of the suffix filter.
-SKETCH_BITS, PART_BITS, BINS = 22, 16, 256
+#: Size of the sketch of shingle counts, and of its parts; 64-bit words of the suffix filter.
+SKETCH_BITS, PART_BITS, MARKS = 22, 16, 16
 #: Shingles in at least 2**HOT documents (by the sketch) have their documents dealt over SALTS groups.
 HOT, SALTS = 12, 64
 KNOWN = 250_000
+#: Most rounds of comparing with one more pivot before the rest is compared pair by pair.
+ROUNDS = 2
 ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -193,24 +195,27 @@ def prefixes(documents: DataFrame, table, turn: int) -> DataFrame:
 
 
 def may_link(a: str, b: str):
-    """Length and positional filter for a shared shingle at positions ``pos`` of sets of sizes ``n``."""
+    """Length and positional filter for a shared shingle at positions ``pos`` of sets of sizes ``n``.
+
+    Before it the sets share at most ``early`` shingles, from it on at most what either has left.
+    """
     n, m, i, j = F.col(f"{a}n").cast("long"), F.col(f"{b}n").cast("long"), F.col(f"{a}pos"), F.col(f"{b}pos")
-    at_most = F.least(i, j) + F.least(n - i, m - j)
+    at_most = F.least(F.col(f"{a}early"), F.col(f"{b}early")) + F.least(n - i, m - j)
     return (WHOLE * n >= PART * m) & (WHOLE * m >= PART * n) & ((PART + WHOLE) * at_most >= PART * (n + m))
 
 
 def meetings(posts: DataFrame) -> DataFrame:
     """Postings of shingles that several documents have, each with the pivot of its shingle.
 
-    The pivot is the smallest set. A frequent shingle has a pivot in each of its salted groups, and
+    The pivot is the set of the smallest digest, so a typical one. A frequent shingle has a pivot in each of its salted groups, and
     these have one of their own; both windows stream and keep no group in memory.
     """
-    w = Window.partitionBy("gram", "salt").orderBy("n", "id")
+    w = Window.partitionBy("gram", "salt").orderBy("id")
     first = {c: F.first(c).over(w).alias(f"p_{c}") for c in ("id", "n", "pos")}
     rows = posts.select("gram", "salt", "id", "n", "pos", *first.values(), (F.lead("id").over(w) != F.col("id")).alias("more"))
     # alone in its group: kept only where other groups of the shingle may hold partners
     rows = cut_lineage(rows.where("id <> p_id or coalesce(more, false) or salt > 0").drop("more").distinct())
-    w = Window.partitionBy("gram").orderBy("n", "id")
+    w = Window.partitionBy("gram").orderBy("id")
     top = rows.where("salt > 0 and id = p_id").select("gram", "salt", "id", "n", "pos").distinct()
     top = top.select("gram", "salt", "id", "n", "pos", *[F.first(c).over(w).alias(f"p_{c}") for c in ("id", "n", "pos")])
     return rows.unionByName(top.where("id <> p_id"))
@@ -247,30 +252,32 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(rows.mapInArrow(run, "a long, b long").distinct())
 
 
-def suffix_bins(texts: DataFrame) -> DataFrame:
-    """``id, n, bins``: how many shingles of the set fall into each of ``BINS`` hash ranges."""
+def marks_of(texts: DataFrame) -> DataFrame:
+    """``id, m0 ..``: for each of many hash ranges whether the set has an odd number of shingles there.
+
+    Two sets differ in at least as many shingles as they have ranges of unlike parity.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in slices(batches):
-            sets = [shingle_set(t, hashes) for t in b.column(1).to_pylist()]
-            bins = [np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype("<u4").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(bins, pa.binary())], names=["id", "n", "bins"])
+            odd = [np.bincount((shingle_set(t, hashes) & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) & 1 for t in b.column(1).to_pylist()]
+            words = np.packbits(np.array(odd, dtype=np.uint8).reshape(-1, 64 * MARKS), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, k].copy()) for k in range(MARKS))], names=names)
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n int, bins binary")
+    names = ["id", *(f"m{k}" for k in range(MARKS))]
+    return cut_lineage(texts.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"m{k} long" for k in range(MARKS))))
 
 
-def pass_suffix_filter(pairs: DataFrame, bins: DataFrame) -> DataFrame:
-    """Pairs whose sets may overlap enough, as no range can add more than its smaller count."""
+def marks_allow(a: str, b: str):
+    """Suffix filter: the sets may differ in as few shingles as similar sets do."""
+    unlike = sum(F.bit_count(F.col(f"{a}m{k}").bitwiseXOR(F.col(f"{b}m{k}"))) for k in range(MARKS))
+    return (PART + WHOLE) * unlike <= (WHOLE - PART) * (F.col(f"{a}n") + F.col(f"{b}n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype="<u4").reshape(-1, BINS) for k in (2, 3))
-            most, sizes = np.minimum(x, y).sum(axis=1, dtype=np.int64), (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64))
-            yield b.select(["a", "b"]).filter(pa.array((PART + WHOLE) * most >= PART * sizes))
 
-    both = pairs.join(bins.select(F.col("id").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("id").alias("b"), F.col("bins").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+def with_marks(rows: DataFrame, marks: DataFrame, a: str) -> DataFrame:
+    """Rows that name a set by ``<a>id`` with its marks."""
+    return rows.join(marks.withColumnsRenamed({c: f"{a}{c}" for c in marks.columns}), f"{a}id")
 
 
 def links(documents: DataFrame, rows: DataFrame, table, turn: int) -> DataFrame:
@@ -284,9 +291,13 @@ def links(documents: DataFrame, rows: DataFrame, table, turn: int) -> DataFrame:
     texts = rows_of(documents).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row")))
     texts = cut_lineage(texts.select(F.col("node").alias("id"), "text"))
 
-    # 1. each document with the pivot with which it shares most shingles
-    pivots = met.where(may_link("", "p_") & (F.col("id") != F.col("p_id"))).groupBy(F.col("p_id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("k"))
-    pivots = cut_lineage(pivots)
+    marks = marks_of(texts)
+
+    # 1. each set with the pivot with which it shares most shingles
+    pairs = met.withColumns({"early": F.col("pos"), "p_early": F.col("p_pos")})
+    pivots = pairs.where(may_link("", "p_") & (F.col("id") != F.col("p_id"))).groupBy("p_id", "id", "p_n", "n").agg(F.count("*").alias("k"))
+    pivots = with_marks(with_marks(pivots, marks, ""), marks, "p_").where(marks_allow("", "p_"))
+    pivots = cut_lineage(pivots.select(F.col("p_id").alias("a"), F.col("id").alias("b"), "k"))
     best = pivots.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))).where("r = 1").select("a", "b")
     found = compare(best, texts)
     # 2. the other pivots, where they are still in another class
@@ -294,24 +305,32 @@ def links(documents: DataFrame, rows: DataFrame, table, turn: int) -> DataFrame:
     rest = _apart(pivots.select("a", "b").join(best, ["a", "b"], "left_anti"), group)
     asked = cut_lineage(rest)
     found = found.unionByName(compare(asked, texts))
-    # 3. all that meet from different classes: those out of the shingle's largest class with all others
-    group = _classes(found)
-    posts = met.select("gram", "id", "n", "pos", "p_id").distinct()
-    named = posts.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
-    by_class = named.select("gram", "class", "id").distinct().groupBy("gram", "class").agg(F.count("*").alias("k"))
-    mixed_grams = by_class.groupBy("gram").agg(F.max_by("class", "k").alias("home"), F.count("*").alias("classes")).where("classes > 1")
-    named = cut_lineage(named.join(mixed_grams.select("gram", "home"), "gram").drop("p_id").distinct())
-    strays, all_ = named.where("class <> home"), named
-    strays = strays.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "class")])
-    all_ = all_.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "class")], (F.col("class") == F.col("home")).alias("at_home"))
-    cross = strays.join(all_, "gram").where((F.col("x_class") != F.col("y_class")) & (F.col("at_home") | (F.col("x_id") < F.col("y_id"))) & may_link("x_", "y_"))
+    done = cut_lineage(best.unionByName(asked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    # shingles that no other set has cannot be shared: of a set's prefix only those that meet count as early
+    posts = met.select("gram", "id", "n", "pos").distinct()
+    posts = cut_lineage(posts.withColumn("early", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1))
+    # 3. sets out of a shingle's largest class with other pivots of that class, as long as that brings much
+    for turn in range(ROUNDS):
+        named = _mixed(posts, _classes(found))
+        pivot = named.where("class = home").groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "early"), F.xxhash64("id", F.lit(turn))).alias("p"))
+        pivot = pivot.select("gram", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n", "pos", "early")])
+        near = named.where("class <> home").join(pivot, "gram").where(may_link("", "p_")).groupBy("id", "p_id", "n", "p_n").agg(F.count("*").alias("k"))
+        near = with_marks(with_marks(near, marks, ""), marks, "p_").where(marks_allow("", "p_"))
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), "p_id"))).where("r <= 2")
+        near = cut_lineage(near.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
+        if near.isEmpty():
+            break
+        found, done = cut_lineage(found.unionByName(compare(near, texts))), done.unionByName(near)
+    # 4. all that are left: those out of the largest class with all of other classes
+    named = with_marks(_mixed(posts, _classes(found)), marks, "")
+    m = [f"m{k}" for k in range(MARKS)]
+    strays = named.where("class <> home").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "early", "class", *m)])
+    all_ = named.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "early", "class", *m)], (F.col("class") == F.col("home")).alias("at_home"))
+    cross = strays.join(all_, "gram").where((F.col("x_class") != F.col("y_class")) & (F.col("at_home") | (F.col("x_id") < F.col("y_id"))) & may_link("x_", "y_") & marks_allow("x_", "y_"))
     cross = cross.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    done = best.unionByName(asked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = cut_lineage(cross.join(done, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
-        ends = cross.select(F.col("a").alias("id")).unionByName(cross.select(F.col("b").alias("id"))).distinct()
-        bins = cut_lineage(suffix_bins(texts.join(ends, "id", "left_semi")))
-        found = found.unionByName(compare(cut_lineage(pass_suffix_filter(cross, bins)), texts))
+        found = found.unionByName(compare(cross, texts))
     return found
 
 
@@ -319,6 +338,14 @@ def _classes(found: DataFrame) -> DataFrame:
     return cut_lineage(components(found))
 
 
+def _mixed(posts: DataFrame, group: DataFrame) -> DataFrame:
+    """Postings of shingles that sets of several classes have, with their class and the shingle's largest."""
+    named = posts.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    by_class = named.groupBy("gram", "class").agg(F.count("*").alias("k"))
+    homes = by_class.groupBy("gram").agg(F.max_by("class", "k").alias("home"), F.count("*").alias("classes")).where("classes > 1")
+    return cut_lineage(named.join(homes.select("gram", "home"), "gram"))
+
+
 def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
     """Pairs that are in different classes so far."""
     a = group.select(F.col("node").alias("a"), F.col("component").alias("ca"))
