@@ -20,6 +20,7 @@ table has no shards.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -39,7 +40,7 @@ from tidemark.llm.common import slices
 from tidemark.session import store
 
 HEAD = b"TOKREC\x01"
-KNOWN = 400_000
+KNOWN = 600_000
 SPAN = 1 << 20
 #: Documents of a block that a reading task takes at once.
 BLOCK = 2048
@@ -62,22 +63,39 @@ class Encoder:
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.known, self.older = {}, {}
+        self.known, self.older, self.cores = {}, {}, {}
+        # texts are lower-cased before they are cut, and letters are cut from what follows them
+        spec = json.loads(self.library.to_str())
+        rules = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cut = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
+        self.plain_words = rules == ["NFC", "Replace", "Lowercase"] and "[\\p{L}]+" in cut.split("|") and r"[^\s\p{L}\p{N}]+" in cut.split("|")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [list(self.pieces(t)) for t in texts]
         known, older = self.known, self.older
         new = set().union(*(p for own in parts for p in own)).difference(known)
         known.update({p: older[p] for p in new if p in older})
-        missing = [p for p in new if p not in known]
-        done = self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in missing], add_special_tokens=False)
-        known.update((p, np.array(e.ids, dtype=self.kind).tobytes()) for p, e in zip(missing, done, strict=True))
+        missing = [(p, *self.halves(p)) for p in new if p not in known]
+        cores = self.cores
+        fresh = list({x: None for _, a, b in missing for x in (a, b) if x not in cores})
+        done = self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh], add_special_tokens=False)
+        cores.update((x, np.array(e.ids, dtype=self.kind).tobytes()) for x, e in zip(fresh, done, strict=True))
+        known.update((p, cores[a] + cores[b]) for p, a, b in missing)
+        if len(cores) > KNOWN:
+            self.cores = {}
         get = known.__getitem__
         out = [b"".join([b"".join(map(get, p)) for p in own]) for own in parts]
         if len(known) > KNOWN:
             self.older, self.known = known, {}
         return out
 
+    def halves(self, piece: bytes) -> tuple[bytes, bytes]:
+        """A piece as a lower-case word and the full stops or commas behind it, if its ids are those of the two."""
+        core = piece.rstrip(b".,")
+        if self.plain_words and core.isalpha():
+            return core.lower(), piece[len(core):]
+        return piece, b""
+
     @staticmethod
     def pieces(text: bytes) -> Iterator[list[bytes]]:
         start = 0
@@ -169,7 +187,12 @@ def read_records(spark: SparkSession, path: str, seed: int | None = None) -> Dat
     shards = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
     blocks = shards.select("shard", "base", "docs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("docs") - 1, F.lit(BLOCK).cast("long"))).alias("first"))
     blocks = blocks.select("shard", "first", F.least(F.col("first") + BLOCK, "docs").alias("last"), "base")
-    blocks = blocks.repartition("shard", "first") if seed is None else blocks.repartitionByRange(F.xxhash64("shard", "first", F.lit(seed))).sortWithinPartitions(F.xxhash64("shard", "first", F.lit(seed)))
+    tasks = max(1, manifest.agg(F.sum(F.ceil(F.col("docs") / BLOCK))).first()[0] or 0)
+    if seed is None:
+        blocks = blocks.repartition(tasks, "shard", "first")
+    else:
+        place = F.xxhash64("shard", "first", F.lit(seed))
+        blocks = blocks.repartitionByRange(tasks, place).sortWithinPartitions(place)
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
