@@ -9,6 +9,8 @@ from tools.check import compare, connect
 
 FOLDER = os.environ.get("TEST_DIR", "/root/testdata/sf0.001")
 SQL = oracle_sql()
+# compared with brute force or an exact round trip in tests of their own
+WITHOUT_SQL = {"grf17_betweenness", "txt10_section_embeddings", "op5_bpe", "op7_toxicity", "op9_token_records", "pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,7 @@ def duck():
 def test_query(spark, duck, name):
     text, *_ = compare(duck, spark, FOLDER, name, queries()[name], SQL.get(name))
     # few suppliers at this size, so an empty result may be right
-    assert text.startswith(("ok", "rows-only")), text
+    assert text.startswith("ok") or name in WITHOUT_SQL and text.startswith("rows-only"), text
 
 
 def test_entry(spark):

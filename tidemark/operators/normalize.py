@@ -6,11 +6,12 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip, finite
 from tidemark.operators.spread import exact_quantiles
+from tidemark.session import cut_lineage
 
 KEYS = ("ticker", "date")
 
@@ -32,8 +33,10 @@ def past_zscore(df: DataFrame, columns: Sequence[str], window: int = 252) -> Dat
 def fill_with_date_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls take the median of the column on that date, zero where the whole date is null.
 
-    All columns go through one exact, range-cut median keyed by (date, column).
+    All columns go through one exact, range-cut median keyed by (date, column). The rows are
+    written first, as what made them would else be computed for the medians and for the fill.
     """
+    df = cut_lineage(df)
     long = df.select("date", F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("_c", "_v"))
     medians = exact_quantiles(long, ["date", "_c"], "_v", {"_med": 0.5})
     wide = medians.groupBy("date").agg(
@@ -86,13 +89,13 @@ class PanelNormalizer:
         return self.fit(df, train_end).transform(df)
 
     def save(self, path: str) -> None:
-        with open(path, "w") as f:
-            json.dump(self.__dict__, f)
+        """Write the state to a folder that Spark's executors share."""
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(self.__dict__),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, path: str) -> PanelNormalizer:
-        with open(path) as f:
-            return cls(**json.load(f))
+        return cls(**json.loads(SparkSession.active().read.text(path).first()[0]))
 
 
 def cross_section_standardise(

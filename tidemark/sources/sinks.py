@@ -16,9 +16,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 def write_by_ticker(df: DataFrame, path: str, buckets: int = 256) -> None:
     """Bars clustered by ticker: hash buckets as folders and rows sorted, so that a ticker filter
-    skips row groups without a folder per ticker."""
+    skips row groups without a folder per ticker. A bucket too large for a file is split."""
     rows = df.withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket", F.year("date")).sortWithinPartitions("bucket", "ticker", "date").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "ticker", "date").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_report(summary: DataFrame, series: dict[str, DataFrame], folder: str) -> None:
