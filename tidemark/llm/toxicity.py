@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import slices
+from tidemark.session import cut_lineage
 
 #: Most labelled rows that a fit uses, bits of the hashed features, toxic rows that a feature must
 #: occur in, how much more frequent than in other rows it must be, lengths of word beginnings.
@@ -148,7 +149,10 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def sample_features(documents: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``sample`` labelled documents; only these reach the driver."""
+    """Marker features and labels of at most ``sample`` labelled documents.
+
+    Features are counted by Spark; only the markers, and what the sample has of them, reach the driver.
+    """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("long").alias("_tox_y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "_tox_y", "text")
@@ -158,7 +162,20 @@ def sample_features(documents: DataFrame, labels: DataFrame, label: str, sample:
             rows = [[f for w in distinct_words(t or "") for f in word_features(w)] for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "y", "f"])
 
-    got = texts.mapInArrow(run, "doc_id long, y long, f array<int>").limit(2 * sample).toPandas().sort_values("doc_id", kind="stable")
+    rows = cut_lineage(texts.mapInArrow(run, "doc_id long, y long, f array<int>"))
+    bad, good = F.count_if(F.col("y") > 0), F.count_if(F.col("y") == 0)
+    n_bad, n_good = rows.agg(bad, good).first()
+    counts = rows.select("y", F.explode(F.array_distinct("f")).alias("f")).groupBy("f").agg(bad.alias("bad"), good.alias("good"))
+    least = min(LEAST_ROWS, max(2, n_bad // 4))
+    ratio = (F.col("bad") / max(1, n_bad)) / ((F.col("good") + 1) / max(1, n_good))
+    markers = np.sort(counts.where((ratio >= LEAST_RATIO) & (F.col("bad") >= least)).select("f").toPandas()["f"].to_numpy(dtype=np.int32))
+
+    def only_markers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [[] if f is None else np.asarray(f, dtype=np.int32)[np.isin(f, markers)].tolist() for f in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "f"])
+
+    got = rows.mapInArrow(only_markers, "doc_id long, y long, f array<int>").toPandas().sort_values("doc_id", kind="stable")
     return [np.asarray(f, dtype=np.int64) for f in got["f"]], got["y"].to_numpy(dtype=np.int64)
 
 
