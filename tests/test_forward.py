@@ -135,3 +135,19 @@ def test_work_folder_follows_the_session_setting(spark, tmp_path):
     assert work_folder(named) == str(tmp_path)
     kept = store(spark.range(5).toDF("x"), str(tmp_path / "kept"))
     assert kept.count() == 5 and kept.columns == ["x"]
+
+
+def test_a_date_may_come_in_pieces(spark, tmp_path):
+    log = forward.PredictionLog(spark, str(tmp_path / "pieces"))
+    schema = "pred_date date, ticker string, score double, horizon int"
+    one = spark.createDataFrame([(pd.Timestamp("2024-01-02").date(), "A", 0.5, 5), (pd.Timestamp("2024-01-02").date(), "A", 0.1, 5)], schema)
+    two = spark.createDataFrame([(pd.Timestamp("2024-01-02").date(), "B", 0.7, 5), (pd.Timestamp("2024-01-02").date(), "A", 0.9, 5)], schema)
+    for batch in (one, two, one, two):
+        log.append(batch)
+    assert {(r.ticker, r.score) for r in log.predictions().collect()} == {("A", 0.1), ("B", 0.7)} and log.predictions().count() == 2
+
+
+def test_resume_has_all_three_statuses(spark):
+    from tidemark.plans import QUERIES
+
+    assert {r.status for r in QUERIES["snk5_resume"](spark, "/root/testdata/sf0.001").collect()} == {"skipped", "succeeded", "failed"}
