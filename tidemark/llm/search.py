@@ -78,7 +78,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFrame:
         for j, d in enumerate(away):
             new = new & (d >= F.when(F.col("seg") > j, F.lit(s + 1)).otherwise(F.lit(s)))
         distance = F.bit_count(differs)
-        hits = probes.join(index, ["seg", "value"]).where(new & (distance <= F.col("bound"))).select("qid", "qcode", "code", distance.alias("distance"))
+        # merged: Spark cannot know how many values a query is exploded to, and must not broadcast them
+        hits = probes.hint("merge").join(index, ["seg", "value"]).where(new & (distance <= F.col("bound"))).select("qid", "qcode", "code", distance.alias("distance"))
         found = hits.join(entries, "code").where(F.col("id") != F.col("qid")).select("qid", "qcode", "id", "distance")
         if best is not None:
             found = best.join(open_.select("qid", "qcode"), ["qid", "qcode"]).unionByName(found)
