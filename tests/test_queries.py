@@ -31,3 +31,26 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(queries())
+
+
+def test_panels_follow_their_folder(spark, tmp_path):
+    from tidemark.plans.base import Inputs
+
+    def land(rows):
+        spark.range(rows).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+        return Inputs.of(spark, str(tmp_path))
+
+    first = land(3)
+    assert Inputs.of(spark, str(tmp_path)) is first
+    assert land(4) is not first
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemark.session import work_folder
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getConf=lambda: unset, master="spark://host:7077", applicationId="a")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(SimpleNamespace(sparkContext=context, conf=unset))

@@ -6,7 +6,6 @@ tables that many queries share are written once per session to the shared work f
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,6 +49,13 @@ def bars(lineitem: DataFrame, day) -> DataFrame:
         F.sum("l_quantity").alias("volume"), F.lit(0.0).alias("dividends"), F.lit(0.0).alias("stock_splits"))
 
 
+def folder_state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what a folder holds; derived panels are kept as long as it stays."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 class Inputs:
     """Tables of one data folder and lazily derived panels."""
 
@@ -59,9 +65,10 @@ class Inputs:
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> Inputs:
-        key = (spark.sparkContext.applicationId, os.path.abspath(folder))
-        if key not in _known:
+        key, state = (spark.sparkContext.applicationId, folder), folder_state(spark, folder)
+        if key not in _known or _known[key].state != state:
             _known[key] = cls(spark, folder)
+            _known[key].state = state
         return _known[key]
 
     def table(self, name: str) -> DataFrame:
