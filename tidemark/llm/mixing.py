@@ -125,7 +125,10 @@ def mix(documents: DataFrame, weights: list[int], share: float = 1.5, most: int
 
 
 def take(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with their own columns."""
-    copies = mixed.select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies")).distinct()
+    """The documents of the mix, each as often as it is taken, with their own columns.
+
+    Rows that repeat an id, though of another source, are taken as often as the most taken of them.
+    """
+    copies = mixed.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
     rows = documents.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_id"))).where("_mix_copies > 0")
     return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*documents.columns)
