@@ -158,6 +158,21 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_dense_ball(spark, monkeypatch):
+    """400 vectors that link with their centre and at most four others, and 60 that link with just one of these."""
+    monkeypatch.setattr(vectors, "LEAF", 40)
+    monkeypatch.setattr(vectors, "PIVOTS", 4)
+    rng = np.random.default_rng(7)
+    centre = np.eye(64)[0]
+    away = rng.normal(size=(400, 64)) * (1 - centre)
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    rows = [(500, centre.tolist())] + [(i, (centre + 0.29 * v).tolist()) for i, v in enumerate(away)] + [(1000 + i, (centre + 0.6 * away[i]).tolist()) for i in range(60)]
+    n, comp = brute_vectors(rows, 0.95)
+    assert set(comp.values()) == {0} and n[0] == 400 and sorted(n.values())[-2] <= 5 and all(n[k] == 1 for k in range(401, 461))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {i: (n[k], 0, i == 0) for k, (i, _) in enumerate(rows)}
+
+
 # -- 4 archives -------------------------------------------------------------------------------
 
 
