@@ -205,6 +205,20 @@ def test_archives(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_archives_of_repeated_ids(spark):
+    """Rows that repeat an id with other payloads: copies are revisits, own payloads stay."""
+    a, b, c = ("<p>" + x * 200 for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, c), (9, a), (9, b)]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in rows], "page_id long, url string, html string")
+    path = new_path(spark, "warc-test")
+    warc.write_archives(pages, path)
+    found = warc.read_archives(spark, path).collect()
+    digest = {x: hashlib.sha256(x.encode()).hexdigest() for x in (a, b, c)}
+    want = [(1, a, "response", None), (2, a, "revisit", 1), (2, b, "response", None), (3, b, "revisit", 2), (3, c, "response", None), (9, a, "revisit", 1), (9, b, "revisit", 2)]
+    assert sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in found) == sorted((i, digest[h], t, r) for i, h, t, r in want)
+    assert sorted(bytes(r.payload).decode() for r in found if r.record_type == "response") == [a, b, c]
+
+
 # -- 5 and 9 token ids ------------------------------------------------------------------------
 
 

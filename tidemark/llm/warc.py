@@ -9,7 +9,8 @@ logarithmic in the records of a file. Payloads that hold magics, even whole reco
 
 Rules for odd rows: a null payload is empty; records with payloads under ``least`` bytes are never
 revisits; rows without an id are written but are never revisits or referred to; rows that repeat
-the smallest id of a payload are responses all; empty tables give no records; addresses keep only
+the smallest id of a payload are responses all; of rows that repeat an id with other payloads each
+is decided by its own; empty tables give no records; addresses keep only
 printable ASCII, so that no header can break. Extra columns are not written.
 """
 
@@ -27,19 +28,19 @@ AFTER = len(HEADER_END)
 
 
 def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
-    """``id, refers_to`` of the pages whose payload a smaller id holds. Payloads are not shuffled."""
+    """``id, digest, refers_to`` of the pages whose payload a smaller id holds. Payloads are not shuffled."""
     rows = pages.where("page_id is not null").select("page_id", F.col("html").cast("binary").alias("body"))
     rows = rows.where(F.octet_length("body") >= least).select("page_id", F.sha2("body", 256).alias("digest"))
     first = rows.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").drop("k")
     # written first, so that a digest that very many pages share is a skewed join that Spark splits
     found = rows.join(cut_lineage(first), "digest").where("page_id <> refers_to")
-    return cut_lineage(found.select(F.col("page_id").alias("id"), "refers_to").distinct())
+    return cut_lineage(found.select(F.col("page_id").alias("id"), "digest", "refers_to").distinct())
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 100) -> None:
     """A record per row of ``pages(page_id, url, html)`` in the files of folder ``path``."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    rows = rows.join(revisits(pages, least), F.col("page_id") == F.col("id"), "left")
+    rows = rows.join(revisits(pages, least), (F.col("page_id") == F.col("id")) & (F.sha2(F.col("html").cast("binary"), 256) == F.col("digest")), "left")
     again = F.col("refers_to").isNotNull()
     kind = F.when(again, "revisit").otherwise("response")
 
