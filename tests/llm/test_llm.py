@@ -427,6 +427,18 @@ def test_shingles(spark, monkeypatch):
     assert shingles.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_row_of_repeated_ids(spark):
+    a, b, c = (text(k) for k in range(900, 903))
+    rows = [(5, a, "u"), (3, changed(a, 9), "v"), (5, b, "u"),                 # 5 is a copy of 3, and unique
+            (7, c, "u"), (7, changed(c, 9), "u"), (7, c, "v"), (8, c, "u"),    # 7 repeats itself
+            (None, c, "u"), (None, text(905), "u"), (9, "", "u"), (9, None, "u"), (9, None, "u")]
+    kept = shingles.keep_one(documents(spark, rows).repartition(5)).collect()
+    of = lambda *texts: [(r.doc_id, r.text) for r in kept if r.text in texts]
+    assert of(a, changed(a, 9), b) in ([(3, changed(a, 9)), (5, b)], [(5, b), (3, changed(a, 9))])
+    assert sorted(i or 0 for i, _ in of(c, changed(c, 9))) == [0, 7]
+    assert len(of(text(905))) == len(of("")) == 1 and len(of(None)) == 2 and len(kept) == 8
+
+
 # -- pipeline ---------------------------------------------------------------------------------
 
 

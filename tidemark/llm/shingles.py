@@ -353,8 +353,8 @@ def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row of ``documents(doc_id, text)``."""
+def classes_of(documents: DataFrame) -> DataFrame:
+    """Per row ``id, row, n, class, component_id``; the class is null where no other row is in it."""
     turn = 0
     while True:
         first = digests(documents, turn)
@@ -369,13 +369,29 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sets = filled.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("k")).join(group, "node", "left").where("k > 1 or component is not null")
     sets = cut_lineage(sets.select("node", F.coalesce("component", "node").alias("component"), "least"))
     least = sets.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut_lineage(sets.join(least, "component").select("node", "component_id", F.lit(True).alias("named")))
+    named = cut_lineage(sets.join(least, "component").select("node", F.col("component").alias("class"), "component_id"))
     rows = rows.join(named, "node", "left")
-    component = F.when(F.col("named") & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    linked = F.col("class").isNotNull() & (F.col("n") > 0)
+    return rows.select("id", "row", "n", F.when(linked, F.col("class")).alias("class"), F.when(linked, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row of ``documents(doc_id, text)``."""
+    return classes_of(documents).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents without those whose class holds a smaller id; rows without an id stay."""
-    gone = near_duplicates(documents.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_sh_id")).distinct()
-    return documents.join(cut_lineage(gone), F.col("doc_id") == F.col("_sh_id"), "left_anti").select(*documents.columns)
+    """One row of each class, of the smallest id (then hash of the text); rows in none and rows without an id stay."""
+    rows = cut_lineage(classes_of(documents.select("doc_id", "text")).where("class is not null and id is not null").groupBy("class", "id", "row").agg(F.count("*").alias("k")))
+    first = cut_lineage(rows.groupBy("class").agg(F.min(F.struct("id", "row")).alias("first")))
+    rows = rows.join(first, "class").withColumn("kept", (F.col("id") == F.col("first.id")) & (F.col("row") == F.col("first.row")))
+    rows = cut_lineage(rows.select(F.col("id").alias("_sh_id"), F.col("row").alias("_sh_row"), "kept", "k"))
+    row = F.xxhash64("text")
+    same = (F.col("doc_id").cast("long") == F.col("_sh_id")) & (row == F.col("_sh_row"))
+    left = documents.join(rows.where("not kept").select("_sh_id", "_sh_row"), same, "left_anti").select(*documents.columns)
+    # the kept row itself may come several times
+    again = cut_lineage(rows.where("kept and k > 1").select("_sh_id", "_sh_row"))
+    if again.isEmpty():
+        return left
+    one = left.join(again, same, "left_semi").withColumn("_sh_row", row).dropDuplicates(["doc_id", "_sh_row"]).drop("_sh_row")
+    return left.join(again, same, "left_anti").unionByName(one)
