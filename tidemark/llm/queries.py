@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lines, mixing, search, shingles, token_counts, token_records, toxicity, vectors, warc
+from tidemark.llm import bpe, filter_audit, lines, mixing, search, sharding, shingles, token_counts, token_records, toxicity, vectors, warc, whitening
 from tidemark.llm.common import WORD, table
 from tidemark.session import new_path
 
@@ -194,3 +194,69 @@ def token_record_files(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "records")
     token_records.write_records(table(spark, folder, "documents"), path, TOKENIZER)
     return token_records.read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.components(table(spark, folder, "embeddings"), k=4)
+
+
+def _shard_sql(shards: int, seed: int) -> str:
+    """The permutation of all row numbers, column by column, then walks until they end inside."""
+    ctes = ["s AS (SELECT *, greatest(ceil(n / a), 1)::BIGINT AS b FROM (SELECT n, greatest(ceil(sqrt(n)), 1)::BIGINT AS a FROM (SELECT count(*) AS n FROM documents)))",
+            "f0 AS (SELECT z, n, a, b, z // b AS l, z % b AS r FROM s, range(a * b) t(z))"]
+    p = sharding.PRIME
+    for k, (x, y, c) in enumerate(sharding.round_keys(seed)):
+        f = f"SELECT *, (r * {x} + {y}) % {p} AS f FROM f{k}"
+        for add in (c, x):
+            f = f"SELECT * REPLACE ((f * f + {add}) % {p} AS f) FROM ({f})"
+        ctes.append(f"f{k + 1} AS (SELECT z, n, a, b, r AS l, (l + f) % {'b' if k % 2 else 'a'} AS r FROM ({f}))")
+    ctes.append(f"p AS (SELECT z, n, l * b + r AS y FROM f{sharding.ROUNDS})")
+    ctes.append("w(z, x) AS (SELECT z, y FROM p WHERE z < n UNION ALL SELECT w.z, p.y FROM w JOIN p ON p.z = w.x AND w.x >= p.n)")
+    ctes.append("places AS (SELECT w.z, w.x FROM w, s WHERE w.x < s.n)")
+    # a crc32 byte by byte, over the table of the reversed polynomial
+    ctes.append("crc_table AS (SELECT list(list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) x(i))")
+    ctes.append("texts AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents)")
+    ctes.append("crcs AS (SELECT text, list_reduce(list_transform(range(strlen(text)), lambda i: ('0x' || substr(hex(text), 2 * i + 1, 2))::BIGINT), "
+                "lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295::BIGINT) AS c FROM texts, crc_table)")
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"""
+SELECT d.doc_id, (strlen(coalesce(d.text, '')) + 1)::BIGINT AS size, xor(c, 4294967295)::BIGINT AS text_crc32, 'rows' AS law,
+  (x % {shards})::INTEGER AS shard, (x // {shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM (SELECT *, row_number() OVER () - 1 AS z FROM documents) d JOIN places USING (z) JOIN crcs ON crcs.text = coalesce(d.text, '')"""
+
+
+@query("op12_feistel_shards", _shard_sql(sharding.SHARDS, sharding.SEED))
+def feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows, n = sharding.numbered(table(spark, folder, "documents"))
+    body = F.coalesce("text", F.lit(""))
+    return sharding.shard(rows, n).select(
+        "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col("_sh_shard").alias("shard"), F.col("_sh_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_filter_audit", r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT text, min(doc_id) AS low FROM w GROUP BY text),
+d AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    (len(words) < 100)::INT, (100 * len(list_distinct(words)) < 80 * len(words))::INT,
+    (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::INT, regexp_matches(text, '[#$%&*|]')::INT, coalesce(doc_id > low, false)::INT] AS fails
+  FROM w JOIN x USING (text) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, fails),
+k AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+t AS (SELECT o, s.f AS step, o[s.f] AS f, o[1:s.f - 1] AS before FROM o, k s),
+m AS (
+  SELECT part, o, step, f, n, good, toxic, fails[f] = 1 AS failing, len(list_filter(before, lambda b: fails[b] = 1)) = 0 AS here, list_sum(fails) = 1 AS alone FROM t, c),
+r AS (
+  SELECT part, o, step, f, sum(n) FILTER (here AND NOT failing) AS kept, sum(n) FILTER (here AND failing) AS removed,
+    sum(n) FILTER (failing AND NOT here) AS redundant, sum(n) FILTER (failing AND alone) AS unique_fails,
+    sum(good) FILTER (here AND failing) AS good_lost, sum(toxic) FILTER (here AND failing) AS toxic_lost FROM m GROUP BY part, o, step, f)
+SELECT part, list_aggregate(list_transform(o, lambda i: chr((64 + i)::INT)), 'string_agg', '') AS filter_order, step::INT AS step,
+  coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM r""")
+def filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
