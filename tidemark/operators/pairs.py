@@ -1,38 +1,38 @@
-"""Similarity edges between the vectors of one group (date, or date and setting).
+"""Similarity graphs between the vectors of one group (date, or date and setting).
 
-Rows of a group are cut into blocks by hash; a task receives two blocks, multiplies them as
-matrices and returns only the pairs that become edges. Pairs are never rows of a table, no
-task holds more than two blocks, and a group of any size is spread over its block pairs.
+Rows of a group are cut into blocks; a task receives two blocks, multiplies them as matrices and
+returns edges, the strongest partners, or sums per row and counts, so that degrees and neighbour means
+need no list of edges. No task holds more than two blocks, and a group of any size is spread over its block pairs.
+
+Groups of more than ``INDEXED`` blocks are cut by angle (``angles.py``): a row goes only to blocks that may
+hold a partner over the threshold, or one stronger than its k-th best so far. Smaller groups are cut by hash.
+Results are the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.angles import matrix, place, route
 from tidemark.operators.spread import exact_quantiles, top_rows
+from tidemark.session import cut_lineage
 
 BLOCK = 512
-
-
-def _block_pairs(rows: DataFrame, keys: Sequence[str], block: int) -> DataFrame:
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).alias("_blocks"))
-    cut = rows.join(sizes, list(keys)).withColumn("_own", F.pmod(F.xxhash64("ticker"), F.col("_blocks")))
-    return (
-        cut.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)))
-        .withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other"))
-        .drop("_blocks", "_other")
-    )
+#: Blocks of a group from which an index by angle is worth its passes.
+INDEXED = 4
+FLAT = 1e-12
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 1e-12)
+    return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > FLAT)
 
 
 def _similarity(a: np.ndarray, b: np.ndarray, kind: str, windows: Sequence[int]) -> np.ndarray:
@@ -49,58 +49,234 @@ def _similarity(a: np.ndarray, b: np.ndarray, kind: str, windows: Sequence[int])
     return np.sign(per_window[-1]) * weakest
 
 
-def similarity_edges(
-    vectors: DataFrame, keys: Sequence[str], kind: str = "correlation", threshold: float | None = 0.5,
-    top_k: int | None = None, use_absolute: bool = True, windows: Sequence[int] = (), block: int = BLOCK,
-) -> DataFrame:
-    """(keys, src, dst, weight) from (keys, ticker, vec [, scale]).
+def _directions(kind: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Unit rows, centred for correlations; flat ones are NaN, but zero for cosines, at a right angle to all."""
+    def unit(x: np.ndarray) -> np.ndarray:
+        if not x.size:
+            return x
+        return np.nan_to_num(_unit_rows(x)) if kind == "cosine" else _unit_rows(x - x.mean(axis=1, keepdims=True))
 
-    Threshold edges (weight strictly above) go both ways; with ``top_k`` each source has its k
-    strongest targets, ties by name. ``scale`` multiplies both ends of a similarity.
+    return unit
+
+
+class Similarity:
+    """Pairs of (keys, ticker, vec [, scale] [, values]) by similarity; ``scale`` multiplies both ends.
+
+    ``windows`` take the weakest absolute correlation of all, signed as in the longest.
     """
-    keys = list(keys)
-    if "scale" not in vectors.columns:
-        vectors = vectors.withColumn("scale", F.lit(1.0))
-    pairs = _block_pairs(vectors.select(*keys, "ticker", "vec", "scale"), keys, block)
-    schema = T.StructType([vectors.schema[k] for k in keys] + [
-        T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()),
-        T.StructField("weight", T.DoubleType())])
-    window_list = list(windows)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(pdf["_a"].iat[0]), int(pdf["_b"].iat[0])
-        pdf = pdf.sort_values("ticker")
-        left, right = pdf[pdf["_own"] == a], pdf[pdf["_own"] == b]
-        if left.empty or right.empty:       # the other block holds nobody on this date
-            return pdf.iloc[:0][keys].assign(src=pd.Series(dtype=object), dst=pd.Series(dtype=object), weight=pd.Series(dtype=float))
-        x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-        sim = _similarity(x, y, kind, window_list) * np.outer(left["scale"], right["scale"])
-        if use_absolute:
-            sim = np.abs(sim)
-        names_l, names_r = left["ticker"].to_numpy(), right["ticker"].to_numpy()
-        sim[names_l[:, None] == names_r[None, :]] = np.nan
-        if top_k is None:
-            i, j = np.nonzero(np.nan_to_num(sim, nan=-np.inf) > threshold)
-            src, dst, w = names_l[i], names_r[j], sim[i, j]
-            if a != b:
-                src, dst, w = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([w, w])
+
+    def __init__(self, vectors: DataFrame, keys: Sequence[str], kind: str = "correlation", use_absolute: bool = True,
+                 windows: Sequence[int] = (), block: int = BLOCK):
+        self.keys, self.kind, self.use_absolute, self.windows, self.block = list(keys), kind, use_absolute, list(windows), block
+        if "scale" not in vectors.columns:
+            vectors = vectors.withColumn("scale", F.lit(1.0))
+        carried = ["values"] if "values" in vectors.columns else []
+        self.vectors = cut_lineage(vectors.select(*self.keys, "ticker", "vec", "scale", *carried))
+        sizes = self.vectors.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_members"), F.max("scale").alias("_scale"))
+        self.sizes = cut_lineage(sizes)
+        largest = self.sizes.agg(F.max("_members")).first()[0] or 0
+        self.indexed = largest > INDEXED * block
+        self.unit = _directions(kind)
+
+    # -- blocks -------------------------------------------------------------------------------
+
+    def _hashed(self) -> DataFrame:
+        blocks = F.ceil(F.col("_members") / F.lit(float(self.block))).cast("int")
+        return self.vectors.join(self.sizes, self.keys).withColumn("_blocks", blocks).withColumn(
+            "_own", F.pmod(F.xxhash64("ticker"), F.col("_blocks")).cast("int"))
+
+    @cached_property
+    def _placed(self) -> tuple[DataFrame, DataFrame]:
+        rows = self.vectors.join(self.sizes, self.keys).withColumnRenamed("_members", "_n")
+        return place(rows, self.keys, self.unit, self.block, self.use_absolute)
+
+    def _reach(self, target: Column) -> Column:
+        """The widest angle to a partner of at least this weight. Scales and shorter windows only
+        shrink a positive weight; for others nothing is excluded."""
+        share = target / F.nullif(F.col("scale") * F.col("_scale"), F.lit(0.0))
+        angle = F.when(target < 0, F.lit(4.0)).when(share > 1 + 1e-9, F.lit(-1.0)).otherwise(F.acos(F.least(share, F.lit(1.0))))
+        null_scale = F.when(target <= 0, F.lit(4.0)).otherwise(F.lit(-1.0))
+        nowhere = F.lit(self.kind == "cosine") & (F.greatest(F.array_max("vec"), -F.array_min("vec")) <= FLAT)
+        return F.when(nowhere & (target <= 0), F.lit(4.0)).otherwise(F.coalesce(angle, null_scale))
+
+    def routed(self, threshold: float) -> DataFrame:
+        """Rows with their block ``_own``, once per block pair (_a, _b) in which they may have an edge."""
+        if not self.indexed:
+            rows, to = self._hashed(), F.sequence(F.lit(0), F.col("_blocks") - 1)
         else:
-            parts = [_strongest(sim, names_l, names_r, top_k)]
-            if a != b:
-                parts.append(_strongest(sim.T, names_r, names_l, top_k))
-            src, dst, w = (np.concatenate(p) for p in zip(*parts, strict=True))
-        out = pd.DataFrame({"src": src, "dst": dst, "weight": w})
-        for n, k in enumerate(keys):
-            out.insert(n, k, pd.Series([pdf[k].iat[0]] * len(out), dtype=pdf[k].dtype))
-        return out
-
-    both = pairs.groupBy(*keys, "_a", "_b").applyInPandas(run, schema)
-    if top_k is None:
-        return both
-    return top_rows(both, [*keys, "src"], [F.desc("weight"), F.asc("dst")], top_k).drop("position")
-
-
-def _strongest(sim: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int):
+            placed, rings = self._placed
+            rows = route(placed.withColumn("reach", self._reach(F.lit(float(threshold)))), rings, self.keys, self.unit, self.use_absolute)
+            to = F.col("_to")
+        return rows.withColumn("_other", F.explode(to)).withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other"))
+
+    def pair_counts(self, threshold: float) -> DataFrame:
+        """(keys, n, multiplied): members of each group and pairs of them that are multiplied."""
+        own = self.routed(threshold).groupBy(*self.keys, "_a", "_b").agg(
+            F.count_if(F.col("_own") == F.col("_a")).alias("_l"), F.count_if(F.col("_own") == F.col("_b")).alias("_r"))
+        pairs = F.when(F.col("_a") == F.col("_b"), F.col("_l") * (F.col("_l") - 1) / 2).otherwise(F.col("_l") * F.col("_r"))
+        return self.sizes.select(*self.keys, F.col("_members").alias("n")).join(
+            own.groupBy(*self.keys).agg(F.sum(pairs).cast("long").alias("multiplied")), self.keys, "left").na.fill(0, ["multiplied"])
+
+    # -- kernels ------------------------------------------------------------------------------
+
+    def _weights(self) -> Callable[[pa.Table, pa.Table, bool], np.ndarray]:
+        kind, windows, use_absolute = self.kind, self.windows, self.use_absolute
+
+        def weights(left: pa.Table, right: pa.Table, same: bool) -> np.ndarray:
+            sim = _similarity(matrix(left["vec"]), matrix(right["vec"]), kind, windows)
+            sim *= np.outer(left["scale"].to_numpy(), right["scale"].to_numpy())
+            if use_absolute:
+                sim = np.abs(sim)
+            if same:
+                np.fill_diagonal(sim, np.nan)
+            return sim
+
+        return weights
+
+    def _per_pair(self, rows: DataFrame, emit: Callable[[pa.Table, pa.Table, np.ndarray, bool], list], fields: list[T.StructField]) -> DataFrame:
+        """``emit`` of each block pair that has rows on both sides: columns besides the keys."""
+        keys, weights = self.keys, self._weights()
+        schema = T.StructType([self.vectors.schema[k] for k in keys] + fields)
+        names = schema.names
+
+        def run(table: pa.Table) -> pa.Table:
+            a, b = table["_a"][0].as_py(), table["_b"][0].as_py()
+            own = table["_own"].to_numpy()
+            left, right = (table.take(pa.array(np.flatnonzero(own == x))) for x in (a, b))
+            columns = emit(left, right, weights(left, right, a == b), a == b) if left.num_rows and right.num_rows else None
+            if columns is None:
+                return _arrow(schema, table, keys).empty_table()
+            first = pa.array(np.zeros(len(columns[0]), dtype=np.int64))
+            return pa.table([*[table[k].take(first) for k in keys], *columns], names=names)
+
+        return rows.groupBy(*keys, "_a", "_b").applyInArrow(run, schema)
+
+    def edges(self, threshold: float) -> DataFrame:
+        """(keys, src, dst, weight), weight strictly above the threshold, both ways."""
+        def emit(left, right, sim, same):
+            i, j = np.nonzero(np.nan_to_num(sim, nan=-np.inf) > threshold)
+            src, dst, w = left["ticker"].take(pa.array(i)), right["ticker"].take(pa.array(j)), sim[i, j]
+            if not same:
+                src, dst, w = _joined(src, dst), _joined(dst, src), np.concatenate([w, w])
+            return [src, dst, pa.array(w)]
+
+        return self._per_pair(self.routed(threshold), emit, _EDGE)
+
+    def counts(self, thresholds: Sequence[float]) -> DataFrame:
+        """(keys, _t0, _t1, ...): edges over each threshold, from one pass over the pairs."""
+        cuts = [float(t) for t in thresholds]
+
+        def emit(left, right, sim, same):
+            known = np.nan_to_num(sim, nan=-np.inf)
+            return [pa.array([int((known > t).sum()) * (1 if same else 2)]) for t in cuts]
+
+        names = [f"_t{k}" for k in range(len(cuts))]
+        parts = self._per_pair(self.routed(min(cuts)), emit, [T.StructField(n, T.LongType()) for n in names])
+        return parts.groupBy(*self.keys).agg(*[F.sum(n).alias(n) for n in names])
+
+    def neighbor_sums(self, threshold: float, width: int = 0) -> DataFrame:
+        """Per row with an edge: ``degree``, ``weight`` (of its edges), ``valued`` (edges to rows with values) and, for each of
+        the ``width`` numbers in ``values``, ``n<k>, sum<k>, weight<k>, weighted<k>`` over the edges that know it.
+
+        A block pair returns a row per node that has an edge in it; these are summed by node.
+        """
+        names = ["weight", "valued", *[f"{c}{k}" for c in ("n", "sum", "weight", "weighted") for k in range(width)]]
+
+        def facts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            if not width:
+                none = np.zeros((table.num_rows, 0))
+                return np.ones((table.num_rows, 1)), none, none
+            x = np.full((table.num_rows, width), np.nan)
+            there = np.array(table["values"].is_valid())
+            x[there] = matrix(table["values"].filter(pa.array(there))).reshape(-1, width)
+            return there[:, None].astype(float), (~np.isnan(x)).astype(float), np.nan_to_num(x)
+
+        def of(near: pa.Table, far: pa.Table, sim: np.ndarray):
+            over = np.nan_to_num(sim, nan=-np.inf) > threshold
+            rows = np.flatnonzero(over.any(axis=1))
+            mask = over[rows].astype(float)
+            w = np.where(over[rows], sim[rows], 0.0)
+            there, known, x = facts(far)
+            table = np.hstack([w.sum(axis=1, keepdims=True), mask @ there, mask @ known, mask @ x, w @ known, w @ x])
+            return near["ticker"].take(pa.array(rows)), mask.sum(axis=1).astype(np.int64), table
+
+        def emit(left, right, sim, same):
+            sides = [of(left, right, sim)] + ([] if same else [of(right, left, sim.T)])
+            table = np.vstack([t for *_, t in sides])
+            return [_joined(*[s for s, *_ in sides]), pa.array(np.concatenate([d for _, d, _ in sides])), *[pa.array(c) for c in table.T]]
+
+        fields = [T.StructField("ticker", T.StringType()), T.StructField("degree", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]]
+        parts = self._per_pair(self.routed(threshold), emit, fields)
+        return parts.groupBy(*self.keys, "ticker").agg(*[F.sum(n).alias(n) for n in ("degree", *names)])
+
+    # -- strongest partners -------------------------------------------------------------------
+
+    def _strongest(self, rows: DataFrame, k: int, one_way: bool = False) -> DataFrame:
+        def emit(left, right, sim, same):
+            parts = [_largest(sim, k)]
+            src, dst = left["ticker"].take(pa.array(parts[0][0])), right["ticker"].take(pa.array(parts[0][1]))
+            if not same and not one_way:
+                parts.append(_largest(sim.T, k))
+                src = _joined(src, right["ticker"].take(pa.array(parts[1][0])))
+                dst = _joined(dst, left["ticker"].take(pa.array(parts[1][1])))
+            return [src, dst, pa.array(np.concatenate([w for *_, w in parts]))]
+
+        return self._per_pair(rows, emit, _EDGE)
+
+    def _cut(self, found: DataFrame, k: int) -> DataFrame:
+        return top_rows(found, [*self.keys, "src"], [F.desc("weight"), F.asc("dst")], k).drop("position")
+
+    def _first_round(self, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Placed rows with the angle beyond which they need no partner, the rings, and the best within own blocks."""
+        placed, rings = self._placed
+        inside = cut_lineage(self._cut(self._strongest(placed.withColumns({"_a": F.col("_own"), "_b": F.col("_own")}), k), k))
+        kth = inside.groupBy(*self.keys, F.col("src").alias("ticker")).agg(F.count(F.lit(1)).alias("_found"), F.min("weight").alias("_kth"))
+        rows = placed.join(kth, [*self.keys, "ticker"], "left")
+        bound = F.when(F.coalesce("_found", F.lit(0)) >= k, F.col("_kth")).otherwise(F.lit(-1.0))
+        return rows.withColumn("reach", self._reach(bound)).drop("_found", "_kth"), rings, inside
+
+    def visits(self, rows: DataFrame, rings: DataFrame) -> DataFrame:
+        """Open rows, once per other block they have to visit (``_a`` their own, ``_b`` visited)."""
+        sent = route(rows, rings, self.keys, self.unit, self.use_absolute).withColumn("_b", F.explode("_to")).where("_b <> _own")
+        return sent.withColumn("_a", F.col("_own")).drop("_to")
+
+    def top(self, k: int) -> DataFrame:
+        """(keys, src, dst, weight): the k strongest of each row, ties by name.
+
+        In an indexed group a row first meets its own block; its k-th best there bounds the angle of
+        better partners, and only the blocks that reach into it are visited.
+        """
+        if not self.indexed:
+            return self._cut(self._strongest(self.routed(-np.inf), k), k)
+        rows, rings, inside = self._first_round(k)
+        sent = cut_lineage(self.visits(rows, rings))
+        hosts = sent.select(*self.keys, "_a", "_b").distinct().join(
+            rows.withColumnRenamed("_own", "_b"), [*self.keys, "_b"]).withColumn("_own", F.col("_b"))
+        outside = self._strongest(sent.select(*self.keys, "ticker", "vec", "scale", "_own", "_a", "_b").unionByName(
+            hosts.select(*self.keys, "ticker", "vec", "scale", "_own", "_a", "_b")), k, one_way=True)
+        return self._cut(inside.unionByName(outside), k)
+
+    def visit_counts(self, k: int) -> DataFrame:
+        """(keys, n, blocks, visited): members, blocks, and (row, other block) pairs that ``top`` visits."""
+        rows, rings, _ = self._first_round(k)
+        blocks = rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n"), (F.max("_own") + 1).alias("blocks"))
+        seen = self.visits(rows, rings).groupBy(*self.keys).agg(F.count(F.lit(1)).alias("visited"))
+        return blocks.join(seen, self.keys, "left").na.fill(0, ["visited"])
+
+
+_EDGE = [T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("weight", T.DoubleType())]
+
+
+def _joined(*parts: pa.ChunkedArray) -> pa.ChunkedArray:
+    return pa.chunked_array([c for p in parts for c in p.chunks], parts[0].type)
+
+
+def _arrow(schema: T.StructType, table: pa.Table, keys: Sequence[str]) -> pa.Schema:
+    kinds = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
+    return pa.schema([pa.field(f.name, table[f.name].type if f.name in keys else kinds[f.dataType]) for f in schema])
+
+
+def _largest(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row the k largest entries of a block; more may tie, the final cut settles that."""
     filled = np.nan_to_num(sim, nan=-np.inf)
     if filled.shape[1] > k:
@@ -108,7 +284,20 @@ def _strongest(sim: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int):
         i, j = np.nonzero((filled >= cut) & np.isfinite(filled))
     else:
         i, j = np.nonzero(np.isfinite(filled))
-    return rows[i], cols[j], sim[i, j]
+    return i, j, sim[i, j]
+
+
+def similarity_edges(
+    vectors: DataFrame, keys: Sequence[str], kind: str = "correlation", threshold: float | None = 0.5,
+    top_k: int | None = None, use_absolute: bool = True, windows: Sequence[int] = (), block: int = BLOCK,
+) -> DataFrame:
+    """(keys, src, dst, weight) from (keys, ticker, vec [, scale]).
+
+    Threshold edges (weight strictly above) go both ways; with ``top_k`` each source has its k
+    strongest targets, ties by name. ``scale`` multiplies both ends of a similarity.
+    """
+    pairs = Similarity(vectors, keys, kind, use_absolute, windows, block)
+    return pairs.edges(threshold) if top_k is None else pairs.top(top_k)
 
 
 # -- correlation of return windows --------------------------------------------------------
@@ -141,28 +330,55 @@ def return_windows(returns: DataFrame, dates: DataFrame, lengths: Sequence[int])
 
 def with_stability(vectors: DataFrame, keys: Sequence[str] = ("pred_date", "lookback")) -> DataFrame:
     """Add ``scale`` = sqrt(clip(median volatility / own volatility, 0, 1))."""
-    n = F.size("vec").cast("double")
-    mean = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x) / n
-    spread = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean"))) / n)
-    rows = vectors.withColumn("_mean", mean).withColumn("_vol", F.greatest(spread, F.lit(1e-8))).drop("_mean")
+    # one pass: count, mean and squared distance from it so far
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        return F.struct(n.alias("n"), (s["mean"] + (x - s["mean"]) / n).alias("mean"),
+                        (s["square"] + (x - s["mean"]) * (x - s["mean"]) * s["n"] / n).alias("square"))
+
+    spread = F.aggregate("vec", start, step, lambda s: F.sqrt(s["square"] / s["n"]))
+    rows = cut_lineage(vectors.withColumn("_vol", F.greatest(spread, F.lit(1e-8))))
     median = exact_quantiles(rows, keys, "_vol", {"_median": 0.5})
     stability = F.least(F.greatest(F.col("_median") / F.col("_vol"), F.lit(0.0)), F.lit(1.0))
     return rows.join(median, list(keys)).withColumn("scale", F.sqrt(stability)).drop("_vol", "_median")
 
 
+def correlations(
+    returns: DataFrame, dates: DataFrame, window: int = 60, use_absolute: bool = True, multi_windows: Sequence[int] | None = None,
+    inverse_vol: bool = False, block: int = BLOCK, values: DataFrame | None = None, columns: Sequence[str] = (),
+) -> Similarity:
+    """Correlation pairs per ``pred_date``. With ``multi_windows`` the weakest absolute correlation of
+    all windows counts, signed as in the longest; a window without one drops the pair. ``values``
+    (pred_date, ticker, columns) are carried along for ``neighbor_sums``."""
+    vectors = return_windows(returns, dates, [max(multi_windows) if multi_windows else window])
+    if inverse_vol:
+        vectors = with_stability(vectors)
+    if values is not None:
+        carried = values.select("pred_date", "ticker", F.array(*[F.col(c).cast("double") for c in columns]).alias("values"))
+        vectors = vectors.join(carried, ["pred_date", "ticker"], "left")
+    return Similarity(vectors, ["pred_date"], "correlation", use_absolute, multi_windows or (), block)
+
+
 def correlation_edges(
     returns: DataFrame, dates: DataFrame, window: int = 60, threshold: float | None = 0.5,
     top_k: int | None = None, use_absolute: bool = True, multi_windows: Sequence[int] | None = None,
     inverse_vol: bool = False, block: int = BLOCK,
 ) -> DataFrame:
-    """(pred_date, src, dst, weight). With ``multi_windows`` the weakest absolute correlation of
-    all windows counts, signed as in the longest; a window without one drops the pair."""
-    longest = max(multi_windows) if multi_windows else window
-    vectors = return_windows(returns, dates, [longest])
-    if inverse_vol:
-        vectors = with_stability(vectors)
-    return similarity_edges(
-        vectors, ["pred_date"], "correlation", threshold, top_k, use_absolute, multi_windows or (), block)
+    """(pred_date, src, dst, weight)."""
+    pairs = correlations(returns, dates, window, use_absolute, multi_windows, inverse_vol, block)
+    return pairs.edges(threshold) if top_k is None else pairs.top(top_k)
+
+
+def edge_counts(pairs: Similarity, threshold: float, nodes: DataFrame | None = None) -> DataFrame:
+    """(pred_date, n_edges, n_loops) without listing edges; ``nodes`` get a self loop each."""
+    counts = pairs.counts([threshold]).where("_t0 > 0")
+    if nodes is None:
+        return counts.select("pred_date", F.col("_t0").alias("n_edges"), F.lit(0).cast("long").alias("n_loops"))
+    loops = nodes.select("pred_date", "ticker").distinct().groupBy("pred_date").agg(F.count(F.lit(1)).alias("n_loops"))
+    both = counts.join(loops, "pred_date", "full").na.fill(0, ["_t0", "n_loops"])
+    return both.select("pred_date", (F.col("_t0") + F.col("n_loops")).alias("n_edges"), "n_loops")
 
 
 def add_self_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -187,20 +403,23 @@ def edge_density(
     returns: DataFrame, dates: DataFrame, lookbacks: Iterable[int], thresholds: Sequence[float],
     top_ks: Sequence[int] = (), block: int = BLOCK,
 ) -> DataFrame:
-    """Edges per (pred_date, lookback, setting) for all settings from one pass over the pairs."""
-    vectors = return_windows(returns, dates, list(lookbacks))
+    """Edges per (pred_date, lookback, setting) for all settings from one pass over the pairs.
+
+    Top-k graphs need no pairs to be counted: every row with a direction is linked with all others that have one.
+    """
+    vectors = cut_lineage(return_windows(returns, dates, list(lookbacks)))
     keys = ["pred_date", "lookback"]
-    kept = similarity_edges(vectors, keys, threshold=min(thresholds), block=block)
 
     def settings(counts: dict) -> F.Column:
         return F.inline(F.array(*[F.struct(F.lit(n).alias("setting"), F.col(c).alias("n_edges")) for n, c in counts.items()]))
 
-    taus = {f"tau_{t}": f"_t{n}" for n, t in enumerate(thresholds)}
-    result = kept.groupBy(*keys).agg(
-        *[F.count_if(F.col("weight") > t).alias(f"_t{n}") for n, t in enumerate(thresholds)]).select(*keys, settings(taus))
+    kept = Similarity(vectors, keys, block=block).counts(thresholds)
+    least = f"_t{min(range(len(thresholds)), key=lambda k: thresholds[k])}"
+    result = kept.where(F.col(least) > 0).select(*keys, settings({f"tau_{t}": f"_t{n}" for n, t in enumerate(thresholds)}))
     if top_ks:
-        strongest = similarity_edges(vectors, keys, threshold=None, top_k=max(top_ks), block=block)
-        per_source = strongest.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("_n"))
-        by_k = per_source.groupBy(*keys).agg(*[F.sum(F.least(F.col("_n"), F.lit(int(k)))).alias(f"_k{k}") for k in top_ks])
-        result = result.unionByName(by_k.select(*keys, settings({f"top_{k}": f"_k{k}" for k in top_ks})))
+        moves = F.array_max("vec") - F.array_min("vec") > FLAT
+        sizes = vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.count_if(moves).alias("_m"))
+        for k in top_ks:
+            sizes = sizes.withColumn(f"_k{k}", F.col("_m") * F.greatest(F.least(F.col("_m") - 1, F.lit(int(k))), F.lit(0)))
+        result = result.unionByName(sizes.where("_all >= 2").select(*keys, settings({f"top_{k}": f"_k{k}" for k in top_ks})))
     return result

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import centrality, fundamental, pairs, relations
@@ -40,6 +42,11 @@ def edges(i: Inputs):
     return i._keep("edges", lambda: pairs.correlation_edges(i.returns, i.month_starts, W, 0.6))
 
 
+def near(i: Inputs, values=None, columns=()):
+    """The pairs behind ``EDGES``, for what needs no list of them."""
+    return pairs.correlations(i.returns, i.month_starts, W, values=values, columns=columns)
+
+
 def nodes(i: Inputs):
     """Tickers with a bar on the prediction date."""
     return i.weekly.select(F.col("date").alias("pred_date"), "ticker").join(i.month_starts, "pred_date", "left_semi")
@@ -96,14 +103,13 @@ def _(i: Inputs):
 
 @query("grf7_self_loops", f"WITH {EDGES}, {NODES}, looped AS (SELECT pred_date, src, dst FROM edges UNION ALL SELECT pred_date, ticker, ticker FROM nodes) SELECT pred_date, count(*) AS n_edges, count_if(src = dst) AS n_loops FROM looped GROUP BY 1")
 def _(i: Inputs):
-    return pairs.add_self_loops(edges(i), nodes(i)).groupBy("pred_date").agg(
-        F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("src") == F.col("dst")).alias("n_loops"))
+    return pairs.edge_counts(near(i), 0.6, nodes(i))
 
 
 @query("grf8_all_dates", f"WITH {corr_sql(8).replace('months AS (SELECT pred_date, dn FROM month_starts)', 'months AS (SELECT date AS pred_date, dn FROM calendar)')} SELECT pred_date, count_if(abs(rho) > 0.8) AS n_edges FROM rhos GROUP BY 1 HAVING count_if(abs(rho) > 0.8) > 0")
 def _(i: Inputs):
     every = i.calendar.select(F.col("date").alias("pred_date"), "dn")
-    return pairs.correlation_edges(i.returns, every, 8, 0.8).groupBy("pred_date").agg(F.count(F.lit(1)).alias("n_edges"))
+    return pairs.edge_counts(pairs.correlations(i.returns, every, 8), 0.8).drop("n_loops")
 
 
 GROUPED = f"{MONTHS}, {NODES}, grouped AS (SELECT pred_date, sector, ticker, count(*) OVER (PARTITION BY pred_date, sector) - 1 AS degree FROM nodes JOIN sectors USING (ticker))"
@@ -175,15 +181,16 @@ def _(i: Inputs):
 everything AS (SELECT pred_date, 'correlation' AS edge_type FROM edges UNION ALL SELECT pred_date, edge_type FROM hier UNION ALL SELECT pred_date, 'same_sector' FROM grouped WHERE n >= 2)
 SELECT pred_date, edge_type, count(*) AS n_edges FROM everything GROUP BY 1, 2""")
 def _(i: Inputs):
-    graph = relations.assemble_graph({
-        "correlation": edges(i), "fundamental": None, "sector": relations.sector_relation(nodes(i), i.sectors),
-        "hierarchy": relations.hierarchy_edges(nodes(i), i.sectors, REGIONS)}, i.month_starts)
-    return graph.groupBy("pred_date", "edge_type").agg(F.count(F.lit(1)).alias("n_edges"))
+    return relations.graph_sizes({
+        "fundamental": None, "sector": relations.sector_relation(nodes(i), i.sectors),
+        "hierarchy": relations.hierarchy_edges(nodes(i), i.sectors, REGIONS)}, i.month_starts,
+        {"correlation": pairs.edge_counts(near(i), 0.6)})
 
 
 @query("grf14_degree", f"WITH {EDGES}, {NODES} SELECT n.pred_date, n.ticker, count(e.dst) AS degree FROM nodes n LEFT JOIN edges e ON e.pred_date = n.pred_date AND e.src = n.ticker GROUP BY 1, 2")
 def _(i: Inputs):
-    return relations.degree(edges(i), nodes(i))
+    sums = near(i).neighbor_sums(0.6).select("pred_date", "ticker", "degree")
+    return nodes(i).join(sums, ["pred_date", "ticker"], "left").na.fill(0, ["degree"])
 
 
 RECENT = """recent AS (SELECT pred_date, r.ticker AS ticker, avg(ret) AS recent FROM months m JOIN returns r ON r.dn > m.dn - 5 AND r.dn <= m.dn WHERE ret IS NOT NULL GROUP BY 1, 2)"""
@@ -193,7 +200,7 @@ RECENT = """recent AS (SELECT pred_date, r.ticker AS ticker, avg(ret) AS recent
 SELECT n.pred_date, n.ticker, {g('coalesce(avg(r.recent), 0)', 5)} AS avg_neighbor_return FROM nodes n LEFT JOIN edges e ON e.pred_date = n.pred_date AND e.src = n.ticker
 LEFT JOIN (SELECT r.* FROM recent r SEMI JOIN nodes k USING (pred_date, ticker)) r ON r.pred_date = e.pred_date AND r.ticker = e.dst GROUP BY 1, 2""")
 def _(i: Inputs):
-    f = relations.graph_features(edges(i), nodes(i), i.returns, i.month_starts, i.sectors)
+    f = relations.near_features(partial(near, i), 0.6, nodes(i), i.returns, i.month_starts, i.sectors)
     return f.select(F.col("date").alias("pred_date"), "ticker", grid("avg_neighbor_return", 5).alias("avg_neighbor_return"))
 
 
@@ -215,13 +222,13 @@ def _(i: Inputs):
 
 @query("grf18_neighbor_mean", f"WITH {EDGES}, v AS (SELECT pred_date, ticker, score, volatility FROM predictions) SELECT e.pred_date, src AS ticker, {g('avg(score)')} AS score, {g('avg(volatility)')} AS volatility FROM edges e JOIN v ON v.pred_date = e.pred_date AND v.ticker = dst GROUP BY 1, 2")
 def _(i: Inputs):
-    out = relations.neighbor_mean(edges(i), i.predictions, ["score", "volatility"])
+    out = relations.near_mean(near(i, i.predictions, ["score", "volatility"]), 0.6, ["score", "volatility"])
     return gridded(out, "pred_date ticker", "score volatility")
 
 
 @query("grf18_weighted_neighbor_mean", f"WITH {EDGES}, v AS (SELECT pred_date, ticker, score FROM predictions) SELECT e.pred_date, src AS ticker, {g('sum(weight * score) / sum(weight) FILTER (score IS NOT NULL)')} AS score FROM edges e JOIN v ON v.pred_date = e.pred_date AND v.ticker = dst GROUP BY 1, 2")
 def _(i: Inputs):
-    return gridded(relations.neighbor_mean(edges(i), i.predictions, ["score"], weighted=True), "pred_date ticker", "score")
+    return gridded(relations.near_mean(near(i, i.predictions, ["score"]), 0.6, ["score"], weighted=True), "pred_date ticker", "score")
 
 
 @query("grf18_normalised_sum", f"""WITH {EDGES}, v AS (SELECT pred_date, ticker, score FROM predictions SEMI JOIN months USING (pred_date)),
@@ -230,7 +237,7 @@ SELECT l.pred_date, l.src AS ticker, {g('sum(l.weight * v.score / sqrt(b.d)) / s
 JOIN d a ON a.pred_date = l.pred_date AND a.src = l.src JOIN d b ON b.pred_date = l.pred_date AND b.src = l.dst GROUP BY 1, 2""")
 def _(i: Inputs):
     v = i.predictions.join(i.month_starts, "pred_date", "left_semi").select("pred_date", "ticker", "score")
-    return gridded(relations.normalised_neighbor_sum(edges(i), v, ["score"]), "pred_date ticker", "score")
+    return gridded(relations.near_normalised_sum(partial(near, i), 0.6, v, ["score"]), "pred_date ticker", "score")
 
 
 @query("grf19_density_sweep", f"""WITH {CORR.replace('rhos', 'rhos12').replace('cells', 'cells12').replace('complete', 'complete12')},
