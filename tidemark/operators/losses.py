@@ -1,18 +1,20 @@
 """Ranking and regression losses of a score as plain metrics.
 
-Pairwise sums never list pairs: they follow from running totals, so a date of any size costs
-n log n rows. ``per_range`` is that of ``running_totals``.
+Pairwise sums never list pairs: they follow from running sums over sorted rows, in arrays for dates of
+up to ``per_range`` rows and in ranges (``spread.py``) for larger ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import valid_rows
-from tidemark.operators.spread import PER_RANGE, running_totals
+from tidemark.operators.spread import PER_RANGE, by_size, running_totals
 
 
 def pearson_ic_loss(df: DataFrame, least: int = 3, eps: float = 1e-8) -> DataFrame:
@@ -41,18 +43,56 @@ def listmle_loss(df: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
         F.avg("_l").alias("loss"), F.count(F.lit(1)).alias("n_dates"))
 
 
+def hinge_sums(score: np.ndarray, target: np.ndarray, margin: float) -> tuple[float, int]:
+    """Sum of max(0, margin - (s_i - s_j)) over pairs with y_i > y_j, and their number.
+
+    Two different dense ranks of the targets differ first at exactly one bit; there the greater one has
+    the bit set. So at each bit the rows of one prefix are 'set' against 'unset', sorted together, and a
+    running count and sum of the unset scores gives each set row all its pairs at once.
+    """
+    rank = np.unique(target, return_inverse=True)[1]
+    total, pairs = 0.0, 0
+    for level in range(int(rank.max(initial=0)).bit_length()):
+        prefix, upper = rank >> (level + 1), ((rank >> level) & 1).astype(bool)
+        key = np.where(upper, score - margin, score)
+        order = np.lexsort((-key, prefix))
+        prefix, upper, key = prefix[order], upper[order], key[order]
+        first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(prefix)]))
+        count = np.r_[0, np.cumsum(~upper)]
+        # running sums over all rows; what lay before the prefix is taken off
+        scores = np.cumsum(np.where(upper, 0.0, key))
+        base = np.r_[0.0, scores][first][of]
+        below = count[:-1] - count[first][of]
+        total += float((scores - base - key * below)[upper].sum())
+        ends = np.r_[first[1:], len(prefix)]
+        lower = count[ends] - count[first]
+        pairs += int((lower * (ends - first - lower)).sum())
+    return total, pairs
+
+
 def pairwise_hinge_loss(
     df: DataFrame, margin: float = 0.0, per_range: int = PER_RANGE,
 ) -> DataFrame:
     """One row: mean of max(0, margin - (s_i - s_j)) over all pairs with y_i > y_j of one date,
-    pooled over dates, and the number of pairs.
+    pooled over dates, and the number of pairs. A date of more than ``per_range`` rows has its rows
+    once per bit of its highest rank, in ranges."""
+    rows = valid_rows(df).select("pred_date", F.col("score").cast("double").alias("score"), F.col("target").cast("double").alias("target"))
 
-    Two different dense ranks differ first at exactly one bit; there the greater one has the
-    bit set. So per (date, level, prefix) the pairs are 'set' rows against 'unset' rows, and a
-    running total over scores sums the hinge of all of them. A date has as many levels as its
-    highest rank has bits.
-    """
-    rows = valid_rows(df).select("pred_date", "score", "target")
+    def whole(rows: DataFrame) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            total, pairs = hinge_sums(table["score"].to_numpy(), table["target"].to_numpy(), margin)
+            return pa.table({"_h": [total], "_p": [pairs]})
+
+        return rows.groupBy("pred_date").applyInArrow(run, "_h double, _p long")
+
+    sums = by_size(rows, ["pred_date"], per_range, whole, lambda large: _hinge_in_ranges(large, margin, per_range))
+    return sums.agg(F.sum("_h").alias("_h"), F.sum("_p").alias("n_pairs")).select(
+        (F.col("_h") / F.nullif(F.col("n_pairs"), F.lit(0))).alias("loss"), "n_pairs")
+
+
+def _hinge_in_ranges(rows: DataFrame, margin: float, per_range: int) -> DataFrame:
+    """(_h, _p) by ``hinge_sums``' rule, with running totals instead of arrays."""
     distinct = rows.select("pred_date", "target", F.lit(1).cast("bigint").alias("_n")).distinct()
     places = running_totals(distinct, ["pred_date"], "target", ["_n"], per_range=per_range).select(
         "pred_date", "target", F.col("_n_before").cast("bigint").alias("_rank"))
@@ -77,10 +117,8 @@ def pairwise_hinge_loss(
     # rows with the very same key contribute zero, so strictly greater keys suffice
     hinge = F.sum(F.col("upper") * (F.col("lower_sum_before") - F.col("_key") * F.col("lower_before")))
     pairs = leveled.groupBy(*by).agg(F.sum(F.col("bit")).alias("_u"), F.sum(1 - F.col("bit")).alias("_l")).agg(
-        F.sum(F.col("_u") * F.col("_l")).alias("n_pairs"))
-    total = cells.agg(hinge.alias("_h"))
-    return total.withColumn("_one", F.lit(1)).join(pairs.withColumn("_one", F.lit(1)), "_one").select(
-        (F.col("_h") / F.nullif(F.col("n_pairs"), F.lit(0))).alias("loss"), "n_pairs")
+        F.sum(F.col("_u") * F.col("_l")).cast("long").alias("_p"))
+    return cells.agg(hinge.alias("_h")).withColumn("_one", F.lit(1)).join(pairs.withColumn("_one", F.lit(1)), "_one").select("_h", "_p")
 
 
 def masked_mse(df: DataFrame, prediction: str = "score", actual: str = "target") -> DataFrame:

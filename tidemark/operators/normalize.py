@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clip, finite
-from tidemark.operators.spread import exact_quantiles
+from tidemark.operators.spread import column_quantiles
 from tidemark.session import cut_lineage
 
 KEYS = ("ticker", "date")
@@ -33,14 +33,11 @@ def past_zscore(df: DataFrame, columns: Sequence[str], window: int = 252) -> Dat
 def fill_with_date_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls take the median of the column on that date, zero where the whole date is null.
 
-    All columns go through one exact, range-cut median keyed by (date, column). The rows are
-    written first, as what made them would else be computed for the medians and for the fill.
+    The medians of all columns are one wide aggregate per date. The rows are written first, as what
+    made them would else be computed for the medians and for the fill.
     """
     df = cut_lineage(df)
-    long = df.select("date", F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("_c", "_v"))
-    medians = exact_quantiles(long, ["date", "_c"], "_v", {"_med": 0.5})
-    wide = medians.groupBy("date").agg(
-        *[F.max(F.when(F.col("_c") == i, F.col("_med"))).alias(f"_med_{c}") for i, c in enumerate(columns)])
+    wide = column_quantiles(df, ["date"], columns, {"_med": 0.5}).withColumnsRenamed({f"{c}__med": f"_med_{c}" for c in columns})
     filled = {c: F.coalesce(F.col(c), F.col(f"_med_{c}"), F.lit(0.0)) for c in columns}
     return df.join(wide, "date", "left").withColumns(filled).select(*df.columns)
 

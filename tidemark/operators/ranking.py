@@ -1,8 +1,8 @@
 """Cross-sectional ranking metrics per date.
 
 Inputs are (pred_date, ticker, score, target [, valid]). Extra leading keys (``variant``) may
-be named in ``by``. Ranks and quantiles switch to range-cut running totals for large dates and
-legs use partial top-n, so one date may hold any share of the rows.
+be named in ``by``. Large dates are ranked in ranges (``spread.py``) and legs use partial top-n, so
+one date may hold any share of the rows.
 """
 
 from __future__ import annotations

@@ -215,7 +215,37 @@ def _centrality_nodes(i: Inputs):
     return nodes(i).join(edges(i).select("pred_date").distinct(), "pred_date", "left_semi")
 
 
-@query("grf17_betweenness")
+# every search advances one level per step; a step sees the level before it and the one before that,
+# which is where neighbours can lie, as edges go both ways
+PATHS = f"""{EDGES.replace("edges AS (", "edges AS MATERIALIZED (")}, {NODES},
+members AS (SELECT pred_date, ticker FROM nodes SEMI JOIN edges USING (pred_date)),
+paths(pred_date, s, v, d, sigma, step) AS (
+  SELECT pred_date, ticker, ticker, 0, 1::DOUBLE, 0 FROM members
+  UNION ALL (
+    WITH ahead AS (
+      SELECT w.pred_date, w.s, e.dst AS v, w.step + 1 AS d, sum(w.sigma) AS sigma, w.step + 1 AS step FROM paths w JOIN edges e ON e.pred_date = w.pred_date AND e.src = w.v AND w.d = w.step
+      WHERE NOT EXISTS (SELECT 1 FROM paths x WHERE x.pred_date = w.pred_date AND x.s = w.s AND x.v = e.dst) GROUP BY ALL)
+    SELECT * FROM ahead UNION ALL SELECT pred_date, s, v, d, sigma, step + 1 FROM paths WHERE d = step)),
+reach AS MATERIALIZED (SELECT DISTINCT pred_date, s, v, d, sigma FROM paths),
+through AS (SELECT a.pred_date, a.v, sum(a.sigma * b.sigma / c.sigma) AS b FROM reach a JOIN reach b ON b.pred_date = a.pred_date AND b.s = a.v AND b.d > 0 AND a.d > 0
+  JOIN reach c ON c.pred_date = a.pred_date AND c.s = a.s AND c.v = b.v AND c.d = a.d + b.d GROUP BY 1, 2),
+counted AS (SELECT pred_date, count(*) AS n FROM members GROUP BY 1)"""
+
+
+@query("grf17_betweenness_exact", f"""WITH RECURSIVE {PATHS}
+SELECT m.pred_date, m.ticker, {g('coalesce(t.b / nullif((n - 1) * (n - 2), 0), 0)', 6)} AS betweenness_centrality
+FROM members m JOIN counted USING (pred_date) LEFT JOIN through t ON t.pred_date = m.pred_date AND t.v = m.ticker""")
+def _(i: Inputs):
+    return gridded(centrality.betweenness(edges(i), _centrality_nodes(i), None), "pred_date ticker", "betweenness_centrality", 6)
+
+
+SOURCES = """starts AS (SELECT pred_date, ticker FROM members QUALIFY row_number() OVER (PARTITION BY pred_date ORDER BY md5(ticker), ticker) <= 50),
+used AS (SELECT pred_date, count(*) AS k FROM starts GROUP BY 1)"""
+
+
+@query("grf17_betweenness", f"""WITH RECURSIVE {PATHS.replace("through AS (", SOURCES + ", through AS (").replace("FROM reach a JOIN", "FROM (SELECT r.* FROM reach r SEMI JOIN starts t ON t.pred_date = r.pred_date AND t.ticker = r.s) a JOIN")}
+SELECT m.pred_date, m.ticker, {g('coalesce(t.b * n / k / nullif((n - 1) * (n - 2), 0), 0)', 6)} AS betweenness_centrality
+FROM members m JOIN counted USING (pred_date) JOIN used USING (pred_date) LEFT JOIN through t ON t.pred_date = m.pred_date AND t.v = m.ticker""")
 def _(i: Inputs):
     return gridded(centrality.betweenness(edges(i), _centrality_nodes(i), 50), "pred_date ticker", "betweenness_centrality", 6)
 
