@@ -10,7 +10,7 @@ from tidemark.plans.q_ranking import _corr, avg_rank
 from tidemark.plans.registry import g, grid, gridded, gs, query
 from tidemark.session import new_path
 from tidemark.sources import sinks
-from tidemark.streaming import intake
+from tidemark.streaming import intake, matured
 
 N = 20
 SCORE_COLUMNS = "ic hit_rate spread"
@@ -147,13 +147,18 @@ def _(i: Inputs):
     return log.overview()
 
 
-@query("str2_score_matured", f"""WITH e AS (SELECT ts, 'U' || user_id AS ticker, (value - 50) / (value + 50) AS score, value FROM events)
-SELECT p.ticker AS ticker, count(*) AS n, {g('sum(ln(q.value / p.value))', 3)} AS total FROM e p JOIN e q ON p.ticker = q.ticker AND q.ts >= p.ts + INTERVAL 5 DAY AND q.ts < p.ts + INTERVAL 6 DAY GROUP BY 1""")
+@query("str2_score_matured", f"""WITH e AS (SELECT ts, 'U' || user_id AS ticker, (value - 50) / (value + 50) AS score, value FROM events),
+q AS (SELECT ticker, ts AS price_ts, min(value) AS price FROM e GROUP BY 1, 2),
+p AS (SELECT ticker, ts AS pred_ts, ts + INTERVAL 5 DAY AS due, score, value AS p0 FROM e),
+j AS (SELECT p.*, CASE WHEN q.price_ts < due + INTERVAL 1 DAY THEN q.price_ts END AS price_ts, q.price FROM p ASOF LEFT JOIN q ON p.ticker = q.ticker AND p.due <= q.price_ts),
+w AS (SELECT 1000 * (epoch_ms(max(ts)) - 172800000) AS mark FROM events)
+SELECT ticker, epoch_us(pred_ts) AS pred_us, epoch_us(price_ts) AS price_us, {gs('score')}, CASE WHEN price_ts IS NOT NULL THEN {g('ln(price / p0)', 3)} END AS target,
+  CASE WHEN price_ts IS NULL THEN 'no_price' ELSE 'scored' END AS status FROM j, w WHERE CASE WHEN price_ts IS NULL THEN epoch_us(due) + 86400000000 <= mark ELSE epoch_us(price_ts) < mark END""")
 def _(i: Inputs):
     predictions = _events(i).select("ts", "ticker", "score", F.col("value").alias("p0"))
     prices = _events(i).select("ts", "ticker", F.col("value").alias("price"))
-    out = _drain(i, intake.score_matured(predictions, prices, 5), "matured")
-    return gridded(out.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("total")), "ticker n", "total", 3)
+    out = _drain(i, matured.score_matured(predictions, prices, 5), "matured")
+    return out.select("ticker", F.unix_micros("pred_ts").alias("pred_us"), F.unix_micros("price_ts").alias("price_us"), grid("score").alias("score"), grid("target", 3).alias("target"), "status")
 
 
 @query("str3_daily_counts", f"""SELECT ts::DATE AS date, 'U' || user_id AS ticker, {_case('event_type', SOURCES, 'event_type')} AS source, count(*) AS volume, {g('sum((value - 50) / (value + 50))')} AS score_sum

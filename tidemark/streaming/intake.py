@@ -25,22 +25,6 @@ def log_predictions(stream: DataFrame, log: PredictionLog, checkpoint: str, once
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def score_matured(predictions: DataFrame, prices: DataFrame, horizon_days: int, delay: str = "2 days") -> DataFrame:
-    """Stream-stream join of predictions with the price that ends their horizon.
-
-    ``predictions``: ts, ticker, score, p0. ``prices``: ts, ticker, price. A prediction waits in
-    state until a price of its ticker arrives on the day ``horizon_days`` later; the time bounds
-    let Spark drop state behind the watermarks.
-    """
-    p = predictions.withWatermark("ts", delay).select(
-        F.col("ts").alias("pred_ts"), F.col("ticker").alias("_t"), "score", "p0")
-    q = prices.withWatermark("ts", delay).select(F.col("ts").alias("price_ts"), "ticker", "price")
-    lo = F.col("pred_ts") + F.expr(f"interval {horizon_days} days")
-    hi = F.col("pred_ts") + F.expr(f"interval {horizon_days + 1} days")
-    joined = p.join(q, (F.col("_t") == F.col("ticker")) & (F.col("price_ts") >= lo) & (F.col("price_ts") < hi))
-    return joined.select("ticker", "pred_ts", "price_ts", "score", F.ln(F.col("price") / F.col("p0")).alias("target"))
-
-
 def landed(session: SparkSession, path: str) -> bool:
     """Whether a table has been written at the path."""
     jvm = session.sparkContext._jvm
@@ -72,9 +56,13 @@ def daily_counts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def sliding_baseline(stream: DataFrame, days: int = 20, delay: str = "1 hour") -> DataFrame:
-    """Mean messages per day over sliding windows of ``days``, moved by one day."""
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", f"{days} days", "1 day"), "ticker").agg(
-        (F.count(F.lit(1)) / F.lit(float(days))).alias("daily_mean")
+    """Mean messages per day over sliding windows of ``days``, moved by one day.
+
+    Messages are counted by day first; only these panes are copied into the windows they are part of.
+    """
+    panes = stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("pane"), "ticker").agg(F.count(F.lit(1)).alias("_n"))
+    return panes.groupBy(F.window("pane", f"{days} days", "1 day"), "ticker").agg(
+        (F.sum("_n") / F.lit(float(days))).alias("daily_mean")
     ).select(F.col("window.end").cast("date").alias("date"), "ticker", "daily_mean")
 
 
