@@ -151,3 +151,58 @@ def test_resume_has_all_three_statuses(spark):
     from tidemark.plans import QUERIES
 
     assert {r.status for r in QUERIES["snk5_resume"](spark, "/root/testdata/sf0.001").collect()} == {"skipped", "succeeded", "failed"}
+
+
+def _rows(spark, *rows):
+    return spark.createDataFrame([(day(d), t, s, 5) for d, t, s in rows], "pred_date date, ticker string, score double, horizon int")
+
+
+def _held(log):
+    return sorted((str(r.pred_date), r.ticker, r.score) for r in log.predictions().collect())
+
+
+def test_a_stopped_writer_leaves_nothing(spark, tmp_path, monkeypatch):
+    log = forward.PredictionLog(spark, str(tmp_path))
+    log.append(_rows(spark, ("2024-01-02", "A", 1.0)))
+    with monkeypatch.context() as m:
+        m.setattr(log.prediction_table, "_commit", lambda at: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError, match="stopped"):
+            log.append(_rows(spark, ("2024-01-02", "B", 2.0), ("2024-01-03", "A", 3.0)))
+    assert _held(log) == [("2024-01-02", "A", 1.0)]
+    log.append(_rows(spark, ("2024-01-02", "B", 2.5)))
+    assert _held(log) == [("2024-01-02", "A", 1.0), ("2024-01-02", "B", 2.5)]
+    table = log.prediction_table
+    assert len(table._names("data")) == 3
+    first = table.snapshot(1)
+    table.compact()
+    assert _held(log) == [("2024-01-02", "A", 1.0), ("2024-01-02", "B", 2.5)] and len(table.snapshot().folders) == 1
+    assert [r.ticker for r in table.read(first).collect()] == ["A"]         # an earlier version can still be read
+    table.vacuum(keep=1)
+    assert len(table._names("data")) == len(table._names("commits")) == 1 and len(_held(log)) == 2
+
+
+def test_of_two_writers_both_are_kept_once(spark, tmp_path, monkeypatch):
+    log, other = (forward.PredictionLog(spark, str(tmp_path)) for _ in range(2))
+    log.append(_rows(spark, ("2024-01-02", "A", 1.0)))
+    commit, asked = log.prediction_table._commit, []
+
+    def late(at):
+        if not asked:
+            # the other writer comes between this one's data and its commit, with a row of its own and one of the same
+            other.append(_rows(spark, ("2024-01-02", "B", 2.0), ("2024-01-02", "C", 3.0)))
+        asked.append(at.version)
+        commit(at)
+
+    monkeypatch.setattr(log.prediction_table, "_commit", late)
+    log.append(_rows(spark, ("2024-01-02", "C", 9.0), ("2024-01-02", "D", 4.0)))
+    assert asked == [2, 3]
+    assert _held(log) == [("2024-01-02", "A", 1.0), ("2024-01-02", "B", 2.0), ("2024-01-02", "C", 3.0), ("2024-01-02", "D", 4.0)]
+    assert len(log.prediction_table._names("data")) == 3
+
+
+def test_numbered_batches_are_taken_once(spark, tmp_path):
+    log = forward.PredictionLog(spark, str(tmp_path))
+    assert log.append(_rows(spark, ("2024-01-02", "A", 1.0)), "w", 0)
+    assert not log.append(_rows(spark, ("2024-01-02", "B", 1.0)), "w", 0)
+    assert log.append(_rows(spark, ("2024-01-02", "B", 2.0)), "w", 1) and log.append(_rows(spark, ("2024-01-02", "C", 2.0)), "v", 0)
+    assert [t for _, t, _ in _held(log)] == ["A", "B", "C"]

@@ -16,6 +16,7 @@ from tidemark.functions.columns import finite, log_ratio
 from tidemark.operators.calendar import trading_calendar
 from tidemark.operators.ranking import daily_metrics
 from tidemark.session import cut_lineage
+from tidemark.sources.commits import CommittedTable
 
 LOG_SCHEMA = T.StructType([
     T.StructField("pred_date", T.DateType()), T.StructField("ticker", T.StringType()),
@@ -27,47 +28,44 @@ RESULT_SCHEMA = T.StructType([
 
 
 class PredictionLog:
-    """Predictions and results as tables partitioned by date below one folder."""
+    """Predictions and results as committed tables below one folder: a date is there with all rows of a
+    change or with none, several writers may append at once, and a change that stops leaves nothing."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self.predictions_path = os.path.join(folder, "predictions")
-        self.results_path = os.path.join(folder, "results")
-
-    def _read(self, path: str, schema: T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except Exception as e:  # a log that does not exist yet is empty
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+        self.prediction_table = CommittedTable(spark, os.path.join(folder, "predictions"), LOG_SCHEMA, "pred_date")
+        self.result_table = CommittedTable(spark, os.path.join(folder, "results"), RESULT_SCHEMA, "pred_date")
 
     def predictions(self) -> DataFrame:
-        return self._read(self.predictions_path, LOG_SCHEMA)
+        return self.prediction_table.read()
 
     def results(self) -> DataFrame:
-        return self._read(self.results_path, RESULT_SCHEMA)
+        return self.result_table.read()
 
-    def append(self, predictions: DataFrame) -> None:
+    def append(self, predictions: DataFrame, writer: str | None = None, batch: int = 0) -> bool:
         """Add predictions of a ticker and date that are not logged yet; what is logged stays.
 
         So a date may come in pieces, and a piece that comes again changes nothing. Of several
         predictions of one ticker and date the one of the shortest horizon, then of the lowest
-        score, is taken, whatever the order of the rows.
+        score, is taken, whatever the order of the rows. A ``writer`` that numbers its batches is
+        not asked twice for the same one.
         """
         new = predictions.select([F.col(f.name).cast(f.dataType) for f in LOG_SCHEMA])
         new = new.groupBy("pred_date", "ticker").agg(F.min(F.struct("horizon", "score")).alias("_first")).select(
             "pred_date", "ticker", "_first.score", "_first.horizon")
-        # only dates of this piece are read
-        known = self.predictions().join(new.select("pred_date").distinct(), "pred_date", "left_semi").select("pred_date", "ticker")
-        new = new.join(known, ["pred_date", "ticker"], "left_anti")
-        # the hint gathers a date's rows into few files and splits a date too large for one
-        new.hint("rebalance", "pred_date").write.mode("append").partitionBy("pred_date").parquet(self.predictions_path)
+
+        def missing(logged: DataFrame) -> DataFrame:
+            # only dates of this piece are read
+            known = logged.join(new.select("pred_date").distinct(), "pred_date", "left_semi").select("pred_date", "ticker")
+            return new.join(known, ["pred_date", "ticker"], "left_anti").select(*LOG_SCHEMA.names)
+
+        return self.prediction_table.change(missing, writer=writer, batch=batch)
 
     def upsert_results(self, results: DataFrame) -> None:
-        """Write results, replacing whole dates that exist already."""
+        """Write results, replacing whole dates that exist already; there is about a row per date."""
         rows = results.select([F.col(f.name).cast(f.dataType) for f in RESULT_SCHEMA])
-        rows.hint("rebalance", "pred_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pred_date").parquet(self.results_path)
+        self.result_table.change(
+            lambda old: old.join(rows.select("pred_date").distinct(), "pred_date", "left_anti").select(*RESULT_SCHEMA.names).unionByName(rows), replace=True)
 
     def predictions_on(self, date: str) -> DataFrame:
         return self.predictions().where(F.col("pred_date") == F.to_date(F.lit(date)))
@@ -82,7 +80,7 @@ class PredictionLog:
     def rescore(self, prices: DataFrame, top_n: int = 50) -> DataFrame:
         """Score every matured date that has no result yet and store it."""
         fresh = back_score(self.predictions(), prices, self.results(), top_n)
-        self.upsert_results(fresh)
+        self.upsert_results(cut_lineage(fresh))
         return self.results()
 
 

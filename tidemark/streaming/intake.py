@@ -15,11 +15,11 @@ def distinct_predictions(stream: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def log_predictions(stream: DataFrame, log: PredictionLog, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append each micro-batch to the log, which skips what it has: a replayed batch changes
-    nothing, and a date may arrive in several batches."""
+    """Append each micro-batch to the log in one commit, under its number: a replayed batch is
+    skipped, also after a stop between commit and checkpoint, and a date may arrive in several batches."""
 
-    def land(batch: DataFrame, _: int) -> None:
-        log.append(batch)
+    def land(batch: DataFrame, number: int) -> None:
+        log.append(batch, writer=checkpoint, batch=number)
 
     writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
