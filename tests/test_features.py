@@ -197,3 +197,34 @@ def test_panel_merges_groups(spark, prices):
     assert {"ret_1d", "roe"} <= set(panel.columns) and panel.count() == df.count()
     with pytest.raises(ValueError):
         engine.feature_panel(df, {"technical": {"enabled": False}})
+
+
+@pytest.mark.parametrize("with_calendar", [True, False])
+def test_cleaning_report_counts_what_the_steps_do(spark, with_calendar):
+    import numpy as np
+
+    from tidemark.operators import calendar as cal
+    from tidemark.operators import clean
+
+    r = np.random.default_rng(12)
+    rows = []
+    for t in ("A", "B", "C"):
+        for k in range(90):
+            price = float(np.exp(r.normal(0, 0.3))) if r.uniform() < 0.8 else None
+            d = pd.Timestamp("2024-01-01") + pd.Timedelta(days=int(k * (1 if t != "C" else 1.6)))
+            rows += [(t, d.date(), price, float("nan") if r.uniform() < 0.05 else price, 1.0, n) for n in range(int(r.integers(0, 3)))]
+    df = spark.createDataFrame(rows, "ticker string, date date, close double, adj_close double, volume double, n int")
+    calendar = cal.trading_calendar(df.where("dayofmonth(date) <> 9")) if with_calendar else None
+    deduped = clean.drop_duplicates(df, ["n"])
+    priced = clean.drop_missing_prices(deduped)
+    kept = clean.remove_revert_spikes(priced, 0.3)
+    filled = clean.fill_small_gaps(kept, calendar, 2)
+
+    def n(frame):
+        return {x.ticker: x["count"] for x in frame.groupBy("ticker").count().collect()}
+
+    a, b, c, d, e, f = (n(x) for x in (df, deduped, priced, kept, filled, filled.where("filled")))
+    for x in clean.cleaning_report(df, ["n"], calendar, 0.3, 2).collect():
+        t = x.ticker
+        assert (x.rows_in, x.duplicates, x.missing_prices, x.spikes, x.gap_rows_added, x.rows_out) == (
+            a[t], a[t] - b[t], b[t] - c[t], c[t] - d[t], f.get(t, 0), e[t])

@@ -73,3 +73,9 @@ def test_universe(spark, roster):
     assert {r.ticker for r in asof.ticker_universe(None, given=given).collect()} == {"A", "B"}
     prices = spark.createDataFrame([("A",), ("Q",)], "ticker string")
     assert {r.ticker for r in asof.ticker_universe(prices, roster).collect()} == {"A"}
+
+
+def test_known_events_are_checked_by_default(spark):
+    roster = spark.createDataFrame([(day("2013-12-23"), "META"), (day("2006-04-03"), "GOOG"), (day("2020-12-21"), "AAPL")], "snapshot_date date, ticker string")
+    out = asof.validate_roster(roster, low=1, high=1).collect()
+    assert [(r.error, r.ticker) for r in out] == [("missing_event", "TSLA")]

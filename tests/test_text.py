@@ -213,3 +213,46 @@ def test_price_files_keep_the_first_row(spark, tmp_path):
     assert [(r.ticker, str(r.date), r.open, r.dividends) for r in out] == [("ABC", "2024-01-02", 1.0, 0.0), ("ABC", "2024-01-03", None, 0.0)]
     with pytest.raises(KeyError):
         readers.normalise_vendor_bars(spark.createDataFrame([("2024-01-02", 1.0)], "Date string, Open double"))
+
+
+def test_headline_pages(spark):
+    html = ('<p>x</p><table id="other"><tr><td>Jan-01-24</td><td>good</td></tr></table>'
+            '<table class="n" id=news-table><tr><td colspan="2">ad</td></tr><tr><td>10:00AM</td><td>no date yet</td></tr>'
+            '<tr><td> Jan-05-24 09:30AM&nbsp;</td><td><a href="#">AT&amp;T &lt;good&gt;</a> good</td></tr><tr><td>08:00AM</td><td>bad</td></tr></table>')
+    pages = spark.createDataFrame([("A", 1, html), ("B", 1, "<p>nothing</p>"), ("C", 1, None)], "ticker string, page int, html string")
+    rows = readers.headline_rows(pages).collect()
+    assert {(r.ticker, r.stamp.strip("\xa0 "), r.headline) for r in rows} == {("A", "10:00AM", "no date yet"), ("A", "Jan-05-24 09:30AM", "AT&T <good> good"), ("A", "08:00AM", "bad")}
+    out = readers.headlines_from_html(pages, positive=["good"], negative=["bad"]).collect()
+    assert [(r.ticker, str(r.date), r.score, r.volume) for r in out] == [("A", "2024-01-05", 0.0, 2)]
+
+
+def test_filings_in_a_container(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / "raw" / f"c{k % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "raw" / f"c{k % 3}" / f"{k:02d}.htm").write_text(f"text {k}\nmore")
+    texts = readers.read_filing_texts(spark, str(tmp_path / "raw"))
+    readers.pack_filings(texts, str(tmp_path / "container"), files=4)
+    (tmp_path / "m.csv").write_text("file,cik\n" + "".join(f"c{k % 3}/{k:02d}.htm,{k}\n" for k in range(50)))
+    plain, packed = (readers.read_raw_filings(spark, str(tmp_path / "m.csv"), str(tmp_path / p), packed=q) for p, q in (("raw", False), ("container", True)))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, packed.collect())) and packed.count() == 40
+    (one,) = readers.read_filing(spark, str(tmp_path / "container"), "c1/04.htm").collect()
+    assert one.text == "text 4\nmore"
+    assert [r.file for r in readers.read_filing(spark, str(tmp_path / "container"), "c2/", "c2/08.htm").orderBy("file").collect()] == ["c2/02.htm", "c2/05.htm", "c2/08.htm"]
+
+
+def test_first_price_row_needs_no_sort(spark, tmp_path):
+    schema = "ticker string, date date, open double, high double, low double, close double, adj_close double, volume double"
+    rows = [("A", day("2024-01-02"), *[float(k)] * 6) for k in range(6)] + [("B", day("2024-01-02"), *[9.0] * 6)]
+    spark.createDataFrame(rows[:3] + rows[6:], schema).coalesce(1).write.parquet(str(tmp_path / "bars" / "part=1"))
+    spark.createDataFrame(rows[3:6], schema).coalesce(1).write.parquet(str(tmp_path / "bars" / "part=2"))
+    df = readers.read_prices(spark, str(tmp_path / "bars"))
+    assert {(r.ticker, r.close) for r in df.collect()} == {("A", 0.0), ("B", 9.0)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_unreadable_roster_dates_raise(spark):
+    rows = spark.createDataFrame([("2024-01-02", "A,B"), ("sometime", "C")], "date string, tickers string")
+    assert readers.roster_from_rows(rows.limit(1)).count() == 2
+    with pytest.raises(Exception, match="unreadable roster date: sometime"):
+        readers.roster_from_rows(rows).collect()

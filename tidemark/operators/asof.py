@@ -144,12 +144,18 @@ def roster_from_changes(current: DataFrame, changes: DataFrame, today: str, comp
     )
 
 
+# Well-known index events, by which a roster is checked unless others are given.
+KNOWN_EVENTS = [("TSLA", "2020-12-21", "added"), ("META", "2013-12-23", "added"), ("GOOG", "2006-04-03", "added")]
+
+
 def validate_roster(
-    roster: DataFrame, known_events: DataFrame, low: int = 490, high: int = 520,
+    roster: DataFrame, known_events: DataFrame | None = None, low: int = 490, high: int = 520,
     tolerance_days: int = 3, count_from_year: int = 2001,
 ) -> DataFrame:
     """Error rows: a known addition absent on every date within the tolerance, and snapshots
-    whose size is implausible. ``known_events`` is (ticker, date, action)."""
+    whose size is implausible. ``known_events`` is (ticker, date, action), ``KNOWN_EVENTS`` if not given."""
+    if known_events is None:
+        known_events = roster.sparkSession.createDataFrame(KNOWN_EVENTS, "ticker string, date string, action string").withColumn("date", F.to_date("date"))
     added = known_events.where(F.col("action") == "added").select("ticker", F.col("date").alias("event_date"))
     probes = added.select(
         "ticker", "event_date",

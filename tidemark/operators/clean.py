@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PRICE_COLUMNS = ["open", "high", "low", "close", "adj_close"]
 FLOW_COLUMNS = ["volume", "dividends", "stock_splits"]
@@ -16,11 +17,18 @@ def by_ticker() -> Window:
     return Window.partitionBy("ticker").orderBy("date")
 
 
-def drop_duplicates(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ("ticker", "date")) -> DataFrame:
-    """Keep the first row per key by ``order``; an aggregate, so it combines before the shuffle."""
+def drop_duplicates(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ("ticker", "date"), count: str | None = None) -> DataFrame:
+    """Keep the first row per key by ``order``, with the number of its rows as ``count``; an aggregate, so it combines before the shuffle.
+
+    With one column to order by, numbers and dates are kept each by its own minimum of that column, a
+    hash aggregate; strings and several columns need a sort. Rows equal in ``order`` should be equal.
+    """
     rest = [c for c in df.columns if c not in keys]
+    counted = [] if count is None else [F.count(F.lit(1)).alias(count)]
+    if len(order) == 1 and not any(isinstance(df.schema[c].dataType, T.StringType | T.ArrayType | T.StructType | T.MapType | T.BinaryType) for c in (*rest, *order)):
+        return df.groupBy(*keys).agg(*[F.min_by(c, order[0]).alias(c) for c in rest], *counted)
     first = F.min_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(first.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return df.groupBy(*keys).agg(first.alias("_r"), *counted).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest], *([count] if count else []))
 
 
 def drop_missing_prices(df: DataFrame) -> DataFrame:
@@ -127,25 +135,31 @@ def cleaning_report(
     df: DataFrame, order: Sequence[str], calendar: DataFrame | None = None,
     threshold: float = 0.5, max_gap: int = 2,
 ) -> DataFrame:
-    """Per ticker: input rows, rows dropped by each step, rows added, output rows."""
-    deduped = drop_duplicates(df, order)
-    priced = drop_missing_prices(deduped)
-    flagged = flag_revert_spikes(priced, threshold)
-    filled = fill_small_gaps(flagged.where(~F.col("spike")).drop("spike"), calendar, max_gap)
-    n = F.count(F.lit(1))
-
-    def counts(frame: DataFrame, name: str) -> DataFrame:
-        return frame.groupBy("ticker").agg(n.alias(name))
-
-    report = counts(df, "rows_in")
-    for frame, name in ((deduped, "_d"), (priced, "_p"),
-                        (flagged.where("spike"), "spikes"), (filled, "rows_out")):
-        report = report.join(counts(frame, name), "ticker", "left")
-    added = filled.groupBy("ticker").agg(F.count_if("filled").alias("gap_rows_added"))
-    report = report.join(added, "ticker", "left").na.fill(0)
-    return report.select(
-        "ticker", "rows_in",
-        (F.col("rows_in") - F.col("_d")).alias("duplicates"),
-        (F.col("_d") - F.col("_p")).alias("missing_prices"),
-        "spikes", "gap_rows_added", "rows_out",
-    )
+    """Per ticker: input rows, rows dropped by each step, rows added, output rows.
+
+    The raw rows are read once; what is left of a (ticker, date) carries what happened to it as flags,
+    and one aggregate by ticker adds them up.
+    """
+    rows = drop_duplicates(df, order, count="_rows").withColumn(
+        "_priced", F.col("close").isNotNull() & F.col("adj_close").isNotNull() & ~F.isnan("close") & ~F.isnan("adj_close"))
+    rows = rows.withColumn("_x", F.when(F.col("_priced"), F.ln("adj_close")))
+    w = "OVER (PARTITION BY ticker ORDER BY date)"
+    change, following = F.expr(f"_x - lag(_x) IGNORE NULLS {w}"), F.expr(f"lead(_x) IGNORE NULLS {w} - _x")
+    spike = (F.abs(change) > threshold) & (F.abs(following) > threshold / 2) & (F.signum(change) * F.signum(following) < 0)
+    rows = rows.withColumn("_spike", F.coalesce(spike, F.lit(False)))
+    if calendar is not None:
+        rows = rows.join(calendar.select("date", "dn", "n_dates"), "date", "left")
+        rows = rows.withColumn("_kept", F.col("_priced") & ~F.col("_spike") & F.col("dn").isNotNull())
+        rows = rows.withColumn("_dn", F.when(F.col("_kept"), F.col("dn")))
+        gap = F.coalesce(F.expr(f"lead(_dn) IGNORE NULLS {w}"), F.col("n_dates") + 1) - F.col("_dn") - 1
+    else:
+        rows = rows.withColumn("_kept", F.col("_priced") & ~F.col("_spike") & (F.weekday("date") < 5))
+        rows = rows.withColumn("_day", F.when(F.col("_kept"), F.col("date"))).withColumn("_next", F.expr(f"lead(_day) IGNORE NULLS {w}"))
+        # Mondays to Fridays up to a date: five for each whole week since a Monday, and those of the last
+        upto = lambda d: F.floor(F.datediff(d, F.lit("1900-01-01")) / F.lit(7)) * 5 + F.least(F.weekday(d), F.lit(4)) + 1
+        gap = F.coalesce(upto("_next") - upto("_day") - 1, F.lit(0))
+    added = F.when(F.col("_kept"), F.when(gap.between(0, max_gap), gap).otherwise(0)).otherwise(0)
+    return rows.withColumn("_added", added).groupBy("ticker").agg(
+        F.sum("_rows").alias("rows_in"), F.sum(F.col("_rows") - 1).alias("duplicates"), F.count_if(~F.col("_priced")).alias("missing_prices"),
+        F.count_if("_spike").alias("spikes"), F.sum("_added").cast("long").alias("gap_rows_added"),
+        (F.count_if("_kept") + F.sum("_added")).cast("long").alias("rows_out"))

@@ -19,7 +19,7 @@ def _(i: Inputs):
     path = new_path(i.spark, "bars")
     sinks.write_by_ticker(i.daily, path, buckets=8)
     df = readers.read_prices(i.spark, path)
-    return gridded(df, "ticker date", OHLC).join(df.select("ticker", "date", "volume", "dividends", "stock_splits"), ["ticker", "date"])
+    return df.select("ticker", "date", *[grid(c).alias(c) for c in OHLC.split()], "volume", "dividends", "stock_splits")
 
 
 @query("src2_vendor_bars", f"SELECT ticker, date, {gs(OHLC)}, volume, dividends, stock_splits FROM weekly_raw")
@@ -40,8 +40,8 @@ def _(i: Inputs):
 
 TRADES = f"""trades AS (
   SELECT 'S' || l_suppkey AS ticker, l_shipdate::DATE AS date, 100 + l_extendedprice / 10000 AS adj_close,
-         CASE WHEN l_quantity = 7 THEN NULL ELSE l_quantity END AS close, l_orderkey AS a, l_linenumber AS b, l_partkey AS c, l_extendedprice AS e FROM lineitem),
-deduped AS (SELECT ticker, date, arg_min(row(adj_close, close), row(a, b, c, e)) AS r FROM trades GROUP BY 1, 2)"""
+         CASE WHEN l_quantity = 7 THEN NULL ELSE l_quantity END AS close, (l_orderkey * 8 + l_linenumber) * 100000000 + floor(l_extendedprice * 100 + 0.5)::BIGINT AS k FROM lineitem),
+deduped AS (SELECT ticker, date, arg_min(row(adj_close, close), k) AS r FROM trades GROUP BY 1, 2)"""
 
 
 def trades(i: Inputs):
@@ -50,18 +50,18 @@ def trades(i: Inputs):
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), F.to_date("l_shipdate").alias("date"),
         (100 + F.col("l_extendedprice") / 10000).alias("adj_close"),
         F.when(F.col("l_quantity") != 7, F.col("l_quantity")).alias("close"),
-        F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), F.col("l_partkey").alias("c"), F.col("l_extendedprice").alias("e"))
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000_000 + F.floor(F.col("l_extendedprice") * 100 + F.lit(0.5))).alias("k"))
 
 
 @query("cln1_drop_duplicates", f"WITH {TRADES} SELECT ticker, date, {g('r[1]')} AS adj_close, r[2]::DOUBLE AS close FROM deduped")
 def _(i: Inputs):
-    df = clean.drop_duplicates(trades(i), ["a", "b", "c", "e"])
+    df = clean.drop_duplicates(trades(i), ["k"])
     return df.select("ticker", "date", grid("adj_close").alias("adj_close"), "close")
 
 
 @query("cln2_drop_missing", f"WITH {TRADES} SELECT ticker, count(*) AS n FROM deduped WHERE r[2] IS NOT NULL GROUP BY 1")
 def _(i: Inputs):
-    df = clean.drop_missing_prices(clean.drop_duplicates(trades(i), ["a", "b", "c", "e"]))
+    df = clean.drop_missing_prices(clean.drop_duplicates(trades(i), ["k"]))
     return df.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -136,7 +136,7 @@ filled AS (SELECT ticker, adj_close, dn + unnest(generate_series(0, CASE WHEN ga
 named AS (SELECT CASE ticker WHEN 'S1' THEN 'S0' ELSE ticker END AS name, ticker, dn, adj_close FROM filled)
 SELECT name AS ticker, date, {g('arg_min(adj_close, named.ticker)')} AS adj_close FROM named JOIN daily_calendar USING (dn) GROUP BY 1, 2""")
 def _(i: Inputs):
-    df = clean.clean_bars(trades(i), ["a", "b", "c", "e"], _daily_calendar(i), 0.06, 2, {"S1": "S0"})
+    df = clean.clean_bars(trades(i), ["k"], _daily_calendar(i), 0.06, 2, {"S1": "S0"})
     return df.select("ticker", "date", grid("adj_close").alias("adj_close"))
 
 
@@ -147,7 +147,7 @@ e AS (SELECT ticker, sum(CASE WHEN gap <= 2 THEN gap ELSE 0 END)::BIGINT AS adde
 SELECT a.ticker, rows_in, rows_in - d AS duplicates, d - p AS missing_prices, spikes, added AS gap_rows_added, n + added AS rows_out
 FROM a JOIN b USING (ticker) JOIN c USING (ticker) JOIN e USING (ticker)""")
 def _(i: Inputs):
-    return clean.cleaning_report(trades(i), ["a", "b", "c", "e"], _daily_calendar(i), 0.06, 2)
+    return clean.cleaning_report(trades(i), ["k"], _daily_calendar(i), 0.06, 2)
 
 
 @query("cln9_trading_calendar", "SELECT date, dn FROM daily_calendar")

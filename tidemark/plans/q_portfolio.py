@@ -274,15 +274,13 @@ def _landed_runs(i: Inputs) -> str:
 
 
 def _summaries(i: Inputs):
-    """Spark writes folders, so the file name pattern is matched on the folder here."""
-    rows = i.spark.read.schema(readers.SUMMARY_SCHEMA).json(f"{_landed_runs(i)}/*/summary.json")
-    return rows.withColumn("variant", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)).select("variant", "backtest", "regimes")
+    return readers.read_run_summaries(i.spark, _landed_runs(i))
 
 
 @query("src17_run_artefacts", f"{CURVE} SELECT strategy AS variant, {gs('sharpe max_drawdown', 3)}, n_days, {g('(SELECT sum(ret) FROM dailies d WHERE d.strategy = s.strategy)', 3)} AS total FROM summary s")
 def _(i: Inputs):
-    series = i.spark.read.schema("date date, ret double").option("header", True).csv(f"{_landed_runs(i)}/*/daily_returns.csv")
-    total = series.groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("variant")).agg(F.sum("ret").alias("total"))
+    series = readers.read_run_series(i.spark, _landed_runs(i), "daily_returns", "ret")
+    total = series.groupBy("variant").agg(F.sum("ret").alias("total"))
     rows = _summaries(i).select("variant", "backtest.*").join(total, "variant")
     return gridded(rows, "variant n_days", "sharpe max_drawdown total", 3)
 

@@ -105,9 +105,14 @@ SELECT ticker, date, 'finviz' AS source, {g('avg(CASE WHEN p + n > 0 THEN (p - n
 def _(i: Inputs):
     day = F.date_add(F.lit("2024-01-05").cast("date"), F.pmod("conv_id", F.lit(300)).cast("int") + F.floor(F.col("turn") / 3).cast("int"))
     stamp = F.when(F.col("turn") % 3 == 0, F.concat(F.date_format(day, "MMM-dd-yy"), F.lit(" 09:30AM"))).otherwise(F.lit("10:15AM"))
-    rows = i.table("conversations").select(
-        F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("ticker"), F.floor(F.col("turn") / 30).alias("page"), F.col("turn").alias("pos"), stamp.alias("stamp"), F.col("text").alias("headline"))
-    out = readers.headlines_to_daily(rows, positive=GOOD, negative=BAD)
+    # pages of 30 headlines, out of order turns put in order; some have other tables around, one row has a single cell
+    shown = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&#60;"))
+    row = F.concat(F.lit('<tr class="c"><td width=130>'), stamp, F.lit('&nbsp;</td><td><div><a href="/q?a=1">'), shown, F.lit("</a></div></td></tr>"))
+    turns = i.table("conversations").select(F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("ticker"), F.floor(F.col("turn") / 30).alias("page"), F.struct("turn", row.alias("row")).alias("r"))
+    pages = turns.groupBy("ticker", "page").agg(F.array_sort(F.collect_list("r")).alias("rs")).select(
+        "ticker", "page", F.concat(F.lit('<table id="quotes"><tr><td>Jan-01-24 09:00AM</td><td>the</td></tr></table><TABLE class=w id="news-table"><tr><td colspan=2>ad</td></tr>'),
+                                   F.array_join(F.col("rs.row"), "\n"), F.lit("</table><table><tr><td>Jan-01-24</td><td>of</td></tr></table>")).alias("html"))
+    out = readers.headlines_from_html(pages, positive=GOOD, negative=BAD)
     return out.select("ticker", "date", "source", grid("score").alias("score"), "volume")
 
 
@@ -148,16 +153,13 @@ def _(i: Inputs):
 
 @query("src15_raw_filings", "SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0")
 def _(i: Inputs):
-    """Texts land one per line (the key first) in files by bucket; the manifest names a bucket
-    file per document and every seventh document never landed."""
+    """Every seventh document never landed; the others are packed into a container."""
     path = new_path(i.spark, "raw")
-    docs = i.table("documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    docs.select("doc_id", F.lit("main.htm").alias("name")).write.option("header", True).csv(f"{path}/manifest")
-    landed = docs.where(F.col("doc_id").cast("bigint") % 7 != 0)
-    landed.write.json(f"{path}/texts")
-    manifest = i.spark.read.option("header", True).csv(f"{path}/manifest")
-    texts = i.spark.read.schema("doc_id string, text string").json(f"{path}/texts")
-    return manifest.join(texts, "doc_id").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = i.table("documents").select(F.concat(F.lit("filing/"), F.col("doc_id").cast("string"), F.lit("/main.htm")).alias("file"), "doc_id", "text")
+    docs.select("file", "doc_id").write.option("header", True).csv(f"{path}/manifest")
+    readers.pack_filings(docs.where("doc_id % 7 <> 0"), f"{path}/container")
+    rows = readers.read_raw_filings(i.spark, f"{path}/manifest", f"{path}/container", packed=True)
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
 # Run logs: a user is a job, its events are epochs.

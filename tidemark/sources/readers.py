@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import null_unless_finite
 from tidemark.functions.words import NEGATIVE, POSITIVE, parse_date, polarity
 from tidemark.operators.clean import drop_duplicates
-from tidemark.operators.text import table_depths
+from tidemark.operators.text import decode_entities, table_depths
 from tidemark.operators.technical import require_columns
 
 BAR_NUMBERS = ["open", "high", "low", "close", "adj_close", "volume"]
@@ -20,16 +21,22 @@ def ticker_from_path() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1)
 
 
+def file_order(df: DataFrame) -> DataFrame:
+    """Adds ``_order``, a long that rises with the file's path and the row's place in it; a row of a
+    file costs no sort. Files are few against rows: their ranks are joined, by size as Spark decides."""
+    rows = df.withColumns({"_path": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    ranks = rows.select("_path").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_path")).cast("long"))
+    return rows.join(ranks, "_path").withColumn("_order", F.shiftleft("_rank", 40) + F.col("_row")).drop("_path", "_row", "_rank")
+
+
 def read_prices(spark: SparkSession, path: str, ticker_files: bool = False) -> DataFrame:
     """Price parquet, one table or one file per ticker. Dates become DATE, NaN becomes null, the
     first row per (ticker, date) in file order stays."""
     df = spark.read.parquet(path)
-    order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     if ticker_files:
         df = df.withColumn("ticker", ticker_from_path())
-    df = df.withColumn("_order", order)
     require_columns(df, ["ticker", "date", *BAR_NUMBERS])
-    return drop_duplicates(typed_bars(df), ["_order"]).drop("_order")
+    return drop_duplicates(typed_bars(file_order(df)), ["_order"]).drop("_order")
 
 
 def typed_bars(df: DataFrame) -> DataFrame:
@@ -53,11 +60,12 @@ def normalise_vendor_bars(df: DataFrame) -> DataFrame:
 
 def roster_from_rows(rows: DataFrame) -> DataFrame:
     """(date, tickers) with a comma list per row to (snapshot_date, ticker); header case is free,
-    symbols are trimmed and upper-cased, empty ones dropped."""
+    symbols are trimmed and upper-cased, empty ones dropped. A date that cannot be read raises."""
     names = {c: c.strip().lower() for c in rows.columns}
     rows = rows.withColumnsRenamed(names)
     require_columns(rows, ["date", "tickers"])
-    one = rows.select(parse_date("date").alias("snapshot_date"), F.explode(F.split("tickers", ",")).alias("ticker"))
+    unread = F.raise_error(F.concat(F.lit("unreadable roster date: "), F.coalesce(F.col("date").cast("string"), F.lit("null")))).cast("date")
+    one = rows.select(F.coalesce(parse_date("date"), unread).alias("snapshot_date"), F.explode(F.split("tickers", ",")).alias("ticker"))
     return one.select("snapshot_date", F.upper(F.trim("ticker")).alias("ticker")).where("ticker <> ''").distinct()
 
 
@@ -219,6 +227,21 @@ def headlines_to_daily(rows: DataFrame, source: str = "finviz", positive: Sequen
     ).withColumn("source", F.lit(source))
 
 
+def headline_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(ticker, page, html) to (ticker, page, pos, stamp, headline): rows of two cells or more of the first table
+    with id ``news-table``, numbered down the page; pages without one have none."""
+    fits = lambda t: F.regexp_like(t, F.lit(r"(?is)^<table\b[^>]*\bid\s*=\s*[\"']?news-table\b"))
+    table = F.get(F.filter(_tables(F.col(html)), fits), F.lit(0))
+    rows = pages.select("ticker", "page", F.posexplode(_rows(table)).alias("pos", "_row")).withColumn("_c", _cells(F.col("_row")))
+    return rows.where(F.size("_c") >= 2).select(
+        "ticker", "page", "pos", decode_entities(F.col("_c")[0]).alias("stamp"), decode_entities(F.col("_c")[1]).alias("headline"))
+
+
+def headlines_from_html(pages: DataFrame, source: str = "finviz", positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> DataFrame:
+    """Fetched headline pages (ticker, page, html) to daily polarity and volume."""
+    return headlines_to_daily(headline_rows(pages), source, positive, negative)
+
+
 # -- filings --------------------------------------------------------------------------------
 
 RECENT = ["accessionNumber", "form", "filingDate", "reportDate", "primaryDocument"]
@@ -258,17 +281,34 @@ def document_url(base: str, cik: str = "cik", accession: str = "accession", docu
                        F.replace(F.col(accession), F.lit("-"), F.lit("")), F.col(document))
 
 
-def read_raw_filings(spark: SparkSession, manifest_csv: str, folder: str, pattern: str = "*") -> DataFrame:
-    """Manifest rows with the text of their file (column ``file`` relative to ``folder``); rows
-    whose file is missing drop."""
-    manifest = spark.read.option("header", True).csv(manifest_csv)
+def pack_filings(texts: DataFrame, path: str, files: int | None = None) -> None:
+    """Texts (file, text) into one container: Parquet sorted by ``file`` over all its parts, so that the ranges in its
+    footers say where a filing lies, and a part is read without the others."""
+    cut = texts.select("file", "text").repartitionByRange(*([files] if files else []), "file").sortWithinPartitions("file")
+    cut.write.option("parquet.block.size", 16 << 20).parquet(path)
+
+
+def read_filing_texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(file, text) of a folder with a file per filing; ``file`` is relative to it."""
     texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True).select(
         F.col("_metadata.file_path").alias("_path"), F.col("value").alias("text"))
     root = folder.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    texts = texts.withColumn("file", F.substring_index("_path", root, -1)).drop("_path")
+    return texts.select(F.substring_index("_path", root, -1).alias("file"), "text")
+
+
+def read_raw_filings(spark: SparkSession, manifest_csv: str, folder: str, pattern: str = "*", packed: bool = False) -> DataFrame:
+    """Manifest rows with the text of their filing (column ``file``), from a folder with a file per
+    filing or, ``packed``, from a container; rows whose text is missing drop."""
+    manifest = spark.read.option("header", True).csv(manifest_csv)
+    texts = spark.read.schema("file string, text string").parquet(folder) if packed else read_filing_texts(spark, folder, pattern)
     return manifest.join(texts, "file")
 
 
+def read_filing(spark: SparkSession, container: str, first: str, last: str | None = None) -> DataFrame:
+    """One filing of a container, or a range of them: only the row groups that can hold it are read."""
+    return spark.read.schema("file string, text string").parquet(container).where(F.col("file").between(first, last or first))
+
+
 # -- run logs and evaluation artefacts --------------------------------------------------------
 
 # Log line, variant and job patterns.
@@ -318,16 +358,18 @@ SUMMARY_SCHEMA = (
     "annual_vol: double, sharpe: double, max_drawdown: double, hit_rate: double>>, _corrupt_record string")
 
 
+def _variant(name: str) -> Column:
+    """The folder above a file of this name, or above a folder of Spark's part files of this name."""
+    return F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{re.escape(name)}(?:/[^/]*)?$", 1)
+
+
 def read_run_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """``<variant>/summary.json`` below ``folder``: (variant, backtest, regimes); bad files skipped."""
-    rows = spark.read.schema(SUMMARY_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "summary.json").json(folder)
-    rows = rows.withColumn("variant", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-    return rows.where(F.col("backtest").isNotNull()).select("variant", "backtest", "regimes")
+    rows = spark.read.schema(SUMMARY_SCHEMA).option("multiLine", True).json(f"{folder}/*/summary.json")
+    return rows.withColumn("variant", _variant("summary.json")).where(F.col("backtest").isNotNull()).select("variant", "backtest", "regimes")
 
 
 def read_run_series(spark: SparkSession, folder: str, name: str, value: str) -> DataFrame:
     """``<variant>/<name>.csv`` below ``folder``: (variant, date, value)."""
-    rows = spark.read.schema(f"date date, {value} double").option("header", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", f"{name}.csv").csv(folder)
-    return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("variant"), "date", value)
+    rows = spark.read.schema(f"date date, {value} double").option("header", True).csv(f"{folder}/*/{name}.csv")
+    return rows.select(_variant(f"{name}.csv").alias("variant"), "date", value)
