@@ -209,7 +209,8 @@ def roll_up_sentences(all_keys: DataFrame, scored: DataFrame, keys: Sequence[str
 def embed_sections(sections: DataFrame, embed: Callable[[pd.Series], pd.Series] | None = None, dim: int = 256) -> DataFrame:
     """Add a unit ``embedding`` of ``text``; empty texts give the zero vector.
 
-    ``embed`` maps an Arrow batch of texts to lists of floats. The default hashes words into
+    ``embed`` maps an Arrow batch of whole texts to lists of floats; a model with a limit gets texts that went
+    through ``truncate_middle`` first. The default hashes words into
     ``dim`` counts with the built-in feature transformers.
     """
     if embed is not None:
@@ -218,7 +219,7 @@ def embed_sections(sections: DataFrame, embed: Callable[[pd.Series], pd.Series]
         def apply(batch: pd.Series) -> pd.Series:
             return embed(batch)
 
-        return sections.withColumn("embedding", apply(truncate_middle("text")))
+        return sections.withColumn("embedding", apply("text"))
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import backtest, portfolio, ranking, regimes, report, significance
 from tidemark.plans.base import Inputs
-from tidemark.plans.q_ranking import avg_rank
+from tidemark.plans.q_ranking import BLOCK, DRAWS, MIX, avg_rank, student_sql
 from tidemark.plans.registry import g, grid, gridded, gs, query
 from tidemark.session import new_path
 from tidemark.sources import readers, sinks
@@ -317,11 +317,23 @@ def _(i: Inputs):
     return gridded(report.rank_variants(comparison(i)), "variant place", "sharpe", 3)
 
 
-@query("sig7_consecutive_variants", f"""{BOTH}, j AS (SELECT s.ret AS a, e.ret AS b FROM daily_sector s JOIN daily_equal e USING (date))
-SELECT 'sector' AS variant, 'equal' AS baseline, count(*) AS n, {g('avg(a - b) / (stddev_samp(a - b) / sqrt(count(*)))', 3)} AS t_stat_returns, {g('avg(a) / stddev_pop(a) * sqrt(252) - avg(b) / stddev_pop(b) * sqrt(252)', 3)} AS sharpe_diff FROM j""")
+SHARPES = "avg(a) / stddev_pop(a) * sqrt(252) - avg(b) / stddev_pop(b) * sqrt(252)"
+T_RETURNS = "(m / (sd / sqrt(n)))"
+
+
+@query("sig7_consecutive_variants", f"""{BOTH}, j AS (SELECT date, s.ret AS a, e.ret AS b FROM daily_sector s JOIN daily_equal e USING (date)),
+stats AS (SELECT count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS sd, {SHARPES} AS diff FROM j),
+seq AS (SELECT a, b, row_number() OVER (ORDER BY date) - 1 AS i FROM j),
+plan AS (SELECT draw, blk, n, {MIX} % (n - {BLOCK} + 1) AS start FROM stats CROSS JOIN (SELECT unnest(range(0, {DRAWS}))::BIGINT AS draw) CROSS JOIN LATERAL (SELECT unnest(range(0, ceil(n / {BLOCK})::BIGINT))::BIGINT AS blk)),
+idx AS (SELECT draw, start + o AS i FROM plan CROSS JOIN (SELECT unnest(range(0, {BLOCK})) AS o) WHERE blk * {BLOCK} + o < n),
+per AS (SELECT draw, {SHARPES} AS diff FROM idx JOIN seq USING (i) GROUP BY 1),
+ends AS (SELECT quantile_cont(diff, 0.025) AS low, quantile_cont(diff, 0.975) AS high FROM per)
+SELECT 'sector' AS variant, 'equal' AS baseline, n, {g(T_RETURNS, 3)} AS t_stat_returns, {g(student_sql(T_RETURNS, '(n - 1)'), 4)} AS p_value_returns, {g('diff', 3)} AS sharpe_diff,
+  {g('low', 3)} AS ci_low, {g('high', 3)} AS ci_high FROM stats, ends""")
 def _(i: Inputs):
     rows = two(i).select(F.col("strategy").alias("variant"), "date", "ret")
-    return gridded(significance.compare_consecutive(rows, draws=200), "variant baseline n", "t_stat_returns sharpe_diff", 3)
+    out = significance.compare_consecutive(rows, draws=DRAWS, block=BLOCK)
+    return out.select("variant", "baseline", "n", grid("p_value_returns").alias("p_value_returns"), *[grid(c, 3).alias(c) for c in ("t_stat_returns", "sharpe_diff", "ci_low", "ci_high")])
 
 
 @query("snk2_report_sink", f"{CURVE} SELECT strategy, {gs('sharpe', 3)}, (SELECT count(*) FROM curves c WHERE c.strategy = s.strategy) AS n_rows FROM summary s")

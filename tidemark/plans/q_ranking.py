@@ -167,9 +167,19 @@ def pair(i: Inputs):
     return i._keep("ic_pair", lambda: a.join(b, "pred_date"))
 
 
-@query("sig1_paired_t", f"WITH {PAIR_SQL} SELECT {g('m / (sd / sqrt(n))')} AS statistic, {g('m')} AS effect, n FROM stats")
+def student_sql(t: str, df: str) -> str:
+    """Two-sided Student p-value of whole degrees of freedom; the products of the finite series as gamma functions."""
+    theta = f"atan(abs({t}) / sqrt({df}::DOUBLE))"
+    power = f"k * ln(greatest(cos({theta}) ^ 2, 1e-300))"
+    even = f"(1 + coalesce(list_sum(list_transform(range(1, ({df} // 2)::BIGINT), lambda k: exp({power} + lgamma(k + 0.5::DOUBLE) - lgamma(0.5::DOUBLE) - lgamma(k + 1::DOUBLE)))), 0))"
+    odd = f"(1 + coalesce(list_sum(list_transform(range(1, (({df} - 1) // 2)::BIGINT), lambda k: exp({power} + lgamma(k + 1::DOUBLE) + lgamma(1.5::DOUBLE) - lgamma(k + 1.5::DOUBLE)))), 0))"
+    return f"""greatest(0, 1 - CASE WHEN {df} % 2 = 0 THEN sin({theta}) * {even} WHEN {df} = 1 THEN 2 / pi() * {theta} ELSE 2 / pi() * ({theta} + sin({theta}) * cos({theta}) * {odd}) END)"""
+
+
+@query("sig1_paired_t", f"WITH {PAIR_SQL} SELECT {g('m / (sd / sqrt(n))')} AS statistic, {g(student_sql('(m / (sd / sqrt(n)))', '(n - 1)'), 6)} AS pvalue, {g('m')} AS effect, n FROM stats")
 def _(i: Inputs):
-    return gridded(significance.paired_t(pair(i)), "n", "statistic effect")
+    out = significance.paired_t(pair(i))
+    return out.select(grid("statistic").alias("statistic"), grid("pvalue", 6).alias("pvalue"), grid("effect").alias("effect"), "n")
 
 
 NW_SQL = f"""{PAIR_SQL}, loss AS (SELECT pred_date, a * a - b * b AS d FROM pairs), cen AS (SELECT pred_date, d - avg(d) OVER () AS x, avg(d) OVER () AS m FROM loss),
@@ -218,16 +228,14 @@ def _a_and_s(z: str) -> str:
     return f"((((1.061405429::DOUBLE * {k} - 1.453152027::DOUBLE) * {k} + 1.421413741::DOUBLE) * {k} - 0.284496736::DOUBLE) * {k} + 0.254829592::DOUBLE) * {k} * exp(-{x} * {x})"
 
 
-# Student p-values of small whole degrees of freedom have closed forms.
-THETA = "atan(abs(t) / sqrt(df))"
-CLOSED = f"""CASE df WHEN 1 THEN 1 - 2 / pi() * {THETA} WHEN 2 THEN 1 - sin({THETA}) WHEN 3 THEN 1 - 2 / pi() * ({THETA} + sin({THETA}) * cos({THETA}))
-  WHEN 4 THEN 1 - sin({THETA}) * (1 + cos({THETA}) ^ 2 / 2) WHEN 5 THEN 1 - 2 / pi() * ({THETA} + sin({THETA}) * (cos({THETA}) + 2 * cos({THETA}) ^ 3 / 3)) END"""
+# one to five degrees of freedom, and up to those of ten years of days
+FREEDOMS = [1, 2, 3, 4, 5, 30, 121, 500, 2500]
 
 
-@query("sig6_pvalues", f"""WITH t AS (SELECT pred_date, ticker, score / volatility AS t, 1 + month(pred_date) % 5 AS df FROM predictions WHERE score IS NOT NULL AND volatility > 0)
-SELECT pred_date, ticker, {g(_a_and_s('t'))} AS p_normal, {g(f'greatest(0, {CLOSED})')} AS p_student FROM t""")
+@query("sig6_pvalues", f"""WITH t AS (SELECT pred_date, ticker, score / volatility AS t, {FREEDOMS}[(month(pred_date) % 9 + 1)::INT] AS df FROM predictions WHERE score IS NOT NULL AND volatility > 0)
+SELECT pred_date, ticker, df, {g(_a_and_s('t'))} AS p_normal, {g(student_sql('t', 'df'))} AS p_student FROM t""")
 def _(i: Inputs):
     t = F.col("score") / F.col("volatility")
-    df = (1 + F.month("pred_date") % 5).cast("double")
-    rows = i.predictions.where("score is not null and volatility > 0")
-    return rows.select("pred_date", "ticker", grid(normal_pvalue(t)).alias("p_normal"), grid(student_pvalue(t, df)).alias("p_student"))
+    df = F.element_at(F.lit(FREEDOMS), F.month("pred_date") % 9 + 1)
+    rows = i.predictions.where("score is not null and volatility > 0").withColumn("df", df)
+    return rows.select("pred_date", "ticker", "df", grid(normal_pvalue(t)).alias("p_normal"), grid(student_pvalue(t, F.col("df").cast("double"))).alias("p_student"))

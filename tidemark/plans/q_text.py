@@ -47,13 +47,16 @@ def _(i: Inputs):
     return i.table("documents").select("doc_id", text.normalise_space("text").alias("text"))
 
 
-# The filing texts are put together from thirds of a document, so the parts are known.
+# The filing texts are put together from thirds of a document, so the parts are known. An annual filing that
+# names item 7A in its contents only has nothing between that and the item 8 beside it.
 FILINGS = f"""parts AS (SELECT doc_id, doc_id % 4 AS kind, doc_id % 8 AS kind8, left(text, (length(text) // 3)::BIGINT) AS a, substr(text, length(text) // 3 + 1, length(text) // 3) AS b, substr(text, 2 * (length(text) // 3) + 1) AS c FROM documents),
 forms AS (SELECT *, CASE kind WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '10-K/A' ELSE '8-K' END AS form FROM parts),
 expected AS (SELECT doc_id, form,
   CASE WHEN kind IN (0, 2) THEN a WHEN kind = 1 AND kind8 = 1 THEN c ELSE '' END AS risk_factors,
   CASE WHEN kind IN (0, 2) THEN b WHEN kind = 1 THEN a ELSE '' END AS mda,
-  CASE WHEN kind8 = 0 THEN c WHEN kind IN (0, 2) THEN 'Item 8. Body Item 1A. ' || a || ' Item 7. ' || b || ' Item 8. ' || c WHEN kind = 1 THEN b ELSE '' END AS market_risk FROM forms),
+  CASE WHEN kind8 = 0 THEN c WHEN kind = 1 THEN b ELSE '' END AS market_risk FROM forms),
+raw AS (SELECT doc_id, CASE WHEN kind = 1 THEN 'Part I Item 2. ' || a || ' Part I Item 3. ' || b || CASE kind8 WHEN 1 THEN ' Part II Item 1A. ' ELSE ' Part II Item 2. ' END || c
+  ELSE 'Contents Item 1A. Item 7. Item 7A. Item 8. Body Item 1A. ' || a || ' Item 7. ' || b || CASE kind8 WHEN 0 THEN ' Item 7A. ' ELSE ' Item 8. ' END || c END AS raw FROM forms),
 clean AS (SELECT doc_id, form, {', '.join(f"{SPACE.format(x=s)} AS {s}" for s in text.SECTION_NAMES)} FROM expected)"""
 
 
@@ -61,9 +64,9 @@ def parsed(i: Inputs):
     return text.parse_filings(i.filing_texts, is_html=False)
 
 
-@query("txt3_section_extract", f"WITH {FILINGS} SELECT doc_id, risk_factors, mda FROM clean WHERE form LIKE '10-%'")
+@query("txt3_section_extract", f"WITH {FILINGS} SELECT doc_id, form, risk_factors, mda, market_risk FROM clean")
 def _(i: Inputs):
-    return parsed(i).where(F.col("form").startswith("10-")).select("doc_id", "risk_factors", "mda")
+    return parsed(i).select("doc_id", "form", "risk_factors", "mda", "market_risk")
 
 
 @query("txt4_form_routing", f"WITH {FILINGS} SELECT form, count(*) AS n, count_if(length(mda) > 0) AS with_mda, count_if(length(risk_factors) > 0) AS with_risk FROM clean GROUP BY 1")
@@ -72,9 +75,10 @@ def _(i: Inputs):
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("len_mda") > 0).alias("with_mda"), F.count_if(F.col("len_risk_factors") > 0).alias("with_risk"))
 
 
-@query("txt5_section_lengths", f"WITH {FILINGS} SELECT doc_id, length(risk_factors)::INT AS len_risk_factors, length(mda)::INT AS len_mda, form = '8-K' OR length(risk_factors) + length(mda) + length(market_risk) = 0 AS is_empty FROM clean")
+@query("txt5_section_lengths", f"""WITH {FILINGS} SELECT doc_id, length({SPACE.format(x='raw')})::INT AS raw_length, length(risk_factors)::INT AS len_risk_factors, length(mda)::INT AS len_mda, length(market_risk)::INT AS len_market_risk,
+  length(risk_factors) + length(mda) + length(market_risk) = 0 AS is_empty FROM clean JOIN raw USING (doc_id)""")
 def _(i: Inputs):
-    return parsed(i).select("doc_id", "len_risk_factors", "len_mda", "is_empty")
+    return parsed(i).select("doc_id", "raw_length", "len_risk_factors", "len_mda", "len_market_risk", "is_empty")
 
 
 @query("txt6_parse_with_bad_rows", f"""WITH {FILINGS} SELECT doc_id % 10 = 3 AS bad, count(*) AS n, sum(CASE WHEN doc_id % 10 = 3 THEN 0 ELSE length(mda) END)::BIGINT AS mda_chars FROM clean GROUP BY 1""")
@@ -148,8 +152,7 @@ def shape_embedding(batch: pd.Series) -> pd.Series:
     return pd.Series(list((raw / np.where(norm == 0, 1.0, norm)).astype("float32")))
 
 
-@query("txt10_pluggable_embedding", f"""WITH c AS (SELECT doc_id, length(t) AS a, length(t) - length(replace(t, ' ', '')) AS b, length(t) - length(replace(t, '.', '')) AS d FROM (
-  SELECT doc_id, CASE WHEN length(text) <= 40000 THEN text ELSE left(text, 20000) || ' ... ' || right(text, 20000) END AS t FROM documents))
+@query("txt10_pluggable_embedding", f"""WITH c AS (SELECT doc_id, length(t) AS a, length(t) - length(replace(t, ' ', '')) AS b, length(t) - length(replace(t, '.', '')) AS d FROM (SELECT doc_id, text AS t FROM documents))
 SELECT doc_id, {g('a / sqrt(a * a + b * b + d * d)', 3)} AS x, {g('b / sqrt(a * a + b * b + d * d)', 3)} AS y FROM c""")
 def _(i: Inputs):
     out = text.embed_sections(i.table("documents").select("doc_id", "text"), shape_embedding)
@@ -161,7 +164,6 @@ def _(i: Inputs):
     return i.table("documents").select("doc_id", text.truncate_middle("text", 2000).alias("text"))
 
 
-@query("txt12_section_unpivot", f"""WITH {FILINGS} SELECT doc_id, section_name, length(text)::INT AS n_chars FROM (UNPIVOT (SELECT doc_id, risk_factors, mda, CASE WHEN form LIKE '10-Q' THEN market_risk ELSE '' END AS market_risk FROM clean) ON risk_factors, mda, market_risk INTO NAME section_name VALUE text)""")
+@query("txt12_section_unpivot", f"""WITH {FILINGS} SELECT doc_id, section_name, length(text)::INT AS n_chars FROM (UNPIVOT (SELECT doc_id, risk_factors, mda, market_risk FROM clean) ON risk_factors, mda, market_risk INTO NAME section_name VALUE text)""")
 def _(i: Inputs):
-    rows = parsed(i).withColumn("market_risk", F.when(F.col("form") == "10-Q", F.col("market_risk")).otherwise(""))
-    return text.unpivot_sections(rows, ["doc_id"]).select("doc_id", "section_name", F.length("text").alias("n_chars"))
+    return text.unpivot_sections(parsed(i), ["doc_id"]).select("doc_id", "section_name", F.length("text").alias("n_chars"))
