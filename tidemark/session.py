@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -68,4 +69,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Like a reliable checkpoint it survives the loss of executors; unlike one it is computed
     once and stays columnar.
     """
-    return store(df, new_path(df.sparkSession, "step"))
+    spark = df.sparkSession
+    path = new_path(spark, "step")
+    if spark.sparkContext.applicationId in _kept:
+        _kept[spark.sparkContext.applicationId].append(path)
+    return store(df, path)
+
+
+#: Steps written since ``keep_steps``, by application.
+_kept: dict[str, list[str]] = {}
+
+
+def keep_steps(spark: SparkSession) -> None:
+    """From here on ``drop_steps`` knows which steps were written."""
+    _kept[spark.sparkContext.applicationId] = []
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Delete the steps written since ``keep_steps``, once nothing that reads them is to be computed
+    any more, and let go of shuffle files of plans that are out of use."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _kept.pop(spark.sparkContext.applicationId, []):
+        place = hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
