@@ -19,17 +19,19 @@ DRIFT = ["drift_qoq", "drift_yoy", "drift_peer"]
 
 
 def drift_features(
-    embeddings: DataFrame, section: str = "mda", sectors: DataFrame | None = None,
+    embeddings: DataFrame, section: str = "mda", sectors: DataFrame | str | None = None,
     nearest_days: int = 270, farthest_days: int = 395,
 ) -> DataFrame:
     """(cik, period, form, accession, drift_qoq, drift_yoy, drift_peer) for one section.
 
     Against the previous filing of the same form; against the latest one 270 to 395 days
     earlier; against the mean embedding of the sector (itself included) in that period.
-    ``sectors`` is (cik, sector); without it peer drift is null.
+    ``sectors`` is (cik, sector), or the name of a column in which each filing has its own; without
+    it peer drift is null.
     """
+    named = [F.col(sectors).alias("sector")] if isinstance(sectors, str) else []
     rows = embeddings.where(F.col("section_name") == section).select(
-        "cik", "accession", "form", F.to_date("period").alias("period"), "embedding")
+        "cik", "accession", "form", F.to_date("period").alias("period"), "embedding", *named)
     w = Window.partitionBy("cik", "form").orderBy("period", "accession")
     rows = rows.withColumn("_prev", F.lag("embedding").over(w))
 
@@ -48,7 +50,8 @@ def drift_features(
     rows = rows.join(year_ago, ["cik", "form", "accession", "period"], "left")
 
     if sectors is not None:
-        rows = rows.join(sectors.select("cik", "sector"), "cik", "left")
+        if not named:
+            rows = rows.join(sectors.select("cik", "sector"), "cik", "left")
         centres = rows.where(F.col("sector").isNotNull()).groupBy("sector", "period").agg(
             vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding").cast("array<double>")))).alias("_peer"))
         rows = rows.join(centres, ["sector", "period"], "left")

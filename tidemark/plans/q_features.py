@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ewm import add_ewm, span
 from tidemark.operators import engine, fundamental, normalize, sentiment, technical
 from tidemark.operators.fundamental import METRICS
-from tidemark.plans.base import Inputs
+from tidemark.plans.base import Inputs, _case, _mapped
 from tidemark.plans.q_pit import FUND_DAILY
 from tidemark.plans.registry import g, grid, gridded, gs, query
 
@@ -329,8 +329,21 @@ def _(i: Inputs):
     return gridded(out, "pred_date ticker", "score")
 
 
-@query("fen1_feature_panel", f"""{RATIO_SQL}, t AS (SELECT ticker, date, ln(adj_close / lag(adj_close, 5) OVER w) AS ret_5d, (high - low) / close AS intraday_range FROM weekly {W})
-SELECT ticker, date, {gs('ret_5d intraday_range roe div_yield')}, 0.0::DOUBLE AS sent_composite FROM t JOIN ratios USING (ticker, date)""")
+# Messages about the panel's own tickers: line items by week, the return flag as source.
+FLAGS = {"A": "finviz", "N": "stocktwits", "R": "reddit"}
+LINE_SENTIMENT = f"""line_scores AS (SELECT 'S' || l_suppkey AS ticker, date_trunc('week', l_shipdate)::DATE AS date, {_case('l_returnflag', FLAGS, "'other'")} AS source, avg((l_quantity - 25) / 25) AS score, count(*) AS volume FROM lineitem GROUP BY 1, 2, 3),
+line_days AS (SELECT ticker, date, sum(score * wt) / nullif(sum(wt), 0) AS composite, sum(volume) AS volume FROM (SELECT *, CASE source WHEN 'finviz' THEN 0.4 WHEN 'other' THEN 0 ELSE 0.3 END AS wt FROM line_scores) GROUP BY 1, 2),
+line_full AS (SELECT ticker, date, coalesce(composite, 0) AS sent_composite, coalesce(d.volume, 0) AS v FROM weekly LEFT JOIN line_days d USING (ticker, date)),
+line_feats AS (SELECT ticker, date, sent_composite, coalesce(sent_composite - lag(sent_composite, 5) OVER w, 0) AS sent_momentum_5d,
+  coalesce(v / nullif(avg(v) OVER (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING), 0), 1) AS sent_mention_spike FROM line_full WINDOW w AS (PARTITION BY ticker ORDER BY date))"""
+PANEL = "ret_5d intraday_range roe div_yield sent_composite sent_momentum_5d sent_mention_spike"
+
+
+@query("fen1_feature_panel", f"""{RATIO_SQL}, {LINE_SENTIMENT}, t AS (SELECT ticker, date, ln(adj_close / lag(adj_close, 5) OVER w) AS ret_5d, (high - low) / close AS intraday_range FROM weekly {W})
+SELECT ticker, date, {gs(PANEL)} FROM t JOIN ratios USING (ticker, date) JOIN line_feats USING (ticker, date)""")
 def _(i: Inputs):
-    panel = engine.feature_panel(i.weekly, {"sentiment": {"enabled": True}}, i.fundamentals, i.sentiment, sectors=i.sectors)
-    return gridded(panel, "ticker date", "ret_5d intraday_range roe div_yield").join(panel.select("ticker", "date", "sent_composite"), ["ticker", "date"])
+    scores = i.table("lineitem").groupBy(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), F.trunc("l_shipdate", "week").alias("date"),
+        _mapped("l_returnflag", FLAGS, F.lit("other")).alias("source")).agg(F.avg((F.col("l_quantity") - 25) / 25).alias("score"), F.count(F.lit(1)).alias("volume"))
+    panel = engine.feature_panel(i.weekly, {"sentiment": {"enabled": True}}, i.fundamentals, scores, sectors=i.sectors)
+    return gridded(panel, "ticker date", PANEL)

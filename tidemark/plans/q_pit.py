@@ -152,13 +152,8 @@ drift AS (SELECT e.*, {QOQ} AS drift_qoq, {COS.format(a='e.embedding', b='e.year
 
 
 def _drift(i: Inputs):
-    emb = i.filing_embeddings
-    base = drift.drift_features(emb).drop("drift_peer")
-    # a vector carries its own label here, so peers are looked up with the filing as company
-    own = emb.withColumn("cik", F.col("accession"))
-    sectors = emb.select(F.col("accession").alias("cik"), F.col("label").alias("sector"))
-    peer = drift.drift_features(own, sectors=sectors).select("accession", "drift_peer")
-    return base.join(peer, "accession")
+    # companies are runs of vectors here, so the sector is that of the filing
+    return drift.drift_features(i.filing_embeddings, sectors="label")
 
 
 @query("drf1_cosine_distance", f"""SELECT a.vec_id, {g(COS.format(a='a.embedding::DOUBLE[]', b='b.embedding::DOUBLE[]'), 5)} AS distance
