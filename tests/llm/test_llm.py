@@ -122,6 +122,21 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), [3, 1, 2]).count() == 0
 
 
+def test_mixed_documents_are_those_of_the_mix(spark):
+    rows = [(i, text(i, 5 + i % 30), [f"s{i * i % 7}", None][i % 11 == 0]) for i in range(300)] + [(1000, None, "s1"), (None, "x y", "s2"), (7, "of two sources", "s9")]
+    docs = documents(spark, rows)
+    planned = Counter()
+    for (i, t, s), r in zip(sorted(rows, key=str), sorted(mixing.mix(docs, [3, 1, 2]).collect(), key=str), strict=True):
+        if i not in (7,):
+            planned[i] += r.copies
+    got = mixing.mixed(docs.repartition(3), [3, 1, 2])
+    assert got.columns == docs.columns
+    texts = Counter((r.doc_id, r.text, r.source) for r in got.collect())
+    assert set(texts) <= set(rows) and {i: n for i, n in planned.items() if n} == {i: n for (i, *_), n in texts.items() if i != 7}
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert mixing.mixed(docs.limit(0), [3, 1, 2]).count() == 0
+
+
 # -- 3 vectors --------------------------------------------------------------------------------
 
 

@@ -1,7 +1,9 @@
 """Whitening, sharding and the filter audit against brute force on small tables with odd rows."""
 
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 from itertools import permutations
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, text
-from tidemark.llm import filter_audit, sharding, whitening
+from tidemark.llm import filter_audit, sharding, warc, whitening
 from tidemark.session import new_path
 
 # -- 11 whitening -----------------------------------------------------------------------------
@@ -224,3 +226,32 @@ def test_audit_of_other_filters(spark):
     assert got["p", "yzx", 1].shapley == 9 and got["q", "xyz", 1].kept == 0 and got["q", "xyz", 3].kept == 0
     with pytest.raises(ValueError, match="seven"):
         filter_audit.audit(cells, "abcdefgh")
+
+
+# -- 4 the bytes of archives ------------------------------------------------------------------
+
+
+def test_archives_are_records_of_the_format(spark):
+    odd = "x" * 120 + "\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    rows = [(1, "http://a/b c", odd), (2, None, odd), (3, "", ""), (4, "http://ä", None), (5, "http://c", "é" * 200_000)]
+    path = new_path(spark, "warc-bytes")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, date="2024-05-06T07:08:09Z")
+    seen = {}
+    for file in Path(path).glob("part-*"):
+        data, at = file.read_bytes(), 0
+        while at < len(data):
+            end = data.index(b"\r\n\r\n", at)
+            version, *fields = data[at:end].decode("ascii").split("\r\n")
+            assert version == "WARC/1.0" and all(re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+: \S.*", f) for f in fields)
+            head = dict(f.split(": ", 1) for f in fields)
+            assert len(head) == len(fields)
+            assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(head)
+            assert re.fullmatch(r"<[a-z]+:\S+>", head["WARC-Record-ID"]) and head["WARC-Date"] == "2024-05-06T07:08:09Z"
+            assert re.fullmatch(r"[a-z]+:\S+", head["WARC-Target-URI"]) and head["Content-Type"].startswith("text/html")
+            assert ("WARC-Profile" in head) == ("WARC-Refers-To" in head) == (head["WARC-Type"] == "revisit")
+            body = data[end + 4: end + 4 + int(head["Content-Length"])]
+            at = end + 4 + len(body) + 4
+            assert data[at - 4: at] == b"\r\n\r\n"
+            seen[head["WARC-Record-ID"]] = head["WARC-Type"], body.decode()
+    assert seen == {"<urn:page:1>": ("response", odd), "<urn:page:2>": ("revisit", ""), "<urn:page:3>": ("response", ""),
+                    "<urn:page:4>": ("response", ""), "<urn:page:5>": ("response", "é" * 200_000)}

@@ -103,27 +103,51 @@ def thresholds(docs: DataFrame, targets: DataFrame, passes: int) -> DataFrame:
     return found.groupBy("_mix_s").agg(*[c.alias(f"_mix_t{p}") for p, c in cut.items()])
 
 
+def _hashed(documents: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    return cut_lineage(documents.select(
+        F.col(doc_id).alias("_mix_id"), F.col(source).alias("_mix_source"), id_hash(F.col(doc_id)).alias("_mix_hash"),
+        word_count(F.col(text)).alias("_mix_size")))
+
+
+def _per_source(docs: DataFrame, weights: list[int], share: float, most: int) -> DataFrame:
+    """Size, target and thresholds of each source."""
+    sizes = docs.groupBy("_mix_source").agg(F.sum("_mix_size").alias("_mix_total"))
+    targets = cut_lineage(source_targets(sizes, weights, share, float(most)))
+    cuts = cut_lineage(thresholds(docs, targets, most))
+    return cut_lineage(cuts.join(targets, F.col("_mix_s").eqNullSafe(F.col("_mix_source"))).drop("_mix_source"))
+
+
+def _copies(hash_: Column, most: int) -> Column:
+    return sum((hash_ < F.col(f"_mix_t{p}")).cast("int") for p in range(1, most + 1))
+
+
 def mix(documents: DataFrame, weights: list[int], share: float = 1.5, most: int = 2, doc_id: str = "doc_id",
         text: str = "text", source: str = "source") -> DataFrame:
     """Per document, in place of its text, how often the mix takes it.
 
     Adds ``size, source_size, target, copies, taken`` to ``doc_id``. ``copies`` is 0 .. ``most``.
     """
-    docs = cut_lineage(documents.select(
-        F.col(doc_id).alias("_mix_id"), F.col(source).alias("_mix_source"), id_hash(F.col(doc_id)).alias("_mix_hash"),
-        word_count(F.col(text)).alias("_mix_size")))
-    sizes = docs.groupBy("_mix_source").agg(F.sum("_mix_size").alias("_mix_total"))
-    targets = cut_lineage(source_targets(sizes, weights, share, float(most)))
-    cuts = cut_lineage(thresholds(docs, targets, most))
-    per_source = cuts.join(targets, F.col("_mix_s").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
-    copies = sum((F.col("_mix_hash") < F.col(f"_mix_t{p}")).cast("int") for p in range(1, most + 1))
+    docs = _hashed(documents, doc_id, text, source)
     # sources are few against documents; Spark broadcasts this side only if its size allows
-    rows = docs.join(cut_lineage(per_source), F.col("_mix_source").eqNullSafe(F.col("_mix_s")), "left").withColumn("_mix_copies", copies)
+    rows = docs.join(_per_source(docs, weights, share, most), F.col("_mix_source").eqNullSafe(F.col("_mix_s")), "left")
+    rows = rows.withColumn("_mix_copies", _copies(F.col("_mix_hash"), most))
     return rows.select(
         F.col("_mix_id").alias("doc_id"), F.col("_mix_size").alias("size"), F.col("_mix_total").alias("source_size"),
         F.col("_mix_target").alias("target"), F.col("_mix_copies").alias("copies"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"))
 
 
+def mixed(documents: DataFrame, weights: list[int], share: float = 1.5, most: int = 2, doc_id: str = "doc_id",
+          text: str = "text", source: str = "source") -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with their own columns.
+
+    A row's own hash and its source's thresholds decide, so texts are not shuffled.
+    """
+    cuts = _per_source(_hashed(documents, doc_id, text, source), weights, share, most)
+    rows = documents.join(cuts, F.col(source).eqNullSafe(F.col("_mix_s")))
+    rows = rows.withColumn("_mix_copies", _copies(id_hash(F.col(doc_id)), most)).where("_mix_copies > 0")
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[documents[c] for c in documents.columns])
+
+
 def take(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their own columns.
 

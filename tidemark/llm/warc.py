@@ -11,11 +11,13 @@ Rules for odd rows: a null payload is empty; records with payloads under ``least
 revisits; rows without an id are written but are never revisits or referred to; rows that repeat
 the smallest id of a payload are responses all; of rows that repeat an id with other payloads each
 is decided by its own; empty tables give no records; addresses keep only
-printable ASCII, so that no header can break. Extra columns are not written.
+printable ASCII, so that no header can break, and pages without one are at ``urn:page:none``. Extra columns are not written.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ VERSION = "WARC/1.0"
 MAGIC = VERSION + "\r\n"
 HEADER_END = "\r\n\r\n"
 AFTER = len(HEADER_END)
+# Fixed value: the standard's name for a revisit of an equal payload.
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
 def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -37,8 +41,12 @@ def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     return cut_lineage(found.select(F.col("page_id").alias("id"), "digest", "refers_to").distinct())
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 100) -> None:
-    """A record per row of ``pages(page_id, url, html)`` in the files of folder ``path``."""
+def write_archives(pages: DataFrame, path: str, least: int = 100, date: str | None = None) -> None:
+    """A record per row of ``pages(page_id, url, html)`` in the files of folder ``path``.
+
+    ``date`` is when the pages were fetched, in UTC to the second; the time of the call if not given.
+    """
+    date = date or f"{datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}"
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.join(revisits(pages, least), (F.col("page_id") == F.col("id")) & (F.sha2(F.col("html").cast("binary"), 256) == F.col("digest")), "left")
     again = F.col("refers_to").isNotNull()
@@ -49,7 +57,10 @@ def write_archives(pages: DataFrame, path: str, least: int = 100) -> None:
 
     header = F.concat_ws(
         "\r\n", F.lit(VERSION), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), urn(F.col("page_id"))),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[^\x21-\x7E]", "")),
+        F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Target-URI: "), F.coalesce(F.nullif(F.regexp_replace("url", r"[^\x21-\x7E]", ""), F.lit("")), F.lit("urn:page:none"))),
+        F.lit("Content-Type: text/html; charset=UTF-8"),
+        F.when(again, F.lit(f"WARC-Profile: {PROFILE}")),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.sha2(F.col("html").cast("binary"), 256)),
         F.concat(F.lit("X-Payload-Length: "), F.octet_length("html").cast("string")),
         F.when(again, F.concat(F.lit("WARC-Refers-To: "), urn(F.col("refers_to")))),
