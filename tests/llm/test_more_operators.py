@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, text
-from tidemark.llm import filter_audit, sharding, warc, whitening
+from tidemark.llm import filter_audit, sharding, toxicity, warc, whitening
 from tidemark.session import new_path
 
 # -- 11 whitening -----------------------------------------------------------------------------
@@ -255,3 +255,58 @@ def test_archives_are_records_of_the_format(spark):
             seen[head["WARC-Record-ID"]] = head["WARC-Type"], body.decode()
     assert seen == {"<urn:page:1>": ("response", odd), "<urn:page:2>": ("revisit", ""), "<urn:page:3>": ("response", ""),
                     "<urn:page:4>": ("response", ""), "<urn:page:5>": ("response", "é" * 200_000)}
+
+
+# -- 7 the likelihood of the ordinal model ----------------------------------------------------
+
+
+def plain_loss(counts, grades, thresholds, weights, l2):
+    """Mean negative log likelihood of grades, text by text, plus the penalty."""
+    total = 0.0
+    for x, y in zip(counts, grades, strict=True):
+        z = sum(a * b for a, b in zip(x, weights, strict=True))
+        upto = [0.0, *[1 / (1 + np.exp(-(t - z))) for t in thresholds], 1.0]
+        total -= np.log(upto[y + 1] - upto[y])
+    return total / len(grades) + l2 / 2 * sum(w * w for w in weights)
+
+
+def test_ordinal_fit_is_the_maximum_of_the_likelihood():
+    r = np.random.default_rng(13)
+    grades = np.array([0] * 60 + [1] * 20 + [2] * 20 + [3] * 20)
+    names = [11, 22, 33]
+    counts = np.array([[r.poisson(rate) if g else int(r.uniform() < 0.05) for rate in (0.4 * g, 0.7 * g, 0.5)] for g in grades])
+    rows = [np.array([f for f, n in zip(names, c, strict=True) for _ in range(n)] + [90 + k % 7], dtype=np.int64) for k, c in enumerate(counts)]
+    l2 = 0.02
+    model = toxicity.fit(rows, grades, 4, l2=l2, steps=5000)
+    assert set(model.weights) <= set(names) and len(model.weights) == 3 and model.thresholds == sorted(model.thresholds)
+    at = np.array([*model.thresholds, *[model.weights[f] for f in names]])
+
+    def loss(p):
+        return plain_loss(counts, grades, p[:3], p[3:], l2)
+
+    slope = [(loss(at + 1e-5 * e) - loss(at - 1e-5 * e)) / 2e-5 for e in np.eye(6)]
+    assert np.abs(slope).max() < 2e-3
+    # another way down, by numeric slopes from elsewhere, ends at the same place
+    p, step = np.array([0.0, 1.0, 2.0, 0.0, 0.0, 0.0]), 1.0
+    for _ in range(400):
+        g = np.array([(loss(p + 1e-5 * e) - loss(p - 1e-5 * e)) / 2e-5 for e in np.eye(6)])
+        while step > 1e-6 and not (np.all(np.diff((p - step * g)[:3]) > 0) and loss(p - step * g) < loss(p)):
+            step /= 2
+        p, step = p - step * g, min(2 * step, 4.0)
+    assert abs(loss(p) - loss(at)) < 1e-4 and np.abs(p - at).max() < 0.15
+
+
+def test_severity_is_the_expected_grade(spark):
+    weights = {f: 0.7 for f in toxicity.word_features("vile")} | {f: -0.2 for f in toxicity.word_features("kind")}
+    model = toxicity.OrdinalModel([0.5, 1.0, 2.5], weights)
+    texts = ["vile", "vile vile kind", "kind", "", None, "vile " * 30_000 + "other words"]
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, y int, f string")
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for k, t in enumerate(texts):
+        z = sum(weights.get(f, 0.0) for w in set((t or "").split()) for f in toxicity.word_features(w))
+        upto = [0.0, *[1 / (1 + np.exp(-(x - z))) for x in model.thresholds], 1.0]
+        chances = np.diff(upto)
+        assert got[k]._tox_severity == pytest.approx(float(chances @ np.arange(4)))
+        assert got[k]._tox_grade == sum(1 - u >= 0.5 for u in upto[1:4])
+    assert {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()} == {k for k in got if got[k]._tox_grade == 0}
+    assert toxicity.drop_toxic(docs, model).columns == docs.columns
