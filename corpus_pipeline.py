@@ -6,12 +6,14 @@ mixed to target weights (a document may then come twice), and texts become token
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import lines, mixing, shingles, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.queries import encoded_documents
-from tidemark.session import new_path, store
+from tidemark.session import drop_steps, keep_steps, new_path, store
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    return mixing.take(docs, mixing.mix(docs, weights=[3, 1, 2]))
+    return mixing.mixed(docs, weights=[3, 1, 2])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,21 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded_documents(docs)
 
 
+def _alone(stage):
+    """The stage before has been written when this one begins, so what it left on the way goes."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_steps(spark)
+        keep_steps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_near_copies),
           ("mixing sources", mix_sources), ("BPE encoding", encode)]
+STAGES = [(name, _alone(stage)) for name, stage in STAGES]
 
 #: SQL cannot fit the classifier of the first stage; tests compare the stages with brute force.
 ORACLE_SQL = None
