@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, calendar, normalize, samples, technical
 from tidemark.plans.base import Inputs
+from tidemark.plans.q_features import TR_DATASET, _ewm_sql, _frame, _full
 from tidemark.plans.registry import g, grid, gridded, gs, query
 
 LO, HI, LOOKBACK, HORIZON, STRIDE = "1996-01-01", "2001-12-31", 12, 2, 4
@@ -70,9 +71,25 @@ WINDOW_SQL = f"""WITH {ANCHORS_SQL}, feats AS (SELECT ticker, rn, ln(adj_close)
 windows AS (SELECT pred_date, ticker, lag, f.* EXCLUDE (ticker, rn) FROM labels l CROSS JOIN (SELECT unnest(range(0, {LOOKBACK}))::INT AS lag) JOIN feats f USING (ticker) WHERE f.rn = anchor_rn - lag)"""
 
 
-@query("smp6_technical_mode", f"{WINDOW_SQL} SELECT pred_date, ticker, lag, {gs('ret_5d log_volume intraday_range ret_20d')} FROM windows")
+# all indicators of the window's rows; the recursive ones step by row number
+WEEKS = """weeks0 AS (SELECT *, row_number() OVER w - 1 AS rn, lag(adj_close) OVER w AS before, lag(close) OVER w AS pc FROM weekly WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+weeks AS (SELECT *, adj_close - before AS delta, coalesce(pc, close) AS pc0, ln(adj_close) AS x, coalesce(ln(adj_close) - ln(before), 0) AS r1 FROM weeks0)"""
+SMOOTHED = {"up": ("greatest(coalesce(s.delta, 0), 0)", 1 / 14), "down": ("greatest(-coalesce(s.delta, 0), 0)", 1 / 14), "atr": (TR_DATASET, 1 / 14),
+            "fast": ("s.adj_close", 2 / 13), "slow": ("s.adj_close", 2 / 27)}
+INDICATOR_SQL = f"""WITH RECURSIVE {ANCHORS_SQL}, {WEEKS}, {_ewm_sql("e", "weeks", SMOOTHED, 0)}, lines AS (SELECT ticker, rn, fast - slow AS macd FROM e), {_ewm_sql("sig", "lines", {"sg": ("s.macd", 0.2)}, 0)},
+feats AS (SELECT ticker, rn + 1 AS rn, x - lag(x, 5) OVER w AS ret_5d, x - lag(x, 20) OVER w AS ret_20d, CASE WHEN rn >= 4 THEN stddev_pop(r1) OVER {_frame(5)} END AS vol_5d,
+  CASE WHEN rn >= 19 THEN stddev_pop(r1) OVER {_frame(20)} END AS vol_20d, CASE WHEN rn >= 14 THEN 100 - 100 / (1 + up / greatest(down, 1e-8)) END AS rsi_14, macd, sg AS macd_signal, macd - sg AS macd_hist,
+  {_full(20, 'adj_close', 'stddev_pop(adj_close)')} / {_full(20, 'adj_close', 'avg(adj_close)')} * 4 AS bbw_20, CASE WHEN rn >= 14 THEN atr END AS atr_14, ln(1 + volume) AS log_volume,
+  volume / greatest({_full(20, 'volume', 'avg(volume)')}, 1e-8) AS rel_volume_20, (high - low) / close AS intraday_range, (open - pc0) / pc0 AS gap
+  FROM weeks JOIN e USING (ticker, rn) JOIN lines USING (ticker, rn) JOIN sig USING (ticker, rn) WINDOW w AS (PARTITION BY ticker ORDER BY rn)),
+windows AS (SELECT pred_date, ticker, lag, f.* EXCLUDE (ticker, rn) FROM labels l CROSS JOIN (SELECT unnest(range(0, {LOOKBACK}))::INT AS lag) JOIN feats f USING (ticker) WHERE f.rn = anchor_rn - lag)"""
+INDICATORS = " ".join(n for n in technical.feature_names("dataset") if n != "rsi_14")
+
+
+@query("smp6_technical_mode", f"{INDICATOR_SQL} SELECT pred_date, ticker, lag, {gs(INDICATORS)}, {gs('rsi_14', 3)} FROM windows")
 def _(i: Inputs):
-    return gridded(_built(i, "technical")[0], "pred_date ticker lag", "ret_5d log_volume intraday_range ret_20d")
+    rows = _built(i, "technical")[0]
+    return rows.select("pred_date", "ticker", "lag", *[grid(c).alias(c) for c in INDICATORS.split()], grid("rsi_14", 3).alias("rsi_14"))
 
 
 def relative_price(pdf: pd.DataFrame) -> pd.DataFrame:
