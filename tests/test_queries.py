@@ -10,7 +10,7 @@ from tools.check import compare, connect
 FOLDER = os.environ.get("TEST_DIR", "/root/testdata/sf0.001")
 SQL = oracle_sql()
 # compared with brute force or an exact round trip in tests of their own
-WITHOUT_SQL = {"txt10_section_embeddings", "op5_bpe", "op7_toxicity", "op9_token_records", "op11_embedding_whitening", "pipeline"}
+WITHOUT_SQL = {"op5_bpe", "op7_toxicity", "op9_token_records", "op11_embedding_whitening", "pipeline"}
 
 
 @pytest.fixture(scope="module")

@@ -210,8 +210,8 @@ def embed_sections(sections: DataFrame, embed: Callable[[pd.Series], pd.Series]
     """Add a unit ``embedding`` of ``text``; empty texts give the zero vector.
 
     ``embed`` maps an Arrow batch of whole texts to lists of floats; a model with a limit gets texts that went
-    through ``truncate_middle`` first. The default hashes words into
-    ``dim`` counts with the built-in feature transformers.
+    through ``truncate_middle`` first. The default counts words in ``dim`` buckets of their
+    hashes with the built-in feature transformers.
     """
     if embed is not None:
 
@@ -220,10 +220,13 @@ def embed_sections(sections: DataFrame, embed: Callable[[pd.Series], pd.Series]
             return embed(batch)
 
         return sections.withColumn("embedding", apply("text"))
-    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.feature import CountVectorizerModel, Normalizer
     from pyspark.ml.functions import vector_to_array
 
-    words = sections.withColumn("_words", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    # 32 bits of a word's md5, so that other engines can repeat it
+    bucket = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("string"))
+    counter = CountVectorizerModel.from_vocabulary([str(k) for k in range(dim)], inputCol="_buckets", outputCol="_tf")
+    counted = counter.transform(sections.withColumn("_buckets", F.coalesce(bucket, F.array().cast("array<string>"))))
     unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
+    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_buckets", "_tf", "_unit")

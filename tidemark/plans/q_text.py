@@ -138,11 +138,12 @@ def _(i: Inputs):
     return gridded(scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("p_pos") - F.col("p_neg")).alias("mean_score")), "doc_id n", "mean_score")
 
 
-@query("txt10_section_embeddings")
+@query("txt10_section_embeddings", f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM documents),
+c AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM w GROUP BY 1, 2), s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1)
+SELECT doc_id, bucket::INT AS bucket, {g('n / norm')} AS value FROM c JOIN s USING (doc_id)""")
 def _(i: Inputs):
     out = text.embed_sections(i.table("documents").select("doc_id", "text"), dim=64)
-    norm = F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
-    return out.select("doc_id", F.size("embedding").alias("dim"), grid(norm, 3).alias("norm"))
+    return out.select("doc_id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0").select("doc_id", "bucket", grid("value").alias("value"))
 
 
 def shape_embedding(batch: pd.Series) -> pd.Series:
