@@ -30,10 +30,16 @@ def word_count(c):
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small views of the batches, so that what is made from one stays small."""
+    """Small views of the batches, so that what is made from one stays small.
+
+    A worker keeps running after its task; what the batches took goes back to the system.
+    """
+    pool = pa.default_memory_pool()
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+        del batch
+        pool.release_unused()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ PART, WHOLE = 3, 4
 SKETCH_BITS, PART_BITS, MARKS = 22, 16, 16
 #: Shingles in at least 2**HOT documents (by the sketch) have their documents dealt over SALTS groups.
 HOT, SALTS = 12, 64
-KNOWN = 250_000
+KNOWN = 100_000
 #: Most rounds of comparing with one more pivot before the rest is compared pair by pair.
 ROUNDS = 2
 ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -204,21 +204,23 @@ def may_link(a: str, b: str):
     return (WHOLE * n >= PART * m) & (WHOLE * m >= PART * n) & ((PART + WHOLE) * at_most >= PART * (n + m))
 
 
-def meetings(posts: DataFrame) -> DataFrame:
-    """Postings of shingles that several documents have, each with the pivot of its shingle.
+def meetings(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings of shingles that several documents have, each with the pivot of its shingle, and further pivots.
 
     The pivot is the set of the smallest digest, so a typical one. A frequent shingle has a pivot in each of its salted groups, and
-    these have one of their own; both windows stream and keep no group in memory.
+    these have one of their own; both windows stream and keep no group in memory. A set that several
+    tasks passed on has equal rows side by side, of which the last stays.
     """
     w = Window.partitionBy("gram", "salt").orderBy("id")
     first = {c: F.first(c).over(w).alias(f"p_{c}") for c in ("id", "n", "pos")}
-    rows = posts.select("gram", "salt", "id", "n", "pos", *first.values(), (F.lead("id").over(w) != F.col("id")).alias("more"))
+    rows = posts.select("gram", "salt", "id", "n", "pos", *first.values(), F.lead("id").over(w).alias("next"))
+    rows = rows.where("next is null or next <> id")
     # alone in its group: kept only where other groups of the shingle may hold partners
-    rows = cut_lineage(rows.where("id <> p_id or coalesce(more, false) or salt > 0").drop("more").distinct())
+    rows = cut_lineage(rows.where("id <> p_id or next is not null or salt > 0").drop("next"))
     w = Window.partitionBy("gram").orderBy("id")
-    top = rows.where("salt > 0 and id = p_id").select("gram", "salt", "id", "n", "pos").distinct()
+    top = rows.where("salt > 0 and id = p_id").select("gram", "salt", "id", "n", "pos")
     top = top.select("gram", "salt", "id", "n", "pos", *[F.first(c).over(w).alias(f"p_{c}") for c in ("id", "n", "pos")])
-    return rows.unionByName(top.where("id <> p_id"))
+    return rows, cut_lineage(top.where("id <> p_id"))
 
 
 # -- comparing --------------------------------------------------------------------------------
@@ -283,7 +285,8 @@ def with_marks(rows: DataFrame, marks: DataFrame, a: str) -> DataFrame:
 def links(documents: DataFrame, rows: DataFrame, table, turn: int) -> DataFrame:
     """Links ``(a, b)`` that connect all similar sets; ``rows`` names a row for each of them."""
     shared = documents.sparkSession.sparkContext.broadcast(table)
-    met = cut_lineage(meetings(prefixes(documents, shared, turn)))
+    rows_met, top = meetings(prefixes(documents, shared, turn))
+    met = rows_met.unionByName(top)
     # one text of each set that meets another; merged, so that no plan depends on how many there are
     ends = met.select("id").unionByName(met.select(F.col("p_id").alias("id"))).distinct().withColumnRenamed("id", "node")
     ends = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "row")).alias("at")).select("node", "at.id", "at.row")
@@ -307,7 +310,7 @@ def links(documents: DataFrame, rows: DataFrame, table, turn: int) -> DataFrame:
     found = found.unionByName(compare(asked, texts))
     done = cut_lineage(best.unionByName(asked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     # shingles that no other set has cannot be shared: of a set's prefix only those that meet count as early
-    posts = met.select("gram", "id", "n", "pos").distinct()
+    posts = rows_met.select("gram", "id", "n", "pos")
     posts = cut_lineage(posts.withColumn("early", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1))
     # 3. sets out of a shingle's largest class with other pivots of that class, as long as that brings much
     for turn in range(ROUNDS):
