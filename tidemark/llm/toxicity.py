@@ -31,7 +31,7 @@ from tidemark.session import cut_lineage
 #: occur in, how much more frequent than in other rows it must be, lengths of word beginnings.
 SAMPLE, BITS, LEAST_ROWS, LEAST_RATIO, BEGINNINGS = 8_000, 30, 4, 5.0, range(4, 9)
 #: Remembered words of a scoring process.
-KNOWN = 100_000
+KNOWN = 200_000
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
 
 
