@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,24 +23,36 @@ def normal_pvalue(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def student_pvalue(t: Column, df: Column) -> Column:
-    """Exact for whole degrees of freedom by the finite series of A&S 26.7.3 and 26.7.4."""
-    theta = F.atan(F.abs(t) / F.sqrt(df))
-    cos2 = F.pow(F.cos(theta), 2)
+def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of whole degrees of freedom by the finite series of A&S 26.7.3 and 26.7.4. A step of
+    the series is one product for all rows that still have terms; a row is done when its terms no longer change its sum."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        theta = np.arctan(np.abs(t) / np.sqrt(df))
+    cos2 = np.cos(theta) ** 2
     # terms c_k = c_{k-1} cos^2 * (2k-1)/(2k) for even df, (2k)/(2k+1) for odd df
-    even = F.when(df % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-    def step(acc: Column, k: Column) -> Column:
-        k2 = 2.0 * k
-        factor = cos2 * (k2 - even) / (k2 + 1.0 - even)
-        term = acc["term"] * factor
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    odd_steps = F.floor((df - 3) / 2).cast("int")
-    even_steps = F.floor((df - 2) / 2).cast("int")
-    count = F.when(df % 2 == 0, even_steps).otherwise(odd_steps)
-    series = F.when(count >= 1, F.aggregate(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), start, step)["total"]).otherwise(1.0)
-    odd_area = (2.0 / math.pi) * (theta + F.when(df > 1, F.sin(theta) * F.cos(theta) * series).otherwise(0.0))
-    area = F.when(df % 2 == 0, F.sin(theta) * series).otherwise(odd_area)
-    return F.greatest(F.lit(0.0), 1.0 - area)
+    even = (df % 2 == 0).astype(float)
+    count = np.nan_to_num(np.floor((df - 3 + even) / 2), nan=0.0)
+    series = np.ones(len(theta))
+    rows = np.flatnonzero(count >= 1)
+    term, k = np.ones(len(rows)), 0
+    while len(rows):
+        k += 1
+        e = even[rows]
+        term = term * (cos2[rows] * (2.0 * k - e) / (2.0 * k + 1.0 - e))
+        series[rows] += term
+        # what is left is at most a geometric series of cos^2
+        left = (count[rows] > k) & ~(term * cos2[rows] <= 1e-18 * (1.0 - cos2[rows]) * series[rows])
+        rows, term = rows[left], term[left]
+    odd_area = (2.0 / math.pi) * (theta + np.where(df > 1, np.sin(theta) * np.cos(theta) * series, 0.0))
+    return np.maximum(0.0, 1.0 - np.where(even > 0, np.sin(theta) * series, odd_area))
+
+
+def _student(t: pa.Array, df: pa.Array) -> pa.Array:
+    found = student_tail(*(c.fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in (t, df)))
+    return pa.array(found, mask=~(np.array(t.is_valid()) & np.array(df.is_valid())))
+
+
+def student_pvalue(t: Column, df: Column) -> Column:
+    """Exact for whole degrees of freedom; null where either is."""
+    tail = F.arrow_udf(_student, "double", F.ArrowUDFType.SCALAR)
+    return tail(t.cast("double"), df.cast("double"))
