@@ -9,6 +9,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.plans.registry import grid
 from tidemark.streaming import intake, matured
 
 PREDICTION = "ts timestamp, ticker string, score double, p0 double"
@@ -111,3 +112,20 @@ def test_baseline_from_panes(spark, tmp_path):
                 want[end, x["ticker"]] = want.get((end, x["ticker"]), 0) + 0.25
     got = {(g.date, g.ticker): g.daily_mean for g in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == pytest.approx(want)
+
+
+def test_prices_of_zero_and_many_tickers(spark, tmp_path):
+    """As floating point has it: no price of zero, no division by zero and no 0 / 0 is lost on the way."""
+    predictions = [{"ts": at(1), "ticker": f"T{k}", "score": 0.5, "p0": p0} for k, p0 in enumerate((2.0, 0.0, 0.0, 4.0))]
+    prices = [{"ts": at(50), "ticker": f"T{k}", "price": x} for k, x in enumerate((0.0, 3.0, 0.0))]
+    prices.append({"ts": at(400), "ticker": "T0", "price": 1.0})
+    land(tmp_path / "p", 0, predictions)
+    land(tmp_path / "q", 0, prices)
+    got = {r.ticker: (r.status, r.target) for r in run(spark, tmp_path, 24)}
+    assert got.pop("T3") == ("no_price", None)
+    assert {t: (s, str(x)) for t, (s, x) in got.items()} == {"T0": ("scored", "-inf"), "T1": ("scored", "inf"), "T2": ("scored", "nan")}
+
+
+def test_grid_keeps_what_is_not_finite(spark):
+    rows = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (1e300,), (1.25,), (None,)], "x double")
+    assert [str(r[0]) for r in rows.select(grid("x", 1)).collect()] == ["inf", "-inf", "nan", "1e+300", "1.3", "None"]
