@@ -152,3 +152,18 @@ def test_pivots_are_far_apart():
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     assert spread_out(u, 3, False)[:2].tolist() == [[1.0, 0.0], [-1.0, 0.0]]
     assert len(spread_out(u, 9, True)) == 3
+
+
+def test_rows_of_a_wide_block_are_sent_once_and_met_in_tiles(spark):
+    x = np.random.default_rng(5).normal(size=(1300, 12))
+    weight = np.abs(np.corrcoef(x))
+    np.fill_diagonal(weight, -1)
+    p = pairs.Similarity(frame(spark, x), ["pred_date"], block=pairs.WIDE)
+    assert p.routed(0.6).count() == 1300        # blocks of 512 rows took each of them three times
+    degrees = {r.ticker: r.degree for r in p.neighbor_sums(0.6).collect()}
+    assert sum(degrees.values()) == int((weight > 0.6).sum()) == p.counts([0.6]).first()["_t0"]
+    assert sorted(degrees.values()) == sorted(int(n) for n in (weight > 0.6).sum(axis=1) if n)
+    best = sorted(round(r.weight, 9) for r in p.top(3).collect())
+    assert best == sorted(np.round(np.sort(weight, axis=1)[:, -3:], 9).ravel().tolist())
+    # the largest block keeps a pair of vectors of any length in memory
+    assert pairs.Similarity(frame(spark, np.ones((2, 8000))), ["pred_date"], block=pairs.WIDE).block == pairs.TILE
