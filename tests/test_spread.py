@@ -91,3 +91,21 @@ def test_listmle(spark, per_range):
     s = pdf.sort_values("target", ascending=False).score.to_numpy()
     expected = np.mean([np.log(np.exp(s[k:]).sum()) - s[k] for k in range(30)])
     assert row.loss == pytest.approx(expected)
+
+
+def test_groups_lie_in_as_many_partitions_as_their_rows_call_for(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.spread import in_parts
+
+    df = spark.range(4000).select((F.col("id") % 300).alias("g"), F.col("id").cast("double").alias("x"))
+    parts = in_parts(df, ["g"], per_part=100)
+    assert parts.rdd.getNumPartitions() == 40
+    assert parts.select("g", F.spark_partition_id().alias("p")).distinct().count() == 300
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        # one task ordered the whole table here
+        assert average_ranks(df, ["g"], {"x": "r"}).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

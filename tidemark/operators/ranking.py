@@ -36,7 +36,7 @@ def rank_ic(df: DataFrame, by: Sequence[str] = BY, least: int = 2, per_range: in
     """(by, ic, n): Spearman correlation of score and target, null below ``least`` rows or for
     a constant side."""
     by = list(by)
-    rows = valid_rows(df).select(*by, "ticker", "score", "target")
+    rows = valid_rows(df).select(*by, "score", "target")
     ranked = average_ranks(rows, by, {"score": "_rs", "target": "_rt"}, per_range)
     n = F.count(F.lit(1))
     return ranked.groupBy(*by).agg(
