@@ -165,7 +165,7 @@ def _(i: Inputs):
 
 @query("prj1_ticker_universe", "SELECT DISTINCT ticker FROM roster SEMI JOIN weekly USING (ticker)")
 def _(i: Inputs):
-    return asof.ticker_universe(i.weekly, i.roster)
+    return asof.ticker_universe(i.traded, i.roster)
 
 
 @query("prj2_sector_codes", "SELECT ticker, sector, dense_rank() OVER (ORDER BY sector)::INT AS sector_code FROM sectors")

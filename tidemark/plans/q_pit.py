@@ -126,7 +126,7 @@ members AS (SELECT date AS pred_date, ticker FROM days JOIN roster USING (snapsh
 numbered AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date)::INT AS rn FROM daily)
 SELECT m.pred_date, m.ticker, n.date AS anchor_date, n.rn AS anchor_rn FROM members m ASOF JOIN numbered n ON m.ticker = n.ticker AND m.pred_date >= n.date""")
 def _(i: Inputs):
-    return asof.sample_anchor(i.month_starts, samples.with_row_number(i.daily), i.roster)
+    return asof.sample_anchor(i.month_starts, samples.with_row_number(i.daily_keys), i.roster)
 
 
 @query("pit12_merge_groups", f"""
