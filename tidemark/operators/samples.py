@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.columns import finite, log_ratio
 from tidemark.operators.asof import sample_anchor
+from tidemark.operators.spread import in_parts
 from tidemark.operators.technical import feature_names, technical_features
 
 def own_rows() -> Window:
@@ -75,6 +76,7 @@ def build_samples(
     ``mode``: ``technical`` (dataset variant), ``ohlcv`` (raw columns) or ``custom``
     (``feature_fn`` on a ticker's whole history, see ``apply_feature_fn``).
     """
+    prices = in_parts(prices, ["ticker"])      # all windows below are by ticker
     numbered = with_row_number(prices)
     if mode == "technical":
         feats, columns = technical_features(prices, "dataset"), feature_names("dataset")
