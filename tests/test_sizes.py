@@ -26,3 +26,10 @@ def test_sample_windows_lie_in_bounded_partitions(spark, one_partition):
     windows, labels = build_samples(prices, roster, dates, 12, 2)
     assert windows.count() == 12 * labels.count() > 0
     assert "RepartitionByExpression [ticker" in optimized(windows)
+
+
+def test_scores_of_line_items_are_not_combined_before_the_shuffle(spark):
+    from __spark_entry__ import queries
+
+    panel = queries()["fen1_feature_panel"](spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression [l_suppkey" in optimized(panel)

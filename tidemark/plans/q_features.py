@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ewm import add_ewm, span
 from tidemark.operators import engine, fundamental, normalize, sentiment, technical
 from tidemark.operators.fundamental import METRICS
-from tidemark.plans.base import Inputs, _case, _mapped
+from tidemark.plans.base import Inputs, _case, _mapped, per_supplier
 from tidemark.plans.q_pit import FUND_DAILY
 from tidemark.plans.registry import g, grid, gridded, gs, query
 
@@ -342,8 +342,8 @@ PANEL = "ret_5d intraday_range roe div_yield sent_composite sent_momentum_5d sen
 @query("fen1_feature_panel", f"""{RATIO_SQL}, {LINE_SENTIMENT}, t AS (SELECT ticker, date, ln(adj_close / lag(adj_close, 5) OVER w) AS ret_5d, (high - low) / close AS intraday_range FROM weekly {W})
 SELECT ticker, date, {gs(PANEL)} FROM t JOIN ratios USING (ticker, date) JOIN line_feats USING (ticker, date)""")
 def _(i: Inputs):
-    scores = i.table("lineitem").groupBy(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), F.trunc("l_shipdate", "week").alias("date"),
-        _mapped("l_returnflag", FLAGS, F.lit("other")).alias("source")).agg(F.avg((F.col("l_quantity") - 25) / 25).alias("score"), F.count(F.lit(1)).alias("volume"))
+    used = i.table("lineitem").select("l_suppkey", F.trunc("l_shipdate", "week").alias("date"), _mapped("l_returnflag", FLAGS, F.lit("other")).alias("source"), "l_quantity")
+    scores = per_supplier(used, lambda rows: rows.groupBy("l_suppkey", "date", "source").agg(F.avg((F.col("l_quantity") - 25) / 25).alias("score"), F.count(F.lit(1)).alias("volume")))
+    scores = scores.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), "date", "source", "score", "volume")
     panel = engine.feature_panel(i.weekly, {"sentiment": {"enabled": True}}, i.fundamentals, scores, sectors=i.sectors)
     return gridded(panel, "ticker date", PANEL)
