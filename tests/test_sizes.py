@@ -33,3 +33,23 @@ def test_scores_of_line_items_are_not_combined_before_the_shuffle(spark):
 
     panel = queries()["fen1_feature_panel"](spark, "/root/testdata/sf0.001")
     assert "RepartitionByExpression [l_suppkey" in optimized(panel)
+
+
+def test_a_backtest_shuffles_prices_of_rebalance_days_for_its_universe(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.backtest import run_backtest
+    from tidemark.operators.portfolio import constructor
+
+    prices = spark.createDataFrame(random_walk(["A", "B", "C", "D"], 60))
+    scores = prices.select(F.col("date").alias("pred_date"), "ticker", F.col("adj_close").alias("score"))
+    seen = []
+
+    def construct(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return constructor("equal", top_n=1)(df)
+
+    result = run_backtest(scores, prices, construct, "M")
+    # scores and prices are both cut to the rebalance days before they meet
+    assert seen[0].count("rebalance#") >= 2 and seen[0].count("Relation [date#") == 2
+    assert result.daily.count() == 60 and result.positions.count() > 0

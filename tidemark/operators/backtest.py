@@ -80,18 +80,20 @@ def run_backtest(
         "date", "day", "rebalance",
         F.last(F.when(F.col("rebalance"), F.col("day")), ignorenulls=True).over(upto).alias("held_from")))
 
-    universe = predictions.withColumn("date", F.col("pred_date")).join(
-        schedule.where("rebalance").select("date"), "date", "left_semi")
-    universe = universe.join(valid_prices.select("ticker", "date"), ["ticker", "date"], "left_semi")
+    rebalances = schedule.where("rebalance").select("date", F.col("day").alias("held_from"))
+    universe = predictions.withColumn("date", F.col("pred_date")).join(rebalances, "date", "left_semi")
+    # prices of the rebalance days alone are shuffled for the universe and the starts
+    first_prices = valid_prices.join(rebalances, "date").select("ticker", "date", "held_from", F.col("adj_close").alias("p0"))
+    universe = universe.join(first_prices.select("ticker", "date"), ["ticker", "date"], "left_semi")
     if roster is not None:
         universe = keep_members(universe, roster)
     targets = construct(universe.drop("date")).select(
         F.col("pred_date").alias("date"), "ticker", F.col("weight").alias("w0"))
-    targets = targets.join(schedule.where("rebalance").select("date", F.col("day").alias("held_from")), "date").drop("date")
+    targets = targets.join(rebalances, "date").drop("date")
     targets = cut_lineage(targets)      # read for holdings, turnover and positions
 
     priced = valid_prices.join(schedule.select("date", "day"), "date").select("ticker", "day", F.col("adj_close").alias("px"))
-    start = targets.join(priced.withColumnRenamed("day", "held_from").withColumnRenamed("px", "p0"), ["ticker", "held_from"])
+    start = targets.join(first_prices.drop("date"), ["ticker", "held_from"])
     held = (
         start.join(schedule.where(F.col("held_from").isNotNull()).select("held_from", "day"), "held_from")
         .join(priced, ["ticker", "day"], "left")

@@ -75,15 +75,17 @@ def scored(i: Inputs):
 
 
 def run(i: Inputs, name: str):
-    if f"positions_{name}" in i._stored:
-        return i._stored[f"daily_{name}"], i._stored[f"positions_{name}"]
+    """Days, written once, and positions, which read what the run wrote."""
+    if f"run_{name}" in i._stored:
+        return i._stored[f"run_{name}"]
     build = {"equal": portfolio.constructor("equal", top_n=N), "sector": portfolio.constructor("sector", i.sectors),
              "risk": portfolio.constructor("risk", top_n=N)}[name]
     rows = scored(i)
     if name == "risk":
         rows = rows.where("volatility is not null")
     result = backtest.run_backtest(rows, i.weekly, build, "M", 10.0, i.roster if name == "equal" else None, strategy=name)
-    return i._keep(f"daily_{name}", lambda: result.daily), i._keep(f"positions_{name}", lambda: result.positions)
+    i._stored[f"run_{name}"] = i._keep(f"daily_{name}", lambda: result.daily), result.positions
+    return i._stored[f"run_{name}"]
 
 
 def variants(i: Inputs):
