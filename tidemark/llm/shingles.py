@@ -3,14 +3,15 @@
 A document's set holds its distinct 5-word shingles. Two sets are similar at threshold t only if
 they share one of the first n - ceil(t n) + 1 shingles of each in any common order; with rare
 shingles first few documents meet. The order comes from a bounded sketch of how many documents hold
-each shingle. Pairs that meet pass a length, a positional and a suffix filter and are then compared
+each shingle. Pairs that meet pass a length, a positional and a parity filter and are then compared
 once, on their whole sets.
 
 The result is a class per document, so a pair is skipped, without loss, where both are known to be
-in one class: a node is a distinct set, named by its 64-bit digest; of the sets that meet at a
-shingle each is first compared with one pivot, and what is left to compare are pairs from different
-classes. A group of copies of any size thus costs a multiple of its members. (Digests are checked to
-be distinct for distinct sets; if two were equal, another digest would be taken.)
+in one class: a node is a distinct set, named by its 64-bit digest; each set is first compared with
+the pivot of the shingles it shares, and what is left to compare are pairs from different classes.
+A group of copies of any size thus costs a multiple of its members. Such a pair is listed at the
+first shingle it shares and at few others. (Digests are checked to be distinct for distinct sets;
+if two were equal, another digest would be taken.)
 
 Rules for odd rows: texts without words have empty sets and are linked with nothing; a text of fewer
 words than the shingle is one shingle; rows that repeat an id are compared like other rows; rows
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -33,53 +36,87 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ASCII_LOWER, components, slices
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, let_go
 
 WIDTH = 5
 #: Threshold t = PART / WHOLE.
 PART, WHOLE = 3, 4
-#: Size of the sketch of shingle counts, and of its parts; 64-bit words of the suffix filter.
-SKETCH_BITS, PART_BITS, MARKS = 22, 16, 16
-#: Shingles in at least 2**HOT documents (by the sketch) have their documents dealt over SALTS groups.
+#: Size of the sketch of shingle counts, and of its parts.
+SKETCH_BITS, PART_BITS = 22, 16
+#: Shingles in at least 2**HOT more documents (by the sketch) than the median one have their documents dealt over SALTS groups.
 HOT, SALTS = 12, 64
 KNOWN = 100_000
 #: Most rounds of comparing with one more pivot before the rest is compared pair by pair.
 ROUNDS = 2
+#: Of a set's shingles that meet others, so many are looked at in these rounds, and so many before a shingle when pairs are listed.
+HEADS, LAGS = 8, 4
+#: Bytes of text that are cut into words at once; words of more bytes than LONG are hashed one by one.
+CHUNK, LONG = 1 << 20, 64
+SPACES = bytes(int(c == 32 or 9 <= c <= 13) for c in range(256))
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a whole text."""
-    words = (text or b"").translate(ASCII_LOWER).split()
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) >= WIDTH:
-        n = len(h) - WIDTH + 1
-        s = h[:n] * ODD[0]
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """64-bit hashes of the words of all texts, one after the other, and where each text's begin (and the last's end).
+
+    Words are taken up eight bytes at a time, for all words at once.
+    """
+    joined = (b" ".join(texts) + b" " * 9).translate(ASCII_LOWER)
+    space = np.frombuffer(joined.translate(SPACES), np.uint8)
+    edge = np.flatnonzero(np.diff(space, prepend=1))
+    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+    h = mixed((eight[start] & TAIL[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * ODD[4]))
+    left, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(left):
+        h[left] = mixed((h[left] + ODD[0]) ^ ((eight[start[left] + k] & TAIL[np.minimum(size[left] - k, 8)]) * ODD[1]))
+        k += 8
+        left = left[size[left] > k]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(joined[start[i]:start[i] + size[i]])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return h, [0, *np.searchsorted(start, ends).tolist()]
+
+
+def chunks(texts: list[bytes | None]) -> Iterator[list[bytes]]:
+    """Runs of the texts of CHUNK bytes or little more, or one text; null counts as empty."""
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t or b"") > CHUNK:
+            yield some
+            some, size = [], 0
+        some.append(t or b"")
+        size += len(some[-1])
+    if some:
+        yield some
+
+
+def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of its shingles, over the whole text."""
+    for some in chunks(texts):
+        h, at = word_hashes(some)
+        n = max(len(h) - WIDTH + 1, 0)
+        made = h[:n] * ODD[0]
         for k in range(1, WIDTH):
-            s += h[k:n + k] * ODD[k]
-        return np.unique(mixed(s))
-    if len(h):
-        s = np.uint64(len(h))
-        for k in range(len(h)):
-            s = s + h[k:k + 1] * (ODD[k] ^ np.uint64(0xFFFF))
-        return mixed(s)
-    return h
+            made += h[k:n + k] * ODD[k]
+        made = mixed(made)
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if b - a >= WIDTH:
+                yield np.unique(made[a:b - WIDTH + 1])
+            elif b > a:
+                s = np.uint64(b - a)
+                for k in range(b - a):
+                    s = s + h[a + k:a + k + 1] * (ODD[k] ^ np.uint64(0xFFFF))
+                yield mixed(s)
+            else:
+                yield h[:0]
 
 
 def prefix_length(n: int) -> int:
@@ -104,38 +141,39 @@ def rows_of(documents: DataFrame) -> DataFrame:
 
 
 def digests(documents: DataFrame, turn: int = 0) -> DataFrame:
-    """Per row ``id, row, n, node, check`` (digest of its set) and, per task, parts of the sketch of counts."""
+    """Per row ``id, row, n, node, check`` (digest of its set), ``marks`` and, per task, parts of the sketch of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
         for b in slices(batches):
-            sizes, nodes, checks = [], [], []
-            for text in b.column(2).to_pylist():
-                s = shingle_set(text, hashes)
+            sizes, nodes, checks, marks = [], [], [], []
+            for s in shingle_sets(b.column(2).to_pylist()):
                 node, check = digest(s, turn)
                 sizes.append(len(s))
                 nodes.append(node)
                 checks.append(check)
+                marks.append(marks_of(s))
                 at = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 counts[at] += (counts[at] < 65535).astype(np.uint16)
             none = pa.nulls(b.num_rows, pa.int32())
-            made = [pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), none, none, pa.nulls(b.num_rows, pa.binary())]
+            made = [pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(marks, pa.binary()), none, none, pa.nulls(b.num_rows, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=names)
         task, parts = TaskContext.get().partitionId(), counts.reshape(-1, 1 << PART_BITS)
         for k, part in enumerate(parts):
             if part.any():
-                row = [None, None, None, None, None, k, task, zlib.compress(part.astype("<u4").tobytes(), 1)]
+                row = [None, None, None, None, None, None, k, task, zlib.compress(part.astype("<u4").tobytes(), 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
-    names = ["id", "row", "n", "node", "check", "part", "task", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["id", "row", "n", "node", "check", "marks", "part", "task", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
     return cut_lineage(rows_of(documents).mapInArrow(
-        run, "id long, row long, n int, node long, check long, part int, task int, counts binary"))
+        run, "id long, row long, n int, node long, check long, marks binary, part int, task int, counts binary"))
 
 
 def rarity(parts: DataFrame, fan: int = 64) -> np.ndarray:
     """For each slot of the sketch the logarithm of its count, a table of fixed size.
 
+    Slots hold more shingles in larger tables, so the count of the median slot is taken off first.
     The parts of ``fan`` tasks at most are added up in one group, level by level.
     """
 
@@ -153,10 +191,10 @@ def rarity(parts: DataFrame, fan: int = 64) -> np.ndarray:
         if tasks == 1:
             break
         parts = cut_lineage(summed)
-    table = np.zeros((1 << SKETCH_BITS - PART_BITS, 1 << PART_BITS), dtype=np.uint8)
+    table = np.zeros((1 << SKETCH_BITS - PART_BITS, 1 << PART_BITS), dtype=np.int64)
     for row in summed.select("part", "counts").collect():  # 64 parts, whatever the input
-        table[row[0]] = np.floor(np.log2(1 + np.frombuffer(zlib.decompress(row[1]), dtype="<u4").astype(np.float64)))
-    return table.reshape(-1)
+        table[row[0]] = np.frombuffer(zlib.decompress(row[1]), dtype="<u4")
+    return np.floor(np.log2(1 + np.maximum(table.reshape(-1) - int(np.median(table)), 0))).astype(np.uint8)
 
 
 # -- second pass: prefixes --------------------------------------------------------------------
@@ -169,11 +207,10 @@ def prefixes(documents: DataFrame, table, turn: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rare, seen = WordHashes(), table.value, set()
+        rare, seen = table.value, set()
         for b in slices(batches):
             grams, salts, ids, ns, ps = [], [], [], [], []
-            for text in b.column(2).to_pylist():
-                s = shingle_set(text, hashes)
+            for s in shingle_sets(b.column(2).to_pylist()):
                 node, _ = digest(s, turn)
                 if not len(s) or node in seen:
                     continue
@@ -194,14 +231,20 @@ def prefixes(documents: DataFrame, table, turn: int) -> DataFrame:
     return rows_of(documents).mapInArrow(run, "gram long, salt int, id long, n int, pos int")
 
 
-def may_link(a: str, b: str):
-    """Length and positional filter for a shared shingle at positions ``pos`` of sets of sizes ``n``.
+def lengths_allow(a: str, b: str):
+    """Length filter for sets of sizes ``n``."""
+    n, m = F.col(f"{a}n").cast("long"), F.col(f"{b}n").cast("long")
+    return (WHOLE * n >= PART * m) & (WHOLE * m >= PART * n)
+
 
-    Before it the sets share at most ``early`` shingles, from it on at most what either has left.
+def first_shared(a: str, b: str):
+    """Whether a shingle at positions ``pos`` may be the first one that two similar sets share; for the first one it is always true.
+
+    The sets then share at most what either has left. It is not the first where one of the few before it is shared.
     """
     n, m, i, j = F.col(f"{a}n").cast("long"), F.col(f"{b}n").cast("long"), F.col(f"{a}pos"), F.col(f"{b}pos")
-    at_most = F.least(F.col(f"{a}early"), F.col(f"{b}early")) + F.least(n - i, m - j)
-    return (WHOLE * n >= PART * m) & (WHOLE * m >= PART * n) & ((PART + WHOLE) * at_most >= PART * (n + m))
+    before = F.coalesce(reduce(or_, (F.col(f"{a}g{x}") == F.col(f"{b}g{y}") for x in range(LAGS) for y in range(LAGS))), F.lit(False))
+    return ((PART + WHOLE) * F.least(n - i, m - j) >= PART * (n + m)) & ~before
 
 
 def meetings(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -238,13 +281,13 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = texts.join(wanted, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "tail").select("a", "salt", "id", "tail", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, head, sets = WordHashes(), None, []
+        head, sets = None, []
         for b in slices(batches):
             found = []
-            for a, salt, i, tail, text in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            *keys, texts_ = (b.column(k).to_pylist() for k in range(5))
+            for a, salt, i, tail, s in zip(*keys, shingle_sets(texts_), strict=True):
                 if head != (a, salt):
                     head, sets = (a, salt), []
-                s = shingle_set(text, hashes)
                 if not tail:
                     sets.append(s)
                 elif any(similar(len(np.intersect1d(h, s, assume_unique=True)), len(h), len(s)) for h in sets):
@@ -254,84 +297,79 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut_lineage(rows.mapInArrow(run, "a long, b long").distinct())
 
 
-def marks_of(texts: DataFrame) -> DataFrame:
-    """``id, m0 ..``: for each of many hash ranges whether the set has an odd number of shingles there.
-
-    Two sets differ in at least as many shingles as they have ranges of unlike parity.
-    """
+def marks_of(s: np.ndarray) -> bytes:
+    """For each of many hash ranges, a bit or two per shingle, whether the set has an odd number of shingles there."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in slices(batches):
-            odd = [np.bincount((shingle_set(t, hashes) & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) & 1 for t in b.column(1).to_pylist()]
-            words = np.packbits(np.array(odd, dtype=np.uint8).reshape(-1, 64 * MARKS), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(words[:, k].copy()) for k in range(MARKS))], names=names)
 
-    names = ["id", *(f"m{k}" for k in range(MARKS))]
-    return cut_lineage(texts.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"m{k} long" for k in range(MARKS))))
+def unlike(a: bytes, b: bytes) -> int:
+    """Ranges of unlike parity. Two sets differ in at least as many shingles."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, bits = int.from_bytes(a, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = (x >> bits) ^ (x & (1 << bits) - 1)
+    return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
-def marks_allow(a: str, b: str):
-    """Suffix filter: the sets may differ in as few shingles as similar sets do."""
-    unlike = sum(F.bit_count(F.col(f"{a}m{k}").bitwiseXOR(F.col(f"{b}m{k}"))) for k in range(MARKS))
-    return (PART + WHOLE) * unlike <= (WHOLE - PART) * (F.col(f"{a}n") + F.col(f"{b}n"))
+def probable(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets may differ in as few shingles as similar sets do."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, x, y = (b.column(k).to_pylist() for k in range(2, 6))
+            keep = [(PART + WHOLE) * unlike(p, q) <= (WHOLE - PART) * (i + j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def with_marks(rows: DataFrame, marks: DataFrame, a: str) -> DataFrame:
-    """Rows that name a set by ``<a>id`` with its marks."""
-    return rows.join(marks.withColumnsRenamed({c: f"{a}{c}" for c in marks.columns}), f"{a}id")
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("marks").alias(f"{c}m")), c)
+    return cut_lineage(pairs.select("a", "b", "an", "bn", "am", "bm").mapInArrow(run, "a long, b long"))
 
 
 def links(documents: DataFrame, rows: DataFrame, table, turn: int) -> DataFrame:
     """Links ``(a, b)`` that connect all similar sets; ``rows`` names a row for each of them."""
     shared = documents.sparkSession.sparkContext.broadcast(table)
     rows_met, top = meetings(prefixes(documents, shared, turn))
+    let_go(documents.sparkSession)
     met = rows_met.unionByName(top)
-    # one text of each set that meets another; merged, so that no plan depends on how many there are
+    # one row of each set that meets another; merged, so that no plan depends on how many there are
     ends = met.select("id").unionByName(met.select(F.col("p_id").alias("id"))).distinct().withColumnRenamed("id", "node")
-    ends = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "row")).alias("at")).select("node", "at.id", "at.row")
-    wanted = cut_lineage(ends.withColumnsRenamed({"id": "w_id", "row": "w_row"})).hint("merge")
+    sets = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "row", "n", "marks")).alias("at"))
+    sets = cut_lineage(sets.select("node", "at.*"))
+    wanted = sets.select("node", F.col("id").alias("w_id"), F.col("row").alias("w_row")).hint("merge")
     texts = rows_of(documents).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row")))
     texts = cut_lineage(texts.select(F.col("node").alias("id"), "text"))
-
-    marks = marks_of(texts)
+    let_go(documents.sparkSession)
 
     # 1. each set with the pivot with which it shares most shingles
-    pairs = met.withColumns({"early": F.col("pos"), "p_early": F.col("p_pos")})
-    pivots = pairs.where(may_link("", "p_") & (F.col("id") != F.col("p_id"))).groupBy("p_id", "id", "p_n", "n").agg(F.count("*").alias("k"))
-    pivots = with_marks(with_marks(pivots, marks, ""), marks, "p_").where(marks_allow("", "p_"))
-    pivots = cut_lineage(pivots.select(F.col("p_id").alias("a"), F.col("id").alias("b"), "k"))
-    best = pivots.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("k"), "a"))).where("r = 1").select("a", "b")
-    found = compare(best, texts)
-    # 2. the other pivots, where they are still in another class
-    group = _classes(found)
-    rest = _apart(pivots.select("a", "b").join(best, ["a", "b"], "left_anti"), group)
-    asked = cut_lineage(rest)
-    found = found.unionByName(compare(asked, texts))
-    done = cut_lineage(best.unionByName(asked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    # shingles that no other set has cannot be shared: of a set's prefix only those that meet count as early
+    pivots = met.where(lengths_allow("", "p_") & (F.col("id") != F.col("p_id"))).groupBy("id", "p_id").agg(F.count("*").alias("k"))
+    best = pivots.groupBy("id").agg(F.max(F.struct("k", "p_id")).alias("p"))
+    done = cut_lineage(best.select(F.least("id", "p.p_id").alias("a"), F.greatest("id", "p.p_id").alias("b")).distinct())
+    found = compare(probable(done, sets), texts)
+    # 2. sets out of a shingle's largest class with pivots of that class, as long as that brings much
     posts = rows_met.select("gram", "id", "n", "pos")
-    posts = cut_lineage(posts.withColumn("early", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1))
-    # 3. sets out of a shingle's largest class with other pivots of that class, as long as that brings much
+    heads = cut_lineage(posts.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where(F.col("r") <= HEADS).drop("r"))
     for turn in range(ROUNDS):
-        named = _mixed(posts, _classes(found))
-        pivot = named.where("class = home").groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "early"), F.xxhash64("id", F.lit(turn))).alias("p"))
-        pivot = pivot.select("gram", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n", "pos", "early")])
-        near = named.where("class <> home").join(pivot, "gram").where(may_link("", "p_")).groupBy("id", "p_id", "n", "p_n").agg(F.count("*").alias("k"))
-        near = with_marks(with_marks(near, marks, ""), marks, "p_").where(marks_allow("", "p_"))
+        named = cut_lineage(_mixed(heads, _classes(found)))
+        pivot = named.where("class = home").groupBy("gram").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n")).alias("p"))
+        pivot = pivot.select("gram", F.col("p.id").alias("p_id"), F.col("p.n").alias("p_n"))
+        near = named.where("class <> home").join(pivot, "gram").where(lengths_allow("", "p_")).groupBy("id", "p_id").agg(F.count("*").alias("k"))
         near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), "p_id"))).where("r <= 2")
         near = cut_lineage(near.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
         if near.isEmpty():
             break
-        found, done = cut_lineage(found.unionByName(compare(near, texts))), done.unionByName(near)
-    # 4. all that are left: those out of the largest class with all of other classes
-    named = with_marks(_mixed(posts, _classes(found)), marks, "")
-    m = [f"m{k}" for k in range(MARKS)]
-    strays = named.where("class <> home").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "early", "class", *m)])
-    all_ = named.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "early", "class", *m)], (F.col("class") == F.col("home")).alias("at_home"))
-    cross = strays.join(all_, "gram").where((F.col("x_class") != F.col("y_class")) & (F.col("at_home") | (F.col("x_id") < F.col("y_id"))) & may_link("x_", "y_") & marks_allow("x_", "y_"))
+        found, done = cut_lineage(found.unionByName(compare(probable(near, sets), texts))), done.unionByName(near)
+    # 3. all that are left: those out of the largest class with all of other classes
+    named, w = _mixed(posts, _classes(found)), Window.partitionBy("id").orderBy("pos")
+    named = cut_lineage(named.withColumns({f"g{k}": F.lag("gram", k + 1).over(w) for k in range(LAGS)}))
+    names = ["id", "n", "pos", "class", *(f"g{k}" for k in range(LAGS))]
+    strays = named.where("class <> home").select("gram", *[F.col(c).alias(f"x_{c}") for c in names])
+    all_ = named.select("gram", *[F.col(c).alias(f"y_{c}") for c in names], (F.col("class") == F.col("home")).alias("at_home"))
+    cross = strays.join(all_, "gram").where((F.col("x_class") != F.col("y_class")) & (F.col("at_home") | (F.col("x_id") < F.col("y_id"))) & lengths_allow("x_", "y_") & first_shared("x_", "y_"))
     cross = cross.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    cross = cut_lineage(cross.join(done, ["a", "b"], "left_anti"))
+    cross = probable(cross.join(done, ["a", "b"], "left_anti"), sets)
     if not cross.isEmpty():
         found = found.unionByName(compare(cross, texts))
     return found
@@ -346,14 +384,7 @@ def _mixed(posts: DataFrame, group: DataFrame) -> DataFrame:
     named = posts.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     by_class = named.groupBy("gram", "class").agg(F.count("*").alias("k"))
     homes = by_class.groupBy("gram").agg(F.max_by("class", "k").alias("home"), F.count("*").alias("classes")).where("classes > 1")
-    return cut_lineage(named.join(homes.select("gram", "home"), "gram"))
-
-
-def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
-    """Pairs that are in different classes so far."""
-    a = group.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = group.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    return named.join(homes.select("gram", "home"), "gram")
 
 
 def classes_of(documents: DataFrame) -> DataFrame:
@@ -361,7 +392,7 @@ def classes_of(documents: DataFrame) -> DataFrame:
     turn = 0
     while True:
         first = digests(documents, turn)
-        rows = first.where("part is null").select("id", "row", "n", "node", "check")
+        rows = first.where("part is null").select("id", "row", "n", "node", "check", "marks")
         if rows.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").isEmpty():
             break
         turn += 1
@@ -373,7 +404,7 @@ def classes_of(documents: DataFrame) -> DataFrame:
     sets = cut_lineage(sets.select("node", F.coalesce("component", "node").alias("component"), "least"))
     least = sets.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut_lineage(sets.join(least, "component").select("node", F.col("component").alias("class"), "component_id"))
-    rows = rows.join(named, "node", "left")
+    rows = rows.drop("marks").join(named, "node", "left")
     linked = F.col("class").isNotNull() & (F.col("n") > 0)
     return rows.select("id", "row", "n", F.when(linked, F.col("class")).alias("class"), F.when(linked, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
