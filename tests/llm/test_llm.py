@@ -442,6 +442,57 @@ def test_shingles(spark, monkeypatch):
     assert shingles.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_words_of_many_texts_at_once(monkeypatch):
+    long_word = "x" * 300
+    texts = [None, "", " \t\n\x0b\x0c\r ", "one", "ONE", "onE two", "é É \x85 \xa0 中文", "abcdefgh abcdefghi abcdefghij abcdefgh", f"{long_word} {long_word}y {long_word.upper()}", "a\x00 a a\x00\x00",
+             "the cat sat on the mat the cat sat on the mat", "  lead and trail  ", "x" * 64 + " " + "x" * 65, *(text(i, 3 * i) for i in range(30))]
+    want = [len(shingle_words(t)) for t in texts]
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(shingles, "CHUNK", size)
+        sets = list(shingles.shingle_sets([t.encode() if t is not None else None for t in texts]))
+        assert [len(s) for s in sets] == want
+        for a, s in zip(texts, sets, strict=True):
+            for b, r in zip(texts, sets, strict=True):
+                assert len(set(s.tolist()) & set(r.tolist())) == len(shingle_words(a) & shingle_words(b))
+
+
+def test_marks_are_a_lower_bound():
+    rng = np.random.default_rng(0)
+    for n, m, common in [(1, 1, 1), (0, 5, 0), (64, 65, 60), (200, 150, 148), (900, 1100, 0), (3000, 100, 90)]:
+        x = rng.integers(0, 1 << 63, n + m - common).astype(np.uint64)
+        a, b = shingles.marks_of(x[:n]), shingles.marks_of(x[n - common:])
+        assert shingles.unlike(a, b) == shingles.unlike(b, a) <= n + m - 2 * common
+    assert shingles.unlike(shingles.marks_of(x[:900]), shingles.marks_of(x[900:1800])) > 1800 / 7
+
+
+def test_common_slots_of_the_sketch_are_not_hot(spark):
+    # in large tables every slot holds many shingles; only what stands out is frequent
+    counts = np.full(1 << shingles.PART_BITS, 5000, dtype="<u4")
+    counts[7] = 15000
+    parts = [(k, t, bytearray(zlib.compress(counts.tobytes()))) for k in range(1 << shingles.SKETCH_BITS - shingles.PART_BITS) for t in range(2)]
+    table = shingles.rarity(spark.createDataFrame(parts, "part int, task int, counts binary"))
+    assert table[7] >= shingles.HOT and (np.delete(table.reshape(-1, 1 << shingles.PART_BITS), 7, axis=1) == 0).all()
+
+
+def test_a_pair_is_listed_at_few_shingles(spark):
+    # 100 shingles each, the two share all but one in seven
+    grams = [[g if g % 7 else g + 1000 * k for g in range(1, 26)] for k in (1, 2)]
+    rows = [(k, g, 100, p, *(grams[k][p - 1 - x] if p > x else None for x in range(shingles.LAGS))) for k in (0, 1) for p, g in enumerate(grams[k])]
+    df = spark.createDataFrame(rows, "id int, gram long, n int, pos int, " + ", ".join(f"g{k} long" for k in range(shingles.LAGS)))
+    x, y = (df.where(f"id = {k}").select("gram", *[F.col(c).alias(f"{a}_{c}") for c in df.columns if c != "gram"]) for k, a in ((0, "x"), (1, "y")))
+    got = [r.gram for r in x.join(y, "gram").where(shingles.lengths_allow("x_", "y_") & shingles.first_shared("x_", "y_")).collect()]
+    assert got == [1]
+
+
+def test_only_texts_in_question_are_fetched(spark):
+    docs = documents(spark, [(i, text(i, 12), "s") for i in range(500)] + [(None, "a b", "s"), (3, "other text", "s")])
+    rows = shingles.rows_of(docs)
+    wanted = rows.where("id in (3, 77) or id is null").select("id", "row")
+    table = spark.sparkContext.broadcast(shingles.slots_of(wanted))
+    got = {(r.id, r.row) for r in shingles.rows_in(docs, table).collect()}
+    assert got >= {tuple(r) for r in wanted.collect()} and len(got) < 20
+
+
 def test_keep_one_row_of_repeated_ids(spark):
     a, b, c = (text(k) for k in range(900, 903))
     rows = [(5, a, "u"), (3, changed(a, 9), "v"), (5, b, "u"),                 # 5 is a copy of 3, and unique

@@ -43,6 +43,8 @@ WIDTH = 5
 PART, WHOLE = 3, 4
 #: Size of the sketch of shingle counts, and of its parts.
 SKETCH_BITS, PART_BITS = 22, 16
+#: Slots that say which rows' texts are asked for.
+SLOT_BITS = 24
 #: Shingles in at least 2**HOT more documents (by the sketch) than the median one have their documents dealt over SALTS groups.
 HOT, SALTS = 12, 64
 KNOWN = 100_000
@@ -269,16 +271,52 @@ def meetings(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
 # -- comparing --------------------------------------------------------------------------------
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def slot():
+    return F.pmod(F.xxhash64("id", "row"), F.lit(1 << SLOT_BITS)).cast("int")
+
+
+def slots_of(wanted: DataFrame) -> np.ndarray:
+    """The slots that rows named by ``id, row`` hash to, as a table of bits of fixed size."""
+
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << PART_BITS, dtype=np.uint8)
+        bits[pdf["slot"] & (1 << PART_BITS) - 1] = 1
+        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    slots = wanted.select(slot().alias("slot")).distinct()
+    table = np.zeros((1 << SLOT_BITS - PART_BITS, 1 << PART_BITS - 3), dtype=np.uint8)
+    for row in slots.groupBy(F.shiftright("slot", PART_BITS).alias("part")).applyInPandas(pack, "part int, bits binary").collect():  # 256 parts, whatever the input
+        table[row[0]] = np.frombuffer(row[1], dtype=np.uint8)
+    return table.reshape(-1)
+
+
+def rows_in(documents: DataFrame, table) -> DataFrame:
+    """``id, row, text`` of the rows that hash to one of the slots: all that are wanted and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for b in slices(batches):
+            at = b.column(3).to_numpy()
+            yield b.select(["id", "row", "text"]).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return rows_of(documents).withColumn("slot", slot()).mapInArrow(run, "id long, row long, text binary")
+
+
+def compare(pairs: DataFrame, sets: DataFrame, documents: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sets are similar, each compared once.
 
     The texts of all partners of ``a`` stream past the set of ``a``. A node with many partners is
-    dealt over several tasks.
+    dealt over several tasks. Only texts of rows in question are shuffled.
     """
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    heads = pairs.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("tail"))
-    wanted = heads.unionByName(pairs.select("a", "salt", F.col("b").alias("id"), F.lit(1).alias("tail")))
-    rows = texts.join(wanted, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "tail").select("a", "salt", "id", "tail", "text")
+    heads = pairs.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("node"), F.lit(0).alias("tail"))
+    wanted = heads.unionByName(pairs.select("a", "salt", F.col("b").alias("node"), F.lit(1).alias("tail")))
+    wanted = cut_lineage(wanted.join(sets.select("node", "id", "row"), "node"))
+    shared = documents.sparkSession.sparkContext.broadcast(slots_of(wanted))
+    # merged, so that no plan depends on how many there are
+    at = wanted.select("a", "salt", "node", "tail", F.col("id").alias("w_id"), F.col("row").alias("w_row")).hint("merge")
+    rows = rows_in(documents, shared).join(at, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row")))
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "tail").select("a", "salt", F.col("node").alias("id"), "tail", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, sets = None, []
@@ -334,20 +372,16 @@ def links(documents: DataFrame, rows: DataFrame, table, turn: int) -> DataFrame:
     rows_met, top = meetings(prefixes(documents, shared, turn))
     let_go(documents.sparkSession)
     met = rows_met.unionByName(top)
-    # one row of each set that meets another; merged, so that no plan depends on how many there are
+    # one row of each set that meets another
     ends = met.select("id").unionByName(met.select(F.col("p_id").alias("id"))).distinct().withColumnRenamed("id", "node")
     sets = rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "row", "n", "marks")).alias("at"))
     sets = cut_lineage(sets.select("node", "at.*"))
-    wanted = sets.select("node", F.col("id").alias("w_id"), F.col("row").alias("w_row")).hint("merge")
-    texts = rows_of(documents).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row")))
-    texts = cut_lineage(texts.select(F.col("node").alias("id"), "text"))
-    let_go(documents.sparkSession)
 
     # 1. each set with the pivot with which it shares most shingles
     pivots = met.where(lengths_allow("", "p_") & (F.col("id") != F.col("p_id"))).groupBy("id", "p_id").agg(F.count("*").alias("k"))
     best = pivots.groupBy("id").agg(F.max(F.struct("k", "p_id")).alias("p"))
     done = cut_lineage(best.select(F.least("id", "p.p_id").alias("a"), F.greatest("id", "p.p_id").alias("b")).distinct())
-    found = compare(probable(done, sets), texts)
+    found = compare(probable(done, sets), sets, documents)
     # 2. sets out of a shingle's largest class with pivots of that class, as long as that brings much
     posts = rows_met.select("gram", "id", "n", "pos")
     heads = cut_lineage(posts.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where(F.col("r") <= HEADS).drop("r"))
@@ -360,7 +394,7 @@ def links(documents: DataFrame, rows: DataFrame, table, turn: int) -> DataFrame:
         near = cut_lineage(near.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
         if near.isEmpty():
             break
-        found, done = cut_lineage(found.unionByName(compare(probable(near, sets), texts))), done.unionByName(near)
+        found, done = cut_lineage(found.unionByName(compare(probable(near, sets), sets, documents))), done.unionByName(near)
     # 3. all that are left: those out of the largest class with all of other classes
     named, w = _mixed(posts, _classes(found)), Window.partitionBy("id").orderBy("pos")
     named = cut_lineage(named.withColumns({f"g{k}": F.lag("gram", k + 1).over(w) for k in range(LAGS)}))
@@ -371,7 +405,7 @@ def links(documents: DataFrame, rows: DataFrame, table, turn: int) -> DataFrame:
     cross = cross.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     cross = probable(cross.join(done, ["a", "b"], "left_anti"), sets)
     if not cross.isEmpty():
-        found = found.unionByName(compare(cross, texts))
+        found = found.unionByName(compare(cross, sets, documents))
     return found
 
 
