@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from tests.llm.helpers import changed, documents, text
 from tidemark.llm import bpe, lines, mixing, search, shingles, token_counts, token_records, toxicity, vectors, warc
 from tidemark.llm.common import components
+from tidemark.llm.queries import encoded_documents
 from tidemark.session import new_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -408,6 +409,15 @@ def test_lines(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_ids_and_decoded_text_come_from_one_worker_a_task(spark):
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate([None, *ODD])])
+    encoded = encoded_documents(docs)
+    assert encoded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two = bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER, keep=("doc_id", "ids"))
+    want = {r.doc_id: (bytes(r.ids), r.text) for r in two.collect()}
+    assert {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.round_trip(docs, TOKENIZER).collect()} == want
+
+
 # -- 10 shingles ------------------------------------------------------------------------------
 
 

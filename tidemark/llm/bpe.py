@@ -282,3 +282,18 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, .
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), output: str = "text") -> DataFrame:
     """The columns ``keep`` and the text of packed ids."""
     return _with(df, keep, ids, lambda packed: [load(tokenizer).decode(p) for p in packed], output, T.StringType(), pa.string())
+
+
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """The columns ``keep``, the packed ids of ``text`` and the text decoded from them; one worker a task does both, so one vocabulary is loaded."""
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
+    names, width = [f.name for f in schema.fields], len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(tokenizer)
+        for b in slices(batches):
+            packed = bpe.encode([x or b"" for x in b.column(width).cast(pa.binary()).to_pylist()])
+            back = pa.array([bpe.decode(p) for p in packed], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(packed, pa.binary()), back], names=names)
+
+    return df.select(*keep, text).mapInArrow(run, schema)
