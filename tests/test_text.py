@@ -256,3 +256,17 @@ def test_unreadable_roster_dates_raise(spark):
     assert readers.roster_from_rows(rows.limit(1)).count() == 2
     with pytest.raises(Exception, match="unreadable roster date: sometime"):
         readers.roster_from_rows(rows).collect()
+
+
+def test_embeddings_are_not_rounded_to_single_precision(spark):
+    """Values beside a border of the grid, which single precision puts on its other side."""
+    from tidemark.plans.q_text import shape, shape_embedding
+    from tidemark.plans.registry import grid
+
+    df = spark.createDataFrame([(1, " " * 113 + "a" * 121), (2, " " * 163 + "a" * 320), (3, ""), (4, None)], "doc_id int, text string")
+    got = {r.doc_id: (str(r.x), str(r.y)) for r in shape(text.embed_sections(df, shape_embedding)).collect()}
+    assert got == {1: ("0.9", "0.435"), 2: ("0.948", "0.32"), 3: ("nan", "nan"), 4: ("None", "None")}
+    words = spark.createDataFrame([("red " * 155 + "green " * 197,)], "text string")
+    values = text.embed_sections(words, dim=32).select(F.explode("embedding").alias("v")).where("v > 0").select(grid("v").alias("v"))
+    exact = [n / (155 * 155 + 197 * 197) ** 0.5 for n in (155, 197)]
+    assert sorted(r.v for r in values.collect()) == [int(x * 1e4 + 0.5003) / 1e4 for x in exact]
