@@ -61,3 +61,8 @@ def test_block_pairs_of_large_graphs_are_dealt_by_number(spark, monkeypatch):
     degrees = p.neighbor_sums(0.5, only=())
     assert degrees.columns == ["pred_date", "ticker", "degree"]
     assert {r.pred_date: r._t0 for r in counts.collect()} == {r[0]: r[1] for r in degrees.groupBy("pred_date").sum("degree").collect()}
+
+
+def test_an_empty_side_meets_nobody(block):
+    one, _ = block
+    assert not list(tiles.Meeting(one, one.some(np.zeros(0, dtype=int)), True).tiles())
